@@ -1,24 +1,48 @@
 """Cell classification and typed value extraction.
 
 A raw cell is the column group `raw_type, date_format, value_string, value_number, value_boolean,
-value_timestamp`; a classified cell replaces the first two by `cell_type`.
+value_timestamp`; a classified cell replaces the first two by `cell_type`. The rules are SQL
+expressions over those columns; `at` is the prefix of the struct they sit in (`"cell."`), if any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from steward.functions.text import strip
 from steward.schemas import VALUE_TYPES
 
-#: reject codes by cell category
-PROHIBITED = {
-    "formula": "FORMULA_VALUE_PROHIBITED",
-    "error": "ERROR_CELL_PROHIBITED",
-    "unknown": "UNKNOWN_CELL_TYPE",
+_CATEGORY = """
+CASE WHEN {at}value_string IS NULL AND {at}value_number IS NULL
+          AND {at}value_boolean IS NULL AND {at}value_timestamp IS NULL THEN 'blank'
+     WHEN {at}raw_type = 'f' THEN 'formula'
+     WHEN {at}raw_type = 'e' THEN 'error'
+     WHEN {at}raw_type = 'b' THEN 'boolean'
+     WHEN {at}value_string IS NULL
+          AND ({at}raw_type = 'd' OR ({at}raw_type = 'n' AND {at}date_format)) THEN 'date'
+     WHEN {at}raw_type = 'n' THEN 'number'
+     WHEN {at}raw_type = 'inlineStr' THEN '{inline}'
+     WHEN {at}raw_type IN ('s', 'str') THEN 'string'
+     ELSE 'unknown' END
+"""
+
+#: What a classified cell must look like to be taken as each value type. Nothing is coerced: text
+#: never becomes a number, a boolean is never a number.
+_FITS = {
+    "string": "{at}cell_type IN ('string', 'inline_string')",
+    "number": "{at}cell_type = 'number'",
+    "integer": "{at}cell_type = 'number' AND {at}value_number % 1 = 0 "
+               "AND try_cast({at}value_number AS BIGINT) IS NOT NULL",
+    "boolean": "{at}cell_type = 'boolean'",
+    "date": "{at}cell_type = 'date' AND {at}value_timestamp IS NOT NULL",
 }
+_REJECT = """
+CASE {at}cell_type WHEN 'blank' THEN NULL
+     WHEN 'formula' THEN 'FORMULA_VALUE_PROHIBITED'
+     WHEN 'error' THEN 'ERROR_CELL_PROHIBITED'
+     WHEN 'unknown' THEN 'UNKNOWN_CELL_TYPE'
+     ELSE CASE WHEN coalesce({fits}, false) THEN NULL ELSE 'VALUE_TYPE_MISMATCH' END END
+"""
 TYPED_FIELDS = {
     "string": "value_string",
     "number": "value_number",
@@ -26,86 +50,41 @@ TYPED_FIELDS = {
     "boolean": "value_boolean",
     "date": "value_date",
 }
-FIELD_TYPES = {
-    "string": "string", "number": "double", "integer": "bigint", "boolean": "boolean",
-    "date": "date",
-}
-
 
-def _by_name(name: str) -> Column:
-    return F.col(name)
 
-
-def classify_cell(get: Callable[[str], Column] = _by_name, fold_inline: bool = False) -> Column:
+def classify_cell(at: str = "", fold_inline: bool = False) -> Column:
     """Category of a raw cell; `fold_inline` counts inline strings as strings."""
-    kind = get("raw_type")
-    text = get("value_string")
-    blank = (
-        text.isNull() & get("value_number").isNull()
-        & get("value_boolean").isNull() & get("value_timestamp").isNull()
-    )
-    dated = text.isNull() & (
-        (kind == "d") | ((kind == "n") & F.coalesce(get("date_format"), F.lit(False)))
-    )
-    return (
-        F.when(blank, "blank")
-        .when(kind == "f", "formula")
-        .when(kind == "e", "error")
-        .when(kind == "b", "boolean")
-        .when(dated, "date")
-        .when(kind == "n", "number")
-        .when(kind == "inlineStr", "string" if fold_inline else "inline_string")
-        .when(kind.isin("s", "str"), "string")
-        .otherwise("unknown")
-    )
-
+    inline = "string" if fold_inline else "inline_string"
+    return F.expr(_CATEGORY.format(at=at, inline=inline))
 
-def reject_code(
-    value_type: Column, get: Callable[[str], Column] = _by_name
-) -> Column:
-    """Why a classified cell cannot be taken as `value_type`; null when it can.
 
-    Nothing is coerced: text never becomes a number, a boolean is never a number.
-    """
-    category = get("cell_type")
-    number = get("value_number")
-    fits = (
-        F.when(value_type == "string", category.isin("string", "inline_string"))
-        .when(value_type == "number", category == "number")
-        .when(
-            value_type == "integer",
-            (category == "number") & (number % 1 == 0) & number.try_cast("bigint").isNotNull(),
-        )
-        .when(value_type == "boolean", category == "boolean")
-        .when(value_type == "date", category == "date")
-        .otherwise(F.lit(False))
-    )
-    code = F.when(category == "blank", F.lit(None).cast("string"))
-    for kind, name in PROHIBITED.items():
-        code = code.when(category == kind, name)
-    return code.when(~F.coalesce(fits, F.lit(False)), "VALUE_TYPE_MISMATCH")
+def reject_code(value_type: str, at: str = "") -> Column:
+    """Why a classified cell cannot be taken as `value_type`; null when it can."""
+    return F.expr(_REJECT.format(at=at, fits=_FITS[value_type].format(at=at)))
 
 
-def typed_value(value_type: str, get: Callable[[str], Column] = _by_name) -> Column:
+def typed_value(value_type: str, at: str = "") -> Column:
     """The value of an acceptable cell in the Spark type of `value_type`."""
     if value_type == "string":
-        return F.nullif(strip(get("value_string")), F.lit(""))
+        return F.nullif(strip(F.col(f"{at}value_string")), F.lit(""))
     if value_type == "number":
-        return get("value_number")
+        return F.col(f"{at}value_number")
     if value_type == "integer":
-        return get("value_number").try_cast("bigint")
+        return F.expr(f"try_cast({at}value_number AS BIGINT)")
     if value_type == "boolean":
-        return get("value_boolean")
+        return F.col(f"{at}value_boolean")
     if value_type == "date":
-        return get("value_timestamp").cast("date")
+        return F.expr(f"CAST({at}value_timestamp AS DATE)")
     raise ValueError(f"value type must be one of {VALUE_TYPES}")
 
 
-def normalize_value(value_type: Column, get: Callable[[str], Column] = _by_name) -> Column:
-    """Struct of one typed value per value type plus `reject_code`."""
-    rejected = reject_code(value_type, get)
+def normalize_value(value_type: Column, at: str = "") -> Column:
+    """Struct of one typed value per value type plus `reject_code`, for a type per row."""
+    rejected = F.lit("VALUE_TYPE_MISMATCH")
+    for kind in VALUE_TYPES:
+        rejected = F.when(value_type == kind, reject_code(kind, at)).otherwise(rejected)
     fields = [
-        F.when((value_type == kind) & rejected.isNull(), typed_value(kind, get)).alias(name)
+        F.when((value_type == kind) & rejected.isNull(), typed_value(kind, at)).alias(name)
         for kind, name in TYPED_FIELDS.items()
     ]
     return F.struct(*fields, rejected.alias("reject_code"))

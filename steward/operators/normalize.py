@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from steward.functions.cells import FIELD_TYPES, reject_code, typed_value
+from steward.functions.cells import reject_code, typed_value
 from steward.functions.paths import cell_path
 from steward.schemas import VALUE_TYPES, WARNING
 
@@ -72,18 +72,6 @@ def drop_blank_rows(cells: DataFrame, spec: MappingSpec) -> DataFrame:
     return present.groupBy(*ROW).agg(F.count(F.lit(1)).cast("bigint").alias("mapped_cell_count"))
 
 
-def _column_struct(column: MappedColumn) -> Column:
-    def get(name: str) -> Column:
-        return F.col(name)
-
-    value_type = F.lit(column.value_type)
-    return F.struct(
-        (F.col("cell_type") != "blank").alias("present"),
-        reject_code(value_type, get).alias("reject"),
-        typed_value(column.value_type, get).cast(FIELD_TYPES[column.value_type]).alias("value"),
-    )
-
-
 def map_columns(
     cells: DataFrame, spec: MappingSpec, bucket_width: int | None = None
 ) -> DataFrame:
@@ -97,23 +85,24 @@ def map_columns(
     typed = source.select(
         *ROW,
         *[
-            F.when(F.col("column_ordinal") == c.ordinal, _column_struct(c)).alias(f"c{i}")
+            F.when(F.col("column_ordinal") == c.ordinal, part).alias(f"_{name}_{i}")
             for i, c in enumerate(spec.columns)
+            for name, part in (
+                ("reject", reject_code(c.value_type)), ("value", typed_value(c.value_type)),
+            )
         ],
+        F.expr("cell_type <> 'blank' AS _present"),
     )
-    group = [F.col(k) for k in ROW]
+    group = list(ROW)
     if bucket_width:
-        bucket = F.expr(f"row_ordinal div {bucket_width}").alias("_bucket")
+        bucket = F.expr(f"row_ordinal div {bucket_width} AS _bucket")
         typed = typed.select("*", bucket).repartition(*SHEET, "_bucket")
-        group = [*[F.col(k) for k in SHEET], F.col("_bucket"), F.col("row_ordinal")]
-    merged = [
-        F.max(f"c{i}.{part}").alias(f"_{part}_{i}")
-        for i in range(len(spec.columns))
-        for part in ("present", "reject", "value")
-    ]
-    rows = typed.groupBy(*group).agg(*merged)
-    present = [F.coalesce(F.col(f"_present_{i}"), F.lit(False)) for i in range(len(spec.columns))]
-    rows = rows.filter(F.greatest(*present) if len(present) > 1 else present[0])
+        group = [*SHEET, "_bucket", "row_ordinal"]
+    rows = typed.groupBy(*group).agg(
+        F.bool_or("_present").alias("_present"),
+        *[F.max(f"_{name}_{i}").alias(f"_{name}_{i}")
+          for i in range(len(spec.columns)) for name in ("reject", "value")],
+    ).filter("_present")
     rejects = []
     for i, c in enumerate(spec.columns):
         code = F.col(f"_reject_{i}")

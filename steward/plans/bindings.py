@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.operators.normalize import MappedColumn, MappingSpec
 from steward.sources.grid import leading_row, melt_to_cells, raw_cell
@@ -38,7 +38,8 @@ from doc_files where doc_id % 37 <> 0 or faulty = 0
 """
 BINDINGS["manifest_entries"] = """
 select manifest_id, doc_id as entry_index,
-       case when faulty = 1 and doc_id % 43 = 0 then 'SRC-SHARED'
+       case when (faulty = 1 and doc_id % 13 = 0) or (source = 'src2' and doc_id % 3 = 0)
+              then 'SRC-SHARED'
             when faulty = 1 and doc_id % 47 = 0 then ''
             else 'SRC-' || cast(doc_id as string) end as source_id,
        'FALTEST' as fal_version, '0.0.0-test' as ontology_version,
@@ -158,42 +159,42 @@ SHEET_SPEC = MappingSpec(
 HEADERS = ("Key", "Name", "Amount", "Date", "Category")
 
 
-def _header_cells() -> list[Column]:
-    """Header variety by workbook number, as in `ORACLE_CELLS`."""
+def _header_cells() -> list[str]:
+    """Header variety by workbook number."""
     cells = []
     for i, name in enumerate(HEADERS, start=1):
-        text = F.when(F.expr("w % 4 = 0") & F.lit(i == 5), " Name ").otherwise(name)
-        numeric = F.expr("w % 11 = 0") | (F.expr("w % 7 = 0") & F.lit(i in (1, 3)))
+        numeric = f"(w % 11 = 0 OR (w % 7 = 0 AND {i in (1, 3)}))"
+        text = f"CASE WHEN w % 4 = 0 AND {i == 5} THEN ' Name ' ELSE '{name}' END"
         cells.append(
             raw_cell(
-                F.when(numeric, "n").otherwise("s"),
-                text=F.when(~numeric, text), number=F.when(numeric, F.lit(float(i))),
+                f"CASE WHEN {numeric} THEN 'n' ELSE 's' END",
+                text=f"CASE WHEN NOT {numeric} THEN {text} END",
+                number=f"CASE WHEN {numeric} THEN {float(i)} END",
             )
         )
     return cells
 
 
+GRID_COLUMNS = {
+    "c1": raw_cell("'n'", number="c1_number"),
+    "c2": raw_cell("'s'", text="c2_text"),
+    "c3": raw_cell("c3_type", text="c3_text", number="c3_number", boolean="c3_boolean"),
+    "c4": raw_cell("c4_type", text="c4_text", time="c4_time"),
+    "c5": raw_cell("c5_type", text="c5_text"),
+}
+
+
 def cells(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
     """The melted grid of both sheets, title and header rows included."""
-    grid = bind(spark, sf_dir, "grid")
-    raw = grid.select(
-        "workbook_id", "sheet_ordinal", "row_ordinal", "w", "n", "t",
-        raw_cell("n", number=F.col("c1_number")).alias("c1"),
-        raw_cell("s", text=F.col("c2_text")).alias("c2"),
-        raw_cell(F.col("c3_type"), text=F.col("c3_text"), number=F.col("c3_number"),
-                 boolean=F.col("c3_boolean")).alias("c3"),
-        raw_cell(F.col("c4_type"), text=F.col("c4_text"), timestamp=F.col("c4_time")).alias("c4"),
-        raw_cell(F.col("c5_type"), text=F.col("c5_text")).alias("c5"),
+    title = leading_row("1", [raw_cell("'s'", text="'TEST TITLE'"), *[raw_cell("'n'")] * 4])
+    header = leading_row("1 + t", _header_cells())
+    leading = F.expr(
+        f"CASE WHEN n = 0 AND t = 1 THEN array({title}, {header}) "
+        f"WHEN n = 0 THEN array({header}) END"
     )
-    blanks = [raw_cell("n")] * 4
-    title = leading_row(F.lit(1), [raw_cell("s", text=F.lit("TEST TITLE")), *blanks])
-    header = leading_row(1 + F.col("t"), _header_cells())
-    leading = F.when(
-        F.col("n") == 0,
-        F.when(F.col("t") == 1, F.array(title, header)).otherwise(F.array(header)),
+    return melt_to_cells(
+        bind(spark, sf_dir, "grid"), GRID_COLUMNS, leading_rows=leading, classify=classify
     )
-    names = [f"c{i}" for i in range(1, 6)]
-    return melt_to_cells(raw, names, leading_rows=leading, classify=classify)
 
 
 _CELL_TYPE = """
@@ -473,27 +474,27 @@ from (select distinct decision_id, user_id as u from event_rows) d
 """
 BINDINGS["decision_findings"] = """
 select decision_id, event_id as finding_index,
-       case when user_id % 3 = 2 or event_id % 41 = 0 then 'ERROR' else 'WARNING' end as severity,
+       case when user_id % 3 = 2 or event_id % 241 = 0 then 'ERROR' else 'WARNING' end as severity,
        'VAL_TEST_' || cast(event_id % 10 as string) as code
 from event_rows where event_type = 'error' and (user_id % 3 <> 0 or event_id % 5 = 0)
 """
 BINDINGS["decision_refs"] = """
 select decision_id, finding_index, evidence_id as ref from (
   select f.decision_id, f.finding_index,
-         case when f.finding_index % 43 = 0 then 'evidence:none' else e.first_id end as evidence_id
+         case when f.finding_index % 143 = 0 then 'evidence:none' else e.first_id end as evidence_id
   from decision_findings f
   join (select decision_id, min(evidence_id) as first_id from evidence_items group by decision_id) e
     on f.decision_id = e.decision_id) r
 """
 BINDINGS["source_results"] = """
 select decision_id, event_id as result_index,
-       case when event_id % 89 = 0 then 'FAIL' else 'PASS' end as status
+       case when event_id % 89 = 0 and user_id % 4 = 2 then 'FAIL' else 'PASS' end as status
 from event_rows where event_type = 'view'
 """
 BINDINGS["evidence_results"] = """
 select decision_id, event_id as result_index,
-       case when event_id % 97 = 0 then 'WARNING' else 'PASS' end as status,
-       event_id % 101 = 0 as has_errors
+       case when event_id % 97 = 0 and user_id % 5 = 1 then 'WARNING' else 'PASS' end as status,
+       event_id % 101 = 0 and user_id % 5 = 2 as has_errors
 from event_rows where event_type in ('click', 'signup', 'purchase') and user_id % 29 <> 5
 """
 BINDINGS["evidence_items"] = """
@@ -501,13 +502,13 @@ select decision_id, event_id as result_index, cast(part_no as bigint) as item_in
        'evidence:' || cast((event_id + part_no) % 50 as string) as evidence_id,
        'FALTEST' as fal_version, '0.0.0-test' as ontology_version, 'profile' as profile_version,
        sha2(cast((event_id + part_no) % 50 as string)
-            || (case when event_id % 71 = 0 then 'x' else '' end), 256) as source_hash,
-       case when (event_id + part_no) % 4 = 0 then cast(null as string) else 'urn:test' end as resource_uri
+            || (case when event_id % 71 = 0 and user_id % 4 = 1 then 'x' else '' end), 256) as source_hash,
+       case when ((event_id + part_no) % 50) % 4 = 0 then cast(null as string) else 'urn:test' end as resource_uri
 from (select decision_id, user_id, event_id, event_type, 0 as part_no from event_rows
       union all
       select decision_id, user_id, event_id, event_type, 1 as part_no from event_rows
       where event_id % 3 = 0) p
-where event_type in ('click', 'signup', 'purchase') and event_id % 103 <> 0 and user_id % 29 <> 5
+where event_type in ('click', 'signup', 'purchase') and (event_id % 103 <> 0 or user_id % 5 <> 3) and user_id % 29 <> 5
 """
 
 # --- OCC: ontology rows, from lineitem ----------------------------------------------------------
@@ -680,7 +681,7 @@ def oracle_bindings() -> dict[str, str]:
 
 
 def to_duckdb(sql: str) -> str:
-    sql = re.sub(r"sha2\((.+?), 256\)", r"sha256(\1)", sql)
+    sql = re.sub(r"sha2\((.+?), 256\)", r"sha256(\1)", sql, flags=re.DOTALL)
     sql = sql.replace("octet_length(", "strlen(")
     for table in TABLES:
         sql = sql.replace("{" + table + "}", table)

@@ -26,6 +26,7 @@ def local_session(app: str = "steward", cpus: int | None = None) -> SparkSession
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STEWARD_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
     )

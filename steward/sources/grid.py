@@ -7,45 +7,48 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from steward.functions.cells import classify_cell
 from steward.schemas import CELL_VALUE
 
-KEYS = ("workbook_id", "sheet_ordinal", "row_ordinal")
+_RAW_CELL = (
+    "named_struct('raw_type', {kind}, 'date_format', {date_format}, "
+    "'value_string', CAST({text} AS STRING), 'value_number', CAST({number} AS DOUBLE), "
+    "'value_boolean', CAST({boolean} AS BOOLEAN), 'value_timestamp', CAST({time} AS TIMESTAMP))"
+)
+_LEADING_ROW = "array<struct<row_ordinal:bigint,cells:array<" + CELL_VALUE.simpleString() + ">>>"
 
 
 def raw_cell(
-    raw_type: str | Column,
-    text: Column | None = None,
-    number: Column | None = None,
-    boolean: Column | None = None,
-    timestamp: Column | None = None,
-    date_format: bool = False,
-) -> Column:
-    """One raw cell with at most one value set."""
-    values = zip(
-        CELL_VALUE.fields,
-        (F.lit(raw_type) if isinstance(raw_type, str) else raw_type, F.lit(date_format),
-         text, number, boolean, timestamp),
-        strict=True,
+    kind: str, text: str = "NULL", number: str = "NULL", boolean: str = "NULL",
+    time: str = "NULL", date_format: str = "false",
+) -> str:
+    """SQL of one raw cell; every argument is a SQL expression."""
+    return _RAW_CELL.format(
+        kind=kind, text=text, number=number, boolean=boolean, time=time, date_format=date_format
     )
-    return F.struct(
-        *[(F.lit(None) if v is None else v).cast(f.dataType).alias(f.name) for f, v in values]
+
+
+def leading_row(row_ordinal: str, cells: list[str]) -> str:
+    """SQL of a title or header row for `melt_to_cells`."""
+    return (
+        f"named_struct('row_ordinal', CAST({row_ordinal} AS BIGINT), "
+        f"'cells', array({', '.join(cells)}))"
     )
 
 
-def cell_of(value: Column, dtype: T.DataType) -> Column:
-    """A typed column as a raw cell; columns that already are raw cells pass through."""
+def cell_of(name: str, dtype: T.DataType) -> str:
+    """A typed column as a raw cell; struct columns already are raw cells."""
     if isinstance(dtype, T.StructType):
-        return value.cast(CELL_VALUE)
+        return name
     if isinstance(dtype, T.BooleanType):
-        return raw_cell("b", boolean=value)
+        return raw_cell("'b'", boolean=name)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return raw_cell("d", timestamp=value, date_format=True)
+        return raw_cell("'d'", time=name, date_format="true")
     if isinstance(dtype, T.NumericType):
-        return raw_cell("n", number=value)
-    return raw_cell("s", text=value.cast("string"))
+        return raw_cell("'n'", number=name)
+    return raw_cell("'s'", text=name)
 
 
 def melt_to_cells(
     df: DataFrame,
-    columns: list[str],
+    columns: dict[str, str] | list[str],
     *,
     leading_rows: Column | None = None,
     fold_inline: bool = False,
@@ -53,39 +56,26 @@ def melt_to_cells(
 ) -> DataFrame:
     """Turn rows keyed by `workbook_id, sheet_ordinal, row_ordinal` into one row per cell.
 
-    `columns` become column ordinals 1..n in that order. `leading_rows` optionally holds, on the
-    row that comes first in a sheet, an array of struct<row_ordinal, cells array<raw cell>> with
-    the title and header rows. One generator, no shuffle, no second pass over the table.
+    `columns` lists typed columns, or maps labels to raw-cell SQL, in column order 1..n.
+    `leading_rows` optionally holds, on the row that comes first in a sheet, an array of
+    `leading_row`s. One generator, no shuffle, no second pass over the table.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    data = F.struct(
-        F.col("row_ordinal").cast("bigint").alias("row_ordinal"),
-        F.array(*[cell_of(F.col(c), types[c]) for c in columns]).alias("cells"),
-    )
-    rows = F.array(data)
+    if not isinstance(columns, dict):
+        types = {f.name: f.dataType for f in df.schema.fields}
+        columns = {c: cell_of(c, types[c]) for c in columns}
+    rows = F.expr(f"array({leading_row('row_ordinal', list(columns.values()))})")
     if leading_rows is not None:
-        rows = F.concat(F.coalesce(leading_rows, F.array().cast(f"array<{_ROW_DDL}>")), rows)
-    cells = (
-        df.select("workbook_id", F.col("sheet_ordinal").cast("int"), F.explode(rows).alias("r"))
-        .select(
-            "workbook_id", "sheet_ordinal", "r.row_ordinal",
-            F.posexplode("r.cells").alias("position", "cell"),
-        )
+        rows = F.concat(F.coalesce(leading_rows, F.array().cast(_LEADING_ROW)), rows)
+    cells = df.select("workbook_id", "sheet_ordinal", F.explode(rows).alias("r")).select(
+        "workbook_id", "sheet_ordinal", "r.row_ordinal",
+        F.posexplode("r.cells").alias("position", "cell"),
     )
-    kind = [classify_cell(lambda n: F.col(f"cell.{n}"), fold_inline).alias("cell_type")]
+    kind = [classify_cell("cell.", fold_inline).alias("cell_type")]
     if not classify:
         kind = [F.col("cell.raw_type"), F.col("cell.date_format")]
     return cells.select(
-        *KEYS,
-        (F.col("position") + 1).cast("int").alias("column_ordinal"),
+        "workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"), "row_ordinal",
+        F.expr("position + 1 AS column_ordinal"),
         *kind,
         "cell.value_string", "cell.value_number", "cell.value_boolean", "cell.value_timestamp",
     )
-
-
-_ROW_DDL = f"struct<row_ordinal:bigint,cells:array<{CELL_VALUE.simpleString()}>>"
-
-
-def leading_row(row_ordinal: Column, cells: list[Column]) -> Column:
-    """A title or header row for `melt_to_cells`."""
-    return F.struct(row_ordinal.cast("bigint").alias("row_ordinal"), F.array(*cells).alias("cells"))
