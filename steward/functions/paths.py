@@ -8,34 +8,41 @@ from pyspark.sql import Column, functions as F
 ABSOLUTE = r"\A(?:/|[A-Za-z]:[\\/]|[\\/]{2})"
 
 
-def is_absolute(path: Column) -> Column:
-    return path.rlike(ABSOLUTE)
+def absolute_sql(path: str) -> str:
+    return f"rlike({path}, r'{ABSOLUTE}')"
 
 
-def has_parent_segment(path: Column) -> Column:
-    return F.array_contains(F.split(F.translate(path, "\\", "/"), "/"), "..")
+def parent_segment_sql(path: str) -> str:
+    return f"array_contains(split(translate({path}, r'\\', '/'), '/'), '..')"
 
 
-def escapes_base(path: Column) -> Column:
-    """True when a path that must be relative is absolute or climbs out of its base."""
-    return is_absolute(path) | has_parent_segment(path)
+def segments_sql(path: str) -> str:
+    """Empty and `.` segments dropped, so that equal locations compare equal."""
+    return f"array_join(filter(split({path}, '/'), s -> s <> '' AND s <> '.'), '/')"
 
 
-def is_traversal_entry(name: Column) -> Column:
-    """Archive entry names: any drive prefix counts, with or without a separator."""
-    return name.rlike(r"\A(?:/|[A-Za-z]:)") | has_parent_segment(name)
+def lies_under_sql(path: str, root: str) -> str:
+    """Segment-wise prefix test on absolute paths: `/a/bc` is not under `/a/b`."""
+    inner, outer = segments_sql(path), segments_sql(root)
+    return f"({outer} = '' OR startswith({inner} || '/', {outer} || '/'))"
 
 
-def normalize_segments(path: Column) -> Column:
-    """Drop empty and `.` segments so that equal locations compare equal."""
-    kept = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
-    return F.array_join(kept, "/")
+def is_absolute(path: str) -> Column:
+    return F.expr(absolute_sql(path))
 
 
-def lies_under(path: Column, root: Column) -> Column:
-    """Segment-wise prefix test on absolute paths: `/a/bc` is not under `/a/b`."""
-    inner, outer = normalize_segments(path), normalize_segments(root)
-    return F.startswith(F.concat(inner, F.lit("/")), F.concat(outer, F.lit("/"))) | (outer == "")
+def escapes_base(path: str) -> Column:
+    """True when a path that must be relative is absolute or climbs out of its base."""
+    return F.expr(f"{absolute_sql(path)} OR {parent_segment_sql(path)}")
+
+
+def is_traversal_entry(name: str) -> Column:
+    """Archive entry names: any drive prefix counts, with or without a separator."""
+    return F.expr(rf"rlike({name}, r'\A(?:/|[A-Za-z]:)') OR {parent_segment_sql(name)}")
+
+
+def normalize_segments(path: str) -> Column:
+    return F.expr(segments_sql(path))
 
 
 def sheet_path(sheet: Column) -> Column:

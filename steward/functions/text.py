@@ -44,6 +44,10 @@ def name_digest(name: Column) -> Column:
     return F.sha2(name, 256)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches_sql(text: str, pattern: str) -> str:
     """Whole-string match; `$` would accept a trailing newline."""
-    return text.rlike(rf"\A(?:{pattern})\z")
+    return rf"rlike({text}, r'\A(?:{pattern})\z')"
+
+
+def matches(text: str, pattern: str) -> Column:
+    return F.expr(matches_sql(text, pattern))

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steward.functions.paths import lies_under, sheet_ordinal_from_path
+from steward.functions.paths import lies_under_sql, sheet_ordinal_from_path
 from steward.operators import contracts
 from steward import schemas as S
 
@@ -31,6 +31,7 @@ _SHEET_FACTS = {
          "reviewer:boolean,evidence:boolean>",
     "is_empty": "boolean",
     "is_drawing": "boolean",
+    "is_bad": "boolean",
 }
 
 
@@ -59,12 +60,15 @@ def sheet_ledger(
 
     `r` the report's sheet (first occurrence), `a` the authorized sheet, `v` the drawing review,
     `is_empty`/`is_drawing` whether the report calls the sheet so; null where a side is silent.
+    Report rows whose ordinal is no sheet at all are only counted, in `bad_rows`.
     """
     parts = []
     if report_sheets is not None:
-        usable = report_sheets.filter("sheet_ordinal >= 0")
+        usable = F.expr("coalesce(sheet_ordinal >= 0, false)")
         fact = F.struct("sheet_index", "inferred_header_row", "header_confidence")
-        parts.append(_facts(usable, SHEET_KEY, _SHEET_FACTS, r=fact))
+        parts.append(
+            _facts(report_sheets, SHEET_KEY, _SHEET_FACTS, r=F.when(usable, fact), is_bad=~usable)
+        )
     if auth_sheets is not None:
         fact = F.struct("classification", "normalize", "header_row", "header_confidence")
         parts.append(_facts(auth_sheets, SHEET_KEY, _SHEET_FACTS, a=fact))
@@ -97,7 +101,7 @@ def sheet_ledger(
         F.min("r").alias("r"), F.max("a").alias("a"), F.max("v").alias("v"),
         F.coalesce(F.bool_or("is_empty"), F.lit(False)).alias("is_empty"),
         F.coalesce(F.bool_or("is_drawing"), F.lit(False)).alias("is_drawing"),
-        F.count("r").alias("report_rows"),
+        F.count("r").alias("report_rows"), F.expr("count_if(is_bad) AS bad_rows"),
     )
 
 
@@ -123,93 +127,83 @@ def finding_ledger(report_findings: DataFrame, acks: DataFrame) -> DataFrame:
 # --- per-sheet rules ------------------------------------------------------------------------------
 
 
-def _rule(condition: Column, code: str, path: Column | str) -> Column:
-    path = F.lit(path) if isinstance(path, str) else path
-    body = F.struct(F.lit(code).alias("code"), path.alias("path"))
-    return F.when(F.coalesce(condition, F.lit(False)), body)
+def _rule(condition: str, code: str, path: str, occurrences: str = "1") -> str:
+    """SQL of one finding, null unless the condition holds; `path` is SQL or a `$` literal."""
+    path = f"'{path}'" if path.startswith("$") else path
+    return f"CASE WHEN {condition} THEN {_body(repr(code), path, occurrences)} END"
 
 
-def _at_sheet(suffix: str = "") -> Column:
-    return F.concat(
-        F.lit("$.authorization.sheets."), F.col("sheet_ordinal").cast("string"), F.lit(suffix)
+def _body(code: str, path: str, occurrences: str = "1") -> str:
+    return (
+        f"named_struct('code', {code}, 'path', {path}, "
+        f"'occurrences', CAST({occurrences} AS BIGINT))"
     )
 
 
-def _in_report() -> Column:
-    return F.col("r").isNotNull()
+def _found(rules: list[str]) -> Column:
+    return F.expr(f"array_compact(array({', '.join(rules)}))")
 
 
-def _authorized() -> Column:
-    return F.col("a").isNotNull()
+_AT_SHEET = "'$.authorization.sheets.' || sheet_ordinal"
+_IN_REPORT, _AUTHORIZED = "r IS NOT NULL", "a IS NOT NULL"
 
 
-def _coverage_rules() -> list[Column]:
+def _coverage_rules() -> list[str]:
     return [
-        _rule(_in_report() & ~_authorized(), "SHEET_AUTHORIZATION_MISSING", SHEETS_PATH),
-        _rule(_authorized() & ~_in_report(), "SHEET_AUTHORIZATION_EXTRA", SHEETS_PATH),
+        _rule(f"{_IN_REPORT} AND a IS NULL", "SHEET_AUTHORIZATION_MISSING", SHEETS_PATH),
+        _rule(f"{_AUTHORIZED} AND r IS NULL", "SHEET_AUTHORIZATION_EXTRA", SHEETS_PATH),
     ]
 
 
-def _header_rules() -> list[Column]:
-    both = _in_report() & (F.col("a.classification") == "data_table")
-    row = F.col("r.inferred_header_row").eqNullSafe(F.col("a.header_row"))
-    confidence = F.col("r.header_confidence").eqNullSafe(F.col("a.header_confidence"))
+def _header_rules() -> list[str]:
+    both = f"{_IN_REPORT} AND a.classification = 'data_table'"
     return [
-        _rule(both & ~row, "HEADER_ROW_MISMATCH", _at_sheet(".headerRow")),
-        _rule(both & ~confidence, "HEADER_CONFIDENCE_MISMATCH", _at_sheet(".headerConfidence")),
+        _rule(f"{both} AND NOT (r.inferred_header_row <=> a.header_row)",
+              "HEADER_ROW_MISMATCH", f"{_AT_SHEET} || '.headerRow'"),
+        _rule(f"{both} AND NOT (r.header_confidence <=> a.header_confidence)",
+              "HEADER_CONFIDENCE_MISMATCH", f"{_AT_SHEET} || '.headerConfidence'"),
     ]
 
 
-def _non_tabular_rules() -> list[Column]:
-    flags = {S.EMPTY_SHEET: F.col("is_empty"), S.DRAWING_ONLY_SHEET: F.col("is_drawing")}
+def _non_tabular_rules() -> list[str]:
+    flags = {S.EMPTY_SHEET: "is_empty", S.DRAWING_ONLY_SHEET: "is_drawing"}
     return [
-        _rule(flags[found] & ~F.col("a.classification").isin(*allowed), code, _at_sheet())
+        _rule(f"{flags[found]} AND a.classification NOT IN {allowed}", code, _AT_SHEET)
         for found, (allowed, code) in S.NON_TABULAR_POLICY.items()
     ]
 
 
-def _model_reference_rules() -> list[Column]:
+def _model_reference_rules() -> list[str]:
     invalid, required = "MODEL_REFERENCE_CLASSIFICATION_INVALID", "MODEL_REFERENCE_REVIEW_REQUIRED"
-    model = F.col("a.classification") == "model_reference"
-    drawn, reviewed = F.col("is_drawing"), F.col("v").isNotNull()
-    proper = F.col("v.category") == S.MODEL_REFERENCE_CATEGORY
-    judged = model & drawn & reviewed & proper
-    at = _at_sheet()
+    model = "a.classification = 'model_reference'"
+    reviewed = f"{model} AND is_drawing AND v IS NOT NULL"
+    judged = f"{reviewed} AND v.category = '{S.MODEL_REFERENCE_CATEGORY}'"
     return [
-        _rule(reviewed & ~drawn, invalid, REVIEWS_PATH),
-        _rule(model & ~drawn, invalid, at),
-        _rule(model & drawn & ~reviewed, required, at),
-        _rule(model & drawn & reviewed & ~proper, invalid, at),
-        _rule(judged & ~F.col("v.completed"), required, at),
-        _rule(judged & ~F.col("v.alignment"), "REFERENCE_MODEL_ALIGNMENT_NOT_APPROVED", at),
-        _rule(judged & ~F.col("v.scope"), "MODEL_REFERENCE_SCOPE_NOT_APPROVED", at),
-        _rule(judged & ~F.col("v.reviewer"), "MODEL_REFERENCE_REVIEWER_NOT_RECORDED", at),
-        _rule(judged & ~F.col("v.evidence"), "MODEL_REFERENCE_REVIEW_EVIDENCE_NOT_VERIFIED", at),
+        _rule("v IS NOT NULL AND NOT is_drawing", invalid, REVIEWS_PATH),
+        _rule(f"{model} AND NOT is_drawing", invalid, _AT_SHEET),
+        _rule(f"{model} AND is_drawing AND v IS NULL", required, _AT_SHEET),
+        _rule(f"{reviewed} AND v.category <> '{S.MODEL_REFERENCE_CATEGORY}'", invalid, _AT_SHEET),
+        _rule(f"{judged} AND NOT v.completed", required, _AT_SHEET),
+        _rule(f"{judged} AND NOT v.alignment", "REFERENCE_MODEL_ALIGNMENT_NOT_APPROVED", _AT_SHEET),
+        _rule(f"{judged} AND NOT v.scope", "MODEL_REFERENCE_SCOPE_NOT_APPROVED", _AT_SHEET),
+        _rule(f"{judged} AND NOT v.reviewer", "MODEL_REFERENCE_REVIEWER_NOT_RECORDED", _AT_SHEET),
+        _rule(f"{judged} AND NOT v.evidence", "MODEL_REFERENCE_REVIEW_EVIDENCE_NOT_VERIFIED", _AT_SHEET),
     ]
 
 
-def _resolution_rules() -> list[Column]:
-    resolution = F.create_map(*[F.lit(x) for kv in S.DRAWING_RESOLUTIONS.items() for x in kv])
-    resolved = F.col("v.completed") & (
-        F.try_element_at(resolution, F.col("v.category")) == F.col("a.classification")
-    )
-    open_ = F.col("is_drawing") & F.col("a.classification").isin(
-        "metadata_or_readme", "excluded_non_data"
-    )
+def _resolution_rules() -> list[str]:
+    resolves = " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in S.DRAWING_RESOLUTIONS.items())
+    resolved = f"coalesce(v.completed AND CASE v.category {resolves} END = a.classification, false)"
+    open_ = f"is_drawing AND a.classification IN {tuple(S.DRAWING_RESOLUTIONS.values())}"
     return [
-        _rule(
-            open_ & ~F.coalesce(resolved, F.lit(False)),
-            "MODEL_REFERENCE_AUTHORIZATION_CLASSIFICATION_UNRESOLVED", _at_sheet(),
-        )
+        _rule(f"{open_} AND NOT {resolved}",
+              "MODEL_REFERENCE_AUTHORIZATION_CLASSIFICATION_UNRESOLVED", _AT_SHEET)
     ]
 
 
-def _explode_rules(ledger: DataFrame, rules: list[Column], keys: list[str]) -> DataFrame:
-    found = F.array_compact(F.array(*rules))
-    return ledger.select(*keys, F.explode(found).alias("_f")).select(
-        *keys, F.lit(S.ERROR).alias("severity"),
-        *(["_f.code"] if "code" not in keys else [F.col("_f.code").alias("finding_code")]),
-        "_f.path",
+def _explode_rules(ledger: DataFrame, rules: list[str], keys: list[str]) -> DataFrame:
+    return ledger.select(*keys, F.explode(_found(rules)).alias("_f")).select(
+        *keys, F.lit(S.ERROR).alias("severity"), "_f.code", "_f.path"
     )
 
 
@@ -224,11 +218,9 @@ def sheet_coverage_flag(report_sheets: DataFrame, auth_sheets: DataFrame) -> Dat
 
 
 def _coverage_flag() -> Column:
-    return F.coalesce(
-        F.bool_and(
-            F.when(_in_report() | _authorized(), _in_report() & _authorized())
-        ),
-        F.lit(False),
+    known = f"({_IN_REPORT}) OR ({_AUTHORIZED})"
+    return F.expr(
+        f"coalesce(bool_and({_IN_REPORT} AND {_AUTHORIZED}) FILTER (WHERE {known}), false)"
     )
 
 
@@ -259,33 +251,27 @@ def drawing_resolution(
 
 
 def _verdict() -> Column:
-    """The one verdict of a reported finding, by priority."""
-    code, acknowledged = F.col("code"), F.col("k").isNotNull()
-    accepted = F.col("k.disposition") == "accepted_for_reviewed_scope"
-    return F.when(
-        F.col("f").isNotNull(),
-        F.when(F.col("f.severity") == S.ERROR, "FATAL_FINDING_PRESENT")
-        .when(code.isin(*S.BLOCKING_CODES), "CURRENT_REPORT_BLOCKING_FINDING")
-        .when(~acknowledged, "FINDING_AUTHORIZATION_MISSING")
-        .when(code.isin(*S.REVIEWABLE_CODES) & accepted, "REVIEWED")
-        .when(code.isin(*S.REVIEWABLE_CODES), "BLOCKING_FINDING_UNRESOLVED")
-        .otherwise("UNKNOWN_FINDING_BLOCKING"),
-    )
-
-
-def _stale() -> Column:
-    return F.col("f").isNull()
-
-
-def _finding_rules() -> list[Column]:
-    verdict = F.col("verdict")
-    report_side = verdict.isin("FATAL_FINDING_PRESENT", "CURRENT_REPORT_BLOCKING_FINDING")
-    named = F.struct(
-        verdict.alias("code"), F.when(report_side, FINDINGS_PATH).otherwise(ACKS_PATH).alias("path")
-    )
+    """The one verdict of a reported finding, by priority; null for a stale acknowledgement."""
+    return F.expr(
+        f"""
+        CASE WHEN f IS NULL THEN NULL
+             WHEN f.severity = 'ERROR' THEN 'FATAL_FINDING_PRESENT'
+             WHEN code IN {S.BLOCKING_CODES} THEN 'CURRENT_REPORT_BLOCKING_FINDING'
+             WHEN k IS NULL THEN 'FINDING_AUTHORIZATION_MISSING'
+             WHEN code NOT IN {S.REVIEWABLE_CODES} THEN 'UNKNOWN_FINDING_BLOCKING'
+             WHEN k.disposition = 'accepted_for_reviewed_scope' THEN 'REVIEWED'
+             ELSE 'BLOCKING_FINDING_UNRESOLVED' END
+        """
+    )
+
+
+def _finding_rules() -> list[str]:
+    report_side = "verdict IN ('FATAL_FINDING_PRESENT', 'CURRENT_REPORT_BLOCKING_FINDING')"
+    path = f"CASE WHEN {report_side} THEN '{FINDINGS_PATH}' ELSE '{ACKS_PATH}' END"
     return [
-        F.when(verdict != "REVIEWED", named),
-        _rule(_stale(), "FINDING_AUTHORIZATION_STALE", ACKS_PATH),
+        f"CASE WHEN verdict <> 'REVIEWED' THEN {_body('verdict', path)} END",
+        _rule("f IS NULL", "FINDING_AUTHORIZATION_STALE", ACKS_PATH),
+        _rule("report_rows > 1", "REPORT_FINDING_DUPLICATE", FINDINGS_PATH, "report_rows - 1"),
     ]
 
 
@@ -301,7 +287,7 @@ def finding_acks(report_findings: DataFrame, acks: DataFrame) -> DataFrame:
 
 def stale_acks(report_findings: DataFrame, acks: DataFrame) -> DataFrame:
     """Acknowledgements of findings the report no longer has."""
-    return finding_ledger(report_findings, acks).filter(_stale()).select(
+    return finding_ledger(report_findings, acks).filter("f IS NULL").select(
         *FINDING_KEY, F.lit("FINDING_AUTHORIZATION_STALE").alias("finding_code")
     )
 
@@ -365,14 +351,13 @@ def _judged_bindings(bindings: DataFrame) -> DataFrame:
     return bindings.select(*KEY, "root_id", "root_path", "output_dir", errors.alias("_errors"))
 
 
-def _output_rules() -> list[Column]:
-    sound = F.col("_errors") == 0
-    inside = lies_under(F.col("output_dir"), F.col("root_path"))
+def _output_rules() -> list[str]:
+    inside = lies_under_sql("output_dir", "root_path")
     return [
-        _rule(F.col("_errors") > 0, "OUTPUT_ROOT_BINDING_INVALID", "$.binding"),
-        _rule(sound & (F.col("root_id") != F.col("approved_output_root_id")),
+        _rule("_errors > 0", "OUTPUT_ROOT_BINDING_INVALID", "$.binding"),
+        _rule("_errors = 0 AND root_id <> approved_output_root_id",
               "OUTPUT_ROOT_ID_MISMATCH", "$.binding.rootId"),
-        _rule(sound & ~inside, "OUTPUT_DIR_OUTSIDE_APPROVED_ROOT", "$.outputDir"),
+        _rule(f"_errors = 0 AND NOT {inside}", "OUTPUT_DIR_OUTSIDE_APPROVED_ROOT", "$.outputDir"),
     ]
 
 
@@ -389,50 +374,48 @@ def check_sheet_authorization(auth_sheets: DataFrame) -> DataFrame:
 def authorization_contract(
     authorizations: DataFrame, auth_sheets: DataFrame, acks: DataFrame, reviews: DataFrame
 ) -> DataFrame:
-    """Number of contract errors per authorization; 0 when it can be used.
+    """Number of contract errors per authorization, 0 when it can be used; has it a target sheet?
 
     Field errors and broken sheet rules of all children count. Repeated keys are looked at only
     when there are none, and then count as one error.
     """
     sheet_bad = F.size(contracts.row_errors(auth_sheets, "SheetAuthorization"))
-    sheet_errors = F.when(sheet_bad > 0, sheet_bad).otherwise(
-        F.when(contracts.sheet_invariant().isNotNull(), 1).otherwise(0)
-    )
+    sheet_errors = F.when(sheet_bad > 0, sheet_bad).when(contracts.sheet_invariant().isNotNull(), 1)
 
-    def shaped(df: DataFrame, kind: str, errors: Column, code: Column | None = None) -> DataFrame:
-        ordinal = F.col("sheet_ordinal") if kind != "header" else F.lit(None)
+    def shaped(df: DataFrame, kind: str, errors: Column, code="NULL", ordinal="NULL", target="false"):
         return df.select(
             *KEY, F.lit(kind).alias("kind"),
-            (F.lit(None) if code is None else code).cast("string").alias("item_code"),
-            ordinal.cast("int").alias("sheet_ordinal"), errors.cast("bigint").alias("errors"),
+            F.expr(f"CAST({code} AS STRING) AS item_code"),
+            F.expr(f"CAST({ordinal} AS INT) AS sheet_ordinal"),
+            errors.cast("bigint").alias("errors"), F.expr(f"{target} AS target"),
         )
 
     def bad(df: DataFrame, entity: str) -> Column:
         return F.size(contracts.row_errors(df, entity))
 
+    at, target = "sheet_ordinal", "coalesce(classification = 'data_table' AND normalize, false)"
     rows = _union(
         [
             shaped(authorizations, "header", bad(authorizations, "NormalizationAuthorization")),
-            shaped(auth_sheets, "sheet", sheet_errors),
-            shaped(acks, "ack", bad(acks, "FindingAuthorization"), F.col("code")),
-            shaped(reviews, "review", bad(reviews, "ModelReferenceReview")),
+            shaped(auth_sheets, "sheet", sheet_errors, ordinal=at, target=target),
+            shaped(acks, "ack", bad(acks, "FindingAuthorization"), "code", at),
+            shaped(reviews, "review", bad(reviews, "ModelReferenceReview"), ordinal=at),
         ]
     )
     keys = rows.groupBy(*KEY, "kind", "item_code", "sheet_ordinal").agg(
-        F.sum("errors").alias("errors"), F.count(F.lit(1)).alias("n")
+        F.sum("errors").alias("errors"), F.count(F.lit(1)).alias("n"),
+        F.bool_or("target").alias("target"),
     )
     totals = keys.groupBy(*KEY).agg(
-        F.sum("errors").alias("errors"),
-        F.bool_or(F.col("n") > 1).alias("repeated"),
-        F.bool_or(F.col("kind") == "sheet").alias("has_sheets"),
-        F.bool_or(F.col("kind") == "header").alias("has_header"),
+        F.expr("coalesce(sum(errors), 0) + IF(bool_or(kind = 'sheet'), 0, 1) AS errors"),
+        F.expr("bool_or(n > 1) AS repeated"),
+        F.expr("bool_or(kind = 'header') AS has_header"),
+        F.bool_or("target").alias("has_target"),
     )
-    field_errors = F.col("errors") + F.when(F.col("has_sheets"), 0).otherwise(1)
     return totals.filter("has_header").select(
         *KEY,
-        F.when(field_errors > 0, field_errors)
-        .otherwise(F.when(F.col("repeated"), 1).otherwise(0))
-        .cast("bigint").alias("contract_errors"),
+        F.expr("CASE WHEN errors > 0 THEN errors WHEN repeated THEN 1L ELSE 0L END AS contract_errors"),
+        "has_target",
     )
 
 
@@ -459,56 +442,66 @@ def _header_facts(
         _precondition().alias("_stop"),
     )
     facts = authorizations.join(contract, KEY).join(reported, KEY, "left")
-    root_rules: list[Column] = []
+    root_rules: list[str] = []
     if bindings is not None:
         bound = _judged_bindings(bindings).withColumn("_bound", F.lit(True))
         facts = facts.join(bound, KEY, "left")
         root_rules = _output_rules()
-    sound = F.col("contract_errors") == 0
-    identity = F.coalesce(F.col("inspection_report_id") == F.col("_id"), F.lit(False))
-    stage = (
-        F.when(~sound, "invalid").when(F.col("_id").isNull(), "stopped")
-        .when(F.col("_stop").isNotNull(), "stopped").otherwise("open")
-    )
-    root = F.array_compact(F.array(*root_rules)) if root_rules else None
-    bad_root = F.size(root) if root is not None else F.lit(0)
-    open_ = stage == "open"
-    own = [
-        _rule(sound & ~identity, "INSPECTION_REPORT_ID_MISMATCH",
-              "$.authorization.inspectionReportId"),
-        _rule(sound & (F.col("_stop") == "REPORT_VERSION_UNSUPPORTED"),
-              "REPORT_VERSION_UNSUPPORTED", "$.report.reportVersion"),
-        _rule(sound & (F.col("_stop") == "REPORT_NOT_VERIFIED"), "REPORT_NOT_VERIFIED", "$.report"),
-        _rule(open_ & ~F.col("source_id").eqNullSafe(F.col("_source")), "SOURCE_ID_MISMATCH",
-              "$.authorization.sourceId"),
-        _rule(open_ & ~F.col("human_review_completed"), "HUMAN_REVIEW_INCOMPLETE",
-              "$.authorization.humanReviewCompleted"),
-    ]
-    found = F.array_compact(F.array(*own))
-    if root is not None:
-        found = F.concat(found, F.when(open_, root).otherwise(F.array().cast(_RULES)))
-    authorized = open_ & F.col("_bound") & (bad_root == 0) if root is not None else F.lit(False)
-    return facts.select(
-        *KEY, stage.alias("stage"), "contract_errors",
-        (sound & identity).alias("report_identity_matched"),
-        (sound & F.col("human_review_completed")).alias("human_review_completed"),
-        F.coalesce(authorized, F.lit(False)).alias("output_root_authorized"),
-        found.alias("own_findings"),
+    stage = F.expr(
+        "CASE WHEN contract_errors > 0 THEN 'invalid' "
+        "WHEN _id IS NULL OR _stop IS NOT NULL THEN 'stopped' ELSE 'open' END"
+    )
+    facts = facts.withColumn("stage", stage).withColumn(
+        "identity", F.expr("coalesce(inspection_report_id = _id, false)")
+    )
+    own = _found(
+        [
+            _rule("stage = 'invalid'", "AUTHORIZATION_INVALID", "$.authorization", "contract_errors"),
+            _rule("stage <> 'invalid' AND NOT identity", "INSPECTION_REPORT_ID_MISMATCH",
+                  "$.authorization.inspectionReportId"),
+            _rule("stage = 'stopped' AND _stop = 'REPORT_VERSION_UNSUPPORTED'",
+                  "REPORT_VERSION_UNSUPPORTED", "$.report.reportVersion"),
+            _rule("stage = 'stopped' AND coalesce(_stop, '') <> 'REPORT_VERSION_UNSUPPORTED'",
+                  "REPORT_NOT_VERIFIED", "$.report"),
+            _rule("stage = 'open' AND NOT (source_id <=> _source)", "SOURCE_ID_MISMATCH",
+                  "$.authorization.sourceId"),
+            _rule("stage = 'open' AND NOT has_target", "NO_NORMALIZE_TARGET_SHEET", SHEETS_PATH),
+            _rule("stage = 'open' AND NOT human_review_completed", "HUMAN_REVIEW_INCOMPLETE",
+                  "$.authorization.humanReviewCompleted"),
+        ]
+    )
+    root = _found(root_rules) if root_rules else F.array().cast(_RULES)
+    bound = "_bound AND size(_root) = 0" if root_rules else "false"
+    return facts.withColumn("_own", own).withColumn("_root", root).select(
+        *KEY, "stage",
+        F.expr("stage <> 'invalid' AND identity AS report_identity_matched"),
+        F.expr("stage <> 'invalid' AND human_review_completed AS human_review_completed"),
+        F.expr(f"coalesce(stage = 'open' AND {bound}, false) AS output_root_authorized"),
+        F.expr("CASE WHEN stage = 'open' THEN concat(_own, _root) ELSE _own END AS own_findings"),
     )
 
 
-_RULES = "array<struct<code:string,path:string>>"
+_RULES = "array<struct<code:string,path:string,occurrences:bigint>>"
 
 
-def _sheet_rules() -> list[Column]:
+def _sheet_rules() -> list[str]:
     return [
         *_coverage_rules(), *_header_rules(), *_non_tabular_rules(), *_model_reference_rules(),
         *_resolution_rules(),
+        _rule("report_rows > 1", "REPORT_SHEET_ORDINAL_DUPLICATE", "$.report.sheets", "report_rows - 1"),
+        _rule("bad_rows > 0", "REPORT_SHEET_ORDINAL_INVALID", "$.report.sheets", "bad_rows"),
     ]
 
 
-def _is_target() -> Column:
-    return (F.col("a.classification") == "data_table") & F.col("a.normalize")
+def _occurrences(rules: list[str]) -> Column:
+    found = f"array_compact(array({', '.join(rules)}))"
+    return F.expr(f"aggregate({found}, 0L, (n, f) -> n + f.occurrences)")
+
+
+def _counted(findings: DataFrame) -> DataFrame:
+    return findings.groupBy(*KEY, "f.code", "f.path").agg(
+        F.sum("f.occurrences").alias("occurrences")
+    )
 
 
 def authorization_findings(
@@ -521,52 +514,20 @@ def authorization_findings(
     Contract errors end an authorization, report preconditions end its later checks.
     """
     contract = authorization_contract(authorizations, auth_sheets, acks, reviews)
-    header = _header_facts(authorizations, reports, bindings, contract)
-    once = F.lit(1).cast("bigint").alias("occurrences")
-    own = header.select(*KEY, F.explode("own_findings").alias("f")).select(
-        *KEY, "f.code", "f.path", once
-    )
-    broken = header.filter("contract_errors > 0").select(
-        *KEY, F.lit("AUTHORIZATION_INVALID").alias("code"), F.lit("$.authorization").alias("path"),
-        F.col("contract_errors").alias("occurrences"),
+    own = _header_facts(authorizations, reports, bindings, contract).select(
+        *KEY, F.explode("own_findings").alias("f")
     )
     ledger = sheet_ledger(report_sheets, auth_sheets, report_findings, reviews)
-    repeats = F.col("report_rows") - 1
-    sheets = ledger.select(
-        *KEY, F.explode(F.array_compact(F.array(*_sheet_rules()))).alias("f")
-    ).select(*KEY, "f.code", "f.path", once)
-    sheet_repeats = _repeats(ledger, repeats, "REPORT_SHEET_ORDINAL_DUPLICATE", "$.report.sheets")
-    bad_ordinals = report_sheets.filter(
-        ~F.coalesce(F.col("sheet_ordinal") >= 0, F.lit(False))
-    ).select(
-        *KEY, F.lit("REPORT_SHEET_ORDINAL_INVALID").alias("code"),
-        F.lit("$.report.sheets").alias("path"), once,
-    )
-    no_target = (
-        ledger.groupBy(*KEY).agg(F.bool_or(_is_target()).alias("t"))
-        .filter(~F.coalesce(F.col("t"), F.lit(False)))
-        .select(*KEY, F.lit("NO_NORMALIZE_TARGET_SHEET").alias("code"),
-                F.lit(SHEETS_PATH).alias("path"), once)
-    )
+    sheets = ledger.select(*KEY, F.explode(_found(_sheet_rules())).alias("f"))
     judged = finding_ledger(report_findings, acks).withColumn("verdict", _verdict())
-    findings = judged.select(
-        *KEY, F.explode(F.array_compact(F.array(*_finding_rules()))).alias("f")
-    ).select(*KEY, "f.code", "f.path", once)
-    finding_repeats = _repeats(judged, repeats, "REPORT_FINDING_DUPLICATE", FINDINGS_PATH)
-    later = _union([sheets, sheet_repeats, bad_ordinals, no_target, findings, finding_repeats])
-    open_ = header.filter("stage = 'open'").select(*KEY)
-    every = _union([broken, own, later.join(open_, KEY, "left_semi")])
-    return every.groupBy(*KEY, "code", "path").agg(F.sum("occurrences").alias("occurrences")).select(
+    findings = judged.select(*KEY, F.explode(_found(_finding_rules())).alias("f"))
+    usable = _header_facts(authorizations, reports, None, contract).filter("stage = 'open'")
+    later = _counted(sheets.unionByName(findings)).join(usable.select(*KEY), KEY, "left_semi")
+    return later.unionByName(_counted(own)).select(
         *KEY, F.lit(S.ERROR).alias("severity"), "code", "path", "occurrences"
     )
 
 
-def _repeats(ledger: DataFrame, repeats: Column, code: str, path: str) -> DataFrame:
-    return ledger.filter(repeats > 0).select(
-        *KEY, F.lit(code).alias("code"), F.lit(path).alias("path"), repeats.alias("occurrences")
-    )
-
-
 def authorization_verdict(
     authorizations: DataFrame, auth_sheets: DataFrame, acks: DataFrame, reviews: DataFrame,
     reports: DataFrame, report_sheets: DataFrame, report_findings: DataFrame,
@@ -580,53 +541,31 @@ def authorization_verdict(
     contract = authorization_contract(authorizations, auth_sheets, acks, reviews)
     header = _header_facts(authorizations, reports, bindings, contract)
     by_sheet = sheet_ledger(report_sheets, auth_sheets, report_findings, reviews).groupBy(*KEY).agg(
-        F.sum(F.size(F.array_compact(F.array(*_sheet_rules())))).alias("s_rules"),
-        F.sum(F.greatest(F.col("report_rows") - 1, F.lit(0))).alias("s_repeats"),
-        _coverage_flag().alias("s_covered"),
-        F.coalesce(F.bool_or(_is_target()), F.lit(False)).alias("s_target"),
-    )
-    bad_ordinals = report_sheets.groupBy(*KEY).agg(
-        F.count_if(~F.coalesce(F.col("sheet_ordinal") >= 0, F.lit(False))).alias("s_bad")
+        F.sum(_occurrences(_sheet_rules())).alias("s_found"), _coverage_flag().alias("s_covered")
     )
-    verdict = _verdict()
-    judged = finding_ledger(report_findings, acks).withColumn("verdict", verdict)
+    judged = finding_ledger(report_findings, acks).withColumn("verdict", _verdict())
     by_finding = judged.groupBy(*KEY).agg(
-        F.count_if(F.col("verdict") != "REVIEWED").alias("f_blocking"),
-        F.count_if(F.col("verdict") == "REVIEWED").alias("f_reviewed"),
-        F.count_if(_stale()).alias("f_stale"),
-        F.sum(F.greatest(F.col("report_rows") - 1, F.lit(0))).alias("f_repeats"),
-        F.bool_and(F.col("f").isNotNull() & F.col("k").isNotNull()).alias("f_covered"),
+        F.expr("count_if(verdict <> 'REVIEWED') AS f_blocking"),
+        F.expr("count_if(verdict = 'REVIEWED') AS f_reviewed"),
+        F.sum(_occurrences(_finding_rules())).alias("f_found"),
+        F.expr("bool_and(f IS NOT NULL AND k IS NOT NULL) AS f_covered"),
     )
-    joined = (
-        header.join(by_sheet, KEY, "left").join(bad_ordinals, KEY, "left")
-        .join(by_finding, KEY, "left")
+    joined = header.join(by_sheet, KEY, "left").join(by_finding, KEY, "left")
+    total = (
+        "aggregate(own_findings, 0L, (n, f) -> n + f.occurrences) "
+        "+ IF(stage = 'open', coalesce(s_found, 0) + coalesce(f_found, 0), 0)"
     )
-
-    def n(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
-
-    open_ = F.col("stage") == "open"
-    target = F.coalesce(F.col("s_target"), F.lit(False))
-    later = (
-        n("s_rules") + n("s_repeats") + n("s_bad") + n("f_blocking") + n("f_stale")
-        + n("f_repeats") + F.when(target, 0).otherwise(1)
-    )
-    total = F.col("contract_errors") + F.size("own_findings") + F.when(open_, later).otherwise(0)
-
-    def when_open(value: Column, otherwise) -> Column:
-        return F.when(open_, value).otherwise(F.lit(otherwise))
-
-    return joined.select(
+    return joined.withColumn("_total", F.expr(total)).select(
         *KEY,
-        (total == 0).alias("valid"),
+        F.expr("_total = 0 AS valid"),
         "report_identity_matched",
-        when_open(F.coalesce(F.col("s_covered"), F.lit(False)), False).alias("sheet_coverage_complete"),
-        when_open(F.coalesce(F.col("f_covered"), F.lit(True)), False).alias("finding_coverage_complete"),
+        F.expr("stage = 'open' AND coalesce(s_covered, false) AS sheet_coverage_complete"),
+        F.expr("stage = 'open' AND coalesce(f_covered, true) AS finding_coverage_complete"),
         "output_root_authorized",
         "human_review_completed",
-        when_open(n("f_blocking"), 0).cast("bigint").alias("blocking_finding_count"),
-        when_open(n("f_reviewed"), 0).cast("bigint").alias("reviewed_finding_count"),
-        total.cast("bigint").alias("finding_count"),
+        F.expr("CAST(IF(stage = 'open', coalesce(f_blocking, 0), 0) AS BIGINT) AS blocking_finding_count"),
+        F.expr("CAST(IF(stage = 'open', coalesce(f_reviewed, 0), 0) AS BIGINT) AS reviewed_finding_count"),
+        F.expr("_total AS finding_count"),
     )
 
 
@@ -677,7 +616,7 @@ def authorized_mapping(
     code = (
         F.when(F.col("_cleared").isNull() | ~table, "MAPPING_SHEET_NOT_AUTHORIZED")
         .when(~F.col("a.header_row").eqNullSafe(F.col("header_row")), "AUTHORIZATION_HEADER_MISMATCH")
-        .when(~_in_report(), "INSPECTION_SHEET_OUT_OF_RANGE")
+        .when(F.col("r").isNull(), "INSPECTION_SHEET_OUT_OF_RANGE")
         .when(~F.col("r.inferred_header_row").eqNullSafe(F.col("header_row")), "INSPECTION_HEADER_MISMATCH")
     )
     return joined.select("spec_id", *SHEET_KEY, code.alias("code"))

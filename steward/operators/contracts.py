@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from steward.functions.jsontext import is_json_object
 from steward.functions.naming import alias_columns, to_camel
-from steward.functions.paths import has_parent_segment, is_absolute
-from steward.functions.text import matches
+from steward.functions.paths import absolute_sql, parent_segment_sql
+from steward.functions.text import matches_sql
 from steward import schemas as S
 
 
@@ -145,60 +145,62 @@ INTERNAL: dict[str, tuple[Rule, ...]] = {
 CAMEL_ENTITIES = ("Evidence", "ValidationFinding", "SkillResult")
 
 
-def _violation(rule: Rule, value: Column) -> Column:
-    bad = F.lit(False)
+def _violation(rule: Rule, value: str) -> str:
+    """SQL that is true when the field is bad; the checks are null for a null value."""
+    bad = []
     if rule.min_length is not None:
-        bad = bad | (F.length(value) < rule.min_length)
+        bad.append(f"length({value}) < {rule.min_length}")
     if rule.pattern is not None:
-        bad = bad | ~matches(value, rule.pattern)
+        bad.append(f"NOT {matches_sql(value, rule.pattern)}")
     if rule.ge is not None:
-        bad = bad | (value < rule.ge)
+        bad.append(f"{value} < {rule.ge}")
     if rule.values is not None:
-        bad = bad | ~value.isin(*rule.values)
+        bad.append(f"{value} NOT IN ({', '.join(repr(v) for v in rule.values)})")
     if rule.absolute_path:
-        bad = bad | ~is_absolute(value)
-    missing = value.isNull() if rule.required else F.lit(False)
-    return missing | F.coalesce(bad, F.lit(False))
+        bad.append(f"NOT {absolute_sql(value)}")
+    if rule.required:
+        bad.append(f"{value} IS NULL")
+    return " OR ".join(bad) or "false"
 
 
 def field_errors(
-    rules: tuple[Rule, ...], get, prefix: Column | str = "$", camel: bool = False
-) -> Column:
-    """Array of the paths of all failing fields, nested list items included."""
-    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    parts = []
-    for rule in rules:
-        value = get(rule.name)
-        if value is None:
-            continue
-        path = F.concat(prefix, F.lit("." + (to_camel(rule.name) if camel else rule.name)))
-        if rule.items:
-            def nested(item: Column, i: Column, rule=rule, path=path) -> Column:
-                at = F.concat(path, F.lit("."), i.cast("string"))
-                return field_errors(rule.items, lambda n: item.getField(n), at, camel)
+    rules: tuple[Rule, ...], at: str = "", prefix: str = "'$'", camel: bool = False,
+    present: set[str] | None = None, depth: int = 0,
+) -> str:
+    """SQL of the array of paths of all failing fields, nested list items included.
 
-            parts.append(F.coalesce(F.flatten(F.transform(value, nested)), _no_paths()))
+    `at` prefixes the columns, `present` limits them to those the table has: an absent optional
+    field is fine, an absent required one always fails.
+    """
+    flat, nested = [], []
+    for rule in rules:
+        path = f"{prefix} || '.{to_camel(rule.name) if camel else rule.name}'"
+        missing = present is not None and rule.name not in present
+        if rule.items and not missing:
+            item, i = f"item{depth}", f"i{depth}"
+            inner = field_errors(
+                rule.items, f"{item}.", f"{path} || '.' || {i}", camel, depth=depth + 1
+            )
+            nested.append(
+                f"coalesce(flatten(transform({at}{rule.name}, ({item}, {i}) -> {inner})), {_NO_PATHS})"
+            )
+        elif missing:
+            flat.append(path if rule.required else "NULL")
         else:
-            parts.append(F.array(F.when(_violation(rule, value), path)))
-    return F.array_compact(F.concat(*parts))
+            flat.append(f"CASE WHEN {_violation(rule, at + rule.name)} THEN {path} END")
+    own = f"array_compact(array({', '.join(flat)}))"
+    return f"concat({', '.join([own, *nested])})" if nested else own
 
 
-def _no_paths() -> Column:
-    return F.array().cast("array<string>")
+_NO_PATHS = "CAST(array() AS ARRAY<STRING>)"
 
 
 def row_errors(df: DataFrame, entity: str) -> Column:
-    """`field_errors` of a whole row; a required column the table lacks is always missing."""
+    """`field_errors` of a whole row."""
     rules = {**ENTITIES, **INTERNAL}[entity]
-    names = set(df.columns)
-
-    def get(name: str) -> Column | None:
-        if name in names:
-            return F.col(name)
-        required = next(r.required for r in rules if r.name == name)
-        return F.lit(None).cast("string") if required else None
-
-    return field_errors(rules, get, camel=entity in CAMEL_ENTITIES)
+    return F.expr(
+        field_errors(rules, camel=entity in CAMEL_ENTITIES, present=set(df.columns))
+    )
 
 
 def with_defaults(df: DataFrame, entity: str) -> DataFrame:
@@ -215,114 +217,104 @@ def with_defaults(df: DataFrame, entity: str) -> DataFrame:
     return df.withColumns(defaults)
 
 
-def _first_failing(rules: list[tuple[str, Column]]) -> Column:
-    """Name of the first rule whose *violation* holds."""
-    chain = None
-    for name, violated in rules:
-        held = F.coalesce(violated, F.lit(False))
-        chain = F.when(held, name) if chain is None else chain.when(held, name)
-    return chain.otherwise(F.lit(None).cast("string"))
+def _first_failing(rules: dict[str, str]) -> Column:
+    """Name of the first rule whose *violation* (SQL) holds, in declaration order."""
+    cases = " ".join(f"WHEN {violated} THEN '{name}'" for name, violated in rules.items())
+    return F.expr(f"CASE {cases} END")
 
 
 def occurrence_invariant() -> Column:
-    return _first_failing(
-        [("position_required", F.col("technical_position").isNull() & (F.col("status") == "approved"))]
-    )
+    return _first_failing({"position_required": "technical_position IS NULL AND status = 'approved'"})
 
 
 def provenance_invariant() -> Column:
-    path = F.col("source_file")
     return _first_failing(
-        [
-            ("approved_requires_verified", (F.col("status") == "approved") & ~F.col("verified")),
-            ("absolute_path", is_absolute(path)),
-            ("parent_segment", has_parent_segment(path)),
-        ]
+        {
+            "approved_requires_verified": "status = 'approved' AND NOT verified",
+            "absolute_path": absolute_sql("source_file"),
+            "parent_segment": parent_segment_sql("source_file"),
+        }
     )
 
 
 def sheet_invariant() -> Column:
     """Consistency of one sheet authorization."""
-    data = F.col("classification") == "data_table"
-    excluded = F.col("classification").isin("metadata_or_readme", "excluded_non_data")
-    model = F.col("classification") == "model_reference"
-    confidence, reason = F.col("header_confidence"), F.col("exclusion_reason_code")
-    approved = F.coalesce(F.col("medium_confidence_approved"), F.lit(False))
+    data = "classification = 'data_table'"
+    model = "classification = 'model_reference'"
+    approved = "coalesce(medium_confidence_approved, false)"
     return _first_failing(
-        [
-            ("data_table_not_normalized", data & ~F.col("normalize")),
-            ("data_table_without_header", data & F.col("header_row").isNull()),
-            ("data_table_confidence", data & ~confidence.isin("high", "medium")),
-            ("data_table_medium_unapproved", data & (confidence == "medium") & ~approved),
-            ("data_table_excluded", data & reason.isNotNull()),
-            ("normalized_non_table", ~data & F.col("normalize")),
-            ("exclusion_without_reason", excluded & reason.isNull()),
-            ("model_reference_header", model & F.col("header_row").isNotNull()),
-            ("model_reference_confidence", model & (confidence != "none")),
-            ("model_reference_medium_approved", model & approved),
-            ("model_reference_excluded", model & reason.isNotNull()),
-        ]
+        {
+            "data_table_not_normalized": f"{data} AND NOT normalize",
+            "data_table_without_header": f"{data} AND header_row IS NULL",
+            "data_table_confidence": f"{data} AND header_confidence NOT IN ('high', 'medium')",
+            "data_table_medium_unapproved":
+                f"{data} AND header_confidence = 'medium' AND NOT {approved}",
+            "data_table_excluded": f"{data} AND exclusion_reason_code IS NOT NULL",
+            "normalized_non_table": f"NOT {data} AND normalize",
+            "exclusion_without_reason":
+                "classification IN ('metadata_or_readme', 'excluded_non_data') "
+                "AND exclusion_reason_code IS NULL",
+            "model_reference_header": f"{model} AND header_row IS NOT NULL",
+            "model_reference_confidence": f"{model} AND header_confidence <> 'none'",
+            "model_reference_medium_approved": f"{model} AND {approved}",
+            "model_reference_excluded": f"{model} AND exclusion_reason_code IS NOT NULL",
+        }
     )
 
 
-def severity_invariant(bad_errors: Column, bad_warnings: Column) -> Column:
+def severity_invariant(bad_errors: str, bad_warnings: str) -> Column:
     """From the counts of items with the wrong severity in each list."""
     return _first_failing(
-        [("errors_not_error", bad_errors > 0), ("warnings_not_warning", bad_warnings > 0)]
+        {"errors_not_error": f"{bad_errors} > 0", "warnings_not_warning": f"{bad_warnings} > 0"}
     )
 
 
-def status_invariant(errors: Column, warnings: Column) -> Column:
+def status_invariant(errors: str, warnings: str) -> Column:
     """From the sizes of the two lists."""
-    status, review = F.col("status"), F.col("human_review_required")
     return _first_failing(
-        [
-            ("pass_with_errors", (status == "PASS") & (errors > 0)),
-            ("pass_with_warnings", (status == "PASS") & (warnings > 0)),
-            ("pass_with_review", (status == "PASS") & review),
-            ("warning_with_errors", (status == "WARNING") & (errors > 0)),
-            ("warning_without_warnings", (status == "WARNING") & (warnings == 0)),
-            ("warning_without_review", (status == "WARNING") & ~review),
-            ("fail_without_errors", (status == "FAIL") & (errors == 0)),
-            ("fail_without_review", (status == "FAIL") & ~review),
-        ]
+        {
+            "pass_with_errors": f"status = 'PASS' AND {errors} > 0",
+            "pass_with_warnings": f"status = 'PASS' AND {warnings} > 0",
+            "pass_with_review": "status = 'PASS' AND human_review_required",
+            "warning_with_errors": f"status = 'WARNING' AND {errors} > 0",
+            "warning_without_warnings": f"status = 'WARNING' AND {warnings} = 0",
+            "warning_without_review": "status = 'WARNING' AND NOT human_review_required",
+            "fail_without_errors": f"status = 'FAIL' AND {errors} = 0",
+            "fail_without_review": "status = 'FAIL' AND NOT human_review_required",
+        }
     )
 
 
-def decision_invariant(findings: Column, errors: Column, failed_sources: Column) -> Column:
+def decision_invariant(findings: str, errors: str, failed_sources: str) -> Column:
     """From the counts of findings, ERROR findings and FAIL source results."""
-    status, review = F.col("status"), F.col("human_review_required")
     return _first_failing(
-        [
-            ("approved_with_review", (status == "APPROVED") & review),
-            ("approved_with_errors", (status == "APPROVED") & (errors > 0)),
-            ("approved_with_failed_source", (status == "APPROVED") & (failed_sources > 0)),
-            ("review_without_review", (status == "REVIEW_REQUIRED") & ~review),
-            ("review_without_findings", (status == "REVIEW_REQUIRED") & (findings == 0)),
-            ("rejected_without_review", (status == "REJECTED") & ~review),
-            ("rejected_without_errors", (status == "REJECTED") & (errors == 0)),
-        ]
+        {
+            "approved_with_review": "status = 'APPROVED' AND human_review_required",
+            "approved_with_errors": f"status = 'APPROVED' AND {errors} > 0",
+            "approved_with_failed_source": f"status = 'APPROVED' AND {failed_sources} > 0",
+            "review_without_review": "status = 'REVIEW_REQUIRED' AND NOT human_review_required",
+            "review_without_findings": f"status = 'REVIEW_REQUIRED' AND {findings} = 0",
+            "rejected_without_review": "status = 'REJECTED' AND NOT human_review_required",
+            "rejected_without_errors": f"status = 'REJECTED' AND {errors} = 0",
+        }
     )
 
 
 def _result_row_invariant() -> Column:
     """All result invariants on one nested result row."""
-    errors, warnings, evidence = F.col("errors"), F.col("warnings"), F.col("evidence")
-
-    def wrong(items: Column, severity: str) -> Column:
-        return F.size(F.filter(items, lambda f: f["severity"] != severity))
-
-    ids = F.transform(evidence, lambda e: e["evidence_id"])
-    refs = F.flatten(F.transform(F.concat(errors, warnings), lambda f: F.coalesce(
-        f["evidence_refs"], F.array().cast("array<string>"))))
+    ids = "transform(evidence, e -> e.evidence_id)"
+    refs = f"flatten(transform(concat(errors, warnings), f -> coalesce(f.evidence_refs, {_NO_PATHS})))"
     return F.coalesce(
-        severity_invariant(wrong(errors, "ERROR"), wrong(warnings, "WARNING")),
-        status_invariant(F.size(errors), F.size(warnings)),
+        severity_invariant(
+            "size(filter(errors, f -> f.severity <> 'ERROR'))",
+            "size(filter(warnings, f -> f.severity <> 'WARNING'))",
+        ),
+        status_invariant("size(errors)", "size(warnings)"),
         _first_failing(
-            [
-                ("duplicate_evidence", F.size(ids) > F.size(F.array_distinct(ids))),
-                ("dangling_reference", F.size(F.array_except(refs, ids)) > 0),
-            ]
+            {
+                "duplicate_evidence": f"size({ids}) > size(array_distinct({ids}))",
+                "dangling_reference": f"size(array_except({refs}, {ids})) > 0",
+            }
         ),
     )
 
@@ -344,7 +336,7 @@ def validate_contract(
     errors = row_errors(filled, entity)
     if entity in INVARIANTS:
         failed = F.when(INVARIANTS[entity]().isNotNull(), F.array(F.lit("$")))
-        errors = F.when(F.size(errors) > 0, errors).otherwise(F.coalesce(failed, _no_paths()))
+        errors = F.when(F.size(errors) > 0, errors).otherwise(F.coalesce(failed, F.expr(_NO_PATHS)))
     judged = filled.withColumn("_errors", errors)
     valid = judged.filter(F.size("_errors") == 0).drop("_errors")
     if entity in CAMEL_ENTITIES:
@@ -424,12 +416,12 @@ def check_mapping_spec(columns: DataFrame) -> DataFrame:
         F.count_distinct("target_field").alias("fields"),
     )
     problem = _first_failing(
-        [
-            ("no_columns", F.col("n") == 0),
-            ("data_before_header", F.col("first_data_row") <= F.col("header_row")),
-            ("duplicate_column_ordinal", F.col("ordinals") < F.col("n")),
-            ("duplicate_target_field", F.col("fields") < F.col("n")),
-        ]
+        {
+            "no_columns": "n = 0",
+            "data_before_header": "first_data_row <= header_row",
+            "duplicate_column_ordinal": "ordinals < n",
+            "duplicate_target_field": "fields < n",
+        }
     )
     return stats.select(
         "spec_id", F.lit("MAPPING_SPEC_INVALID").alias("code"), problem.alias("problem")

@@ -48,7 +48,7 @@ def _list_counts(findings: DataFrame) -> DataFrame:
 
 def check_result_severity(findings: DataFrame) -> DataFrame:
     """Results with a finding of the wrong severity in one of their lists."""
-    problem = contracts.severity_invariant(F.col("bad_errors"), F.col("bad_warnings"))
+    problem = contracts.severity_invariant("bad_errors", "bad_warnings")
     return _list_counts(findings).select("result_id", problem.alias("problem")).filter(
         "problem is not null"
     )
@@ -57,7 +57,7 @@ def check_result_severity(findings: DataFrame) -> DataFrame:
 def check_result_status(results: DataFrame, findings: DataFrame) -> DataFrame:
     """Results whose status contradicts their lists or the review flag."""
     joined = results.join(_list_counts(findings), "result_id", "left")
-    sizes = [F.coalesce(F.col(c), F.lit(0)) for c in ("n_errors", "n_warnings")]
+    sizes = [f"coalesce({c}, 0)" for c in ("n_errors", "n_warnings")]
     return joined.select("result_id", contracts.status_invariant(*sizes).alias("problem")).filter(
         "problem is not null"
     )
@@ -156,7 +156,7 @@ def _decision_problems(
         F.count_if(F.col("status") == "FAIL").alias("n_failed")
     )
     joined = decisions.join(by_finding, "decision_id", "left").join(by_source, "decision_id", "left")
-    counts = [F.coalesce(F.col(c), F.lit(0)) for c in ("n_findings", "n_errors", "n_failed")]
+    counts = [f"coalesce({c}, 0)" for c in ("n_findings", "n_errors", "n_failed")]
     errors = contracts.row_errors(decisions, "Decision")
     return joined.select(
         *decisions.columns,

@@ -243,3 +243,65 @@ def normalization_summary(mapped: DataFrame, spec: MappingSpec) -> DataFrame:
     return counts.withColumn("human_review_required", F.col("finding_count") > 0).withColumn(
         "dataset_id", F.lit(spec.dataset_id)
     )
+
+
+#: Unique sort keys per output, for the same bytes on every run.
+ARTIFACT_ORDER = {
+    "records": ["workbook_id", "source_sheet_ordinal", "record_ordinal"],
+    "findings": ["subject_id", "path", "code"],
+    "evidence": ["workbook_id", "source_sheet_ordinal", "source_column_ordinal"],
+    "summary": ["workbook_id", "sheet_ordinal"],
+}
+
+
+@dataclass(frozen=True)
+class Normalized:
+    records: DataFrame
+    findings: DataFrame
+    evidence: DataFrame
+    summary: DataFrame
+
+
+def normalize(cells: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normalized:
+    """All outputs of one spec over the sheets the authorization cleared.
+
+    `cleared` holds `workbook_id, sheet_ordinal, source_id` of the sheets whose gate, mapping and
+    provenance checks passed. Cells of other sheets drop out before anything is computed from
+    them. A cleared sheet without data rows still has its evidence and summary lines.
+    """
+    wanted = cleared.filter(F.col("sheet_ordinal") == spec.sheet_ordinal)
+    usable = cells.join(wanted.select(*SHEET), SHEET, "left_semi")
+    mapped = map_columns(usable, spec)
+    keys = wanted.select("workbook_id", "source_id")
+    blank = wanted.select(
+        *SHEET, F.explode(F.array(*[F.lit(c.ordinal) for c in spec.columns])).alias("source_column_ordinal")
+    )
+    by_ordinal = {c.ordinal: c for c in spec.columns}
+
+    def per_column(value) -> Column:
+        pairs = [F.lit(x) for o, c in by_ordinal.items() for x in (o, value(c))]
+        return F.element_at(F.create_map(*pairs), F.col("source_column_ordinal"))
+
+    counted = mapping_evidence(mapped, spec).select(
+        "workbook_id", "source_column_ordinal", "mapped_record_count", "rejected_record_count"
+    )
+    evidence = blank.join(counted, ["workbook_id", "source_column_ordinal"], "left").select(
+        "workbook_id", F.lit(spec.dataset_id).alias("dataset_id"),
+        F.col("sheet_ordinal").alias("source_sheet_ordinal"), "source_column_ordinal",
+        per_column(lambda c: c.field).alias("target_field"),
+        per_column(lambda c: c.value_type).alias("value_type"),
+        per_column(lambda c: c.required).alias("required"),
+        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)
+          for n in ("mapped_record_count", "rejected_record_count")],
+    )
+    totals = normalization_summary(mapped, spec).drop("dataset_id", "human_review_required")
+    counts = [c for c in totals.columns if c not in SHEET]
+    summary = (
+        wanted.select(*SHEET, "source_id").join(totals, SHEET, "left")
+        .select(*SHEET, "source_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts])
+        .withColumn("human_review_required", F.col("finding_count") > 0)
+        .withColumn("dataset_id", F.lit(spec.dataset_id))
+    )
+    return Normalized(
+        normalized_records(usable, spec, keys), reject_rows(mapped, spec), evidence, summary
+    )

@@ -421,7 +421,7 @@ def container_profile(parts: DataFrame) -> DataFrame:
         (F.bool_or(name == CONTENT_TYPES) & F.bool_or(name == WORKBOOK_PART)).alias(
             "required_parts_present"
         ),
-        F.bool_or(is_traversal_entry(name)).alias("traversal_entry"),
+        F.bool_or(is_traversal_entry("entry_name")).alias("traversal_entry"),
     )
     return profile.withColumn(
         "external_link_detected",

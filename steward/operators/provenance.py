@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steward.functions.paths import escapes_base, normalize_segments
-from steward.functions.text import matches
+from steward.functions.paths import absolute_sql, normalize_segments, parent_segment_sql
+from steward.functions.text import matches_sql
 from steward.operators.contracts import provenance_invariant, row_errors
 from steward.schemas import ERROR, SHA256_PATTERN
 
@@ -21,31 +21,27 @@ class ManifestCheck:
     manifests: DataFrame
 
 
-def _problem(condition: Column, code: str, *suffix: str) -> Column:
-    path = F.concat(
-        F.lit("$.sources."), F.col("entry_index").cast("string"),
-        F.lit("".join("." + s for s in suffix)),
-    )
-    return F.when(
-        F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), path.alias("path"))
-    )
+def _problem(condition: str, code: str, suffix: str = "") -> str:
+    body = f"named_struct('code', '{code}', 'path', '$.sources.' || entry_index || '{suffix}')"
+    return f"CASE WHEN {condition} THEN {body} END"
+
+
+def _problems(rules: list[str]) -> Column:
+    return F.expr(f"array_compact(array({', '.join(rules)}))")
 
 
 def _contract_problems() -> Column:
     """Every field error of an entry, in field order."""
-    absent = [
-        _problem(F.col(name).isNull() | (F.col(name) == ""), "MANIFEST_ENTRY_INVALID", name)
-        for name in ("source_id", "fal_version", "ontology_version", "profile_version", "source_file")
-    ]
-    hash_ = F.col("source_hash")
-    return F.array_compact(
-        F.array(
-            *absent,
-            _problem((F.col("source_file") != "") & escapes_base(F.col("source_file")),
-                     "SOURCE_PATH_OUTSIDE_BASE", "source_file"),
-            _problem(hash_.isNull(), "MANIFEST_ENTRY_INVALID", "source_hash"),
-            _problem(~matches(hash_, SHA256_PATTERN), "SOURCE_HASH_FORMAT_INVALID", "source_hash"),
-        )
+    names = ("source_id", "fal_version", "ontology_version", "profile_version", "source_file")
+    hash_format = matches_sql("source_hash", SHA256_PATTERN)
+    escapes = f"{absolute_sql('source_file')} OR {parent_segment_sql('source_file')}"
+    return _problems(
+        [
+            *[_problem(f"{n} IS NULL OR {n} = ''", "MANIFEST_ENTRY_INVALID", f".{n}") for n in names],
+            _problem(escapes, "SOURCE_PATH_OUTSIDE_BASE", ".source_file"),
+            _problem("source_hash IS NULL", "MANIFEST_ENTRY_INVALID", ".source_hash"),
+            _problem(f"NOT {hash_format}", "SOURCE_HASH_FORMAT_INVALID", ".source_hash"),
+        ]
     )
 
 
@@ -56,18 +52,18 @@ def check_entries(entries: DataFrame, digests: DataFrame) -> DataFrame:
         "problems",
         F.when(
             F.col("has_forbidden_field"),
-            F.array(_problem(F.lit(True), "MANIFEST_FORBIDDEN_FIELD")),
+            _problems([_problem("true", "MANIFEST_FORBIDDEN_FIELD")]),
         ).otherwise(contract),
     )
     # Only entries that are otherwise fine are looked up.
-    lookup = F.when(F.size("problems") == 0, normalize_segments(F.col("source_file")))
+    lookup = F.when(F.size("problems") == 0, normalize_segments("source_file"))
     files = digests.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha256"))
     joined = judged.withColumn("_lookup", lookup).join(files, F.col("_lookup") == F.col("_path"), "left")
-    file_problems = F.array_compact(
-        F.array(
-            _problem(F.col("_sha256").isNull(), "SOURCE_FILE_NOT_FOUND", "source_file"),
-            _problem(F.col("source_hash") != F.col("_sha256"), "SOURCE_HASH_MISMATCH", "source_hash"),
-        )
+    file_problems = _problems(
+        [
+            _problem("_sha256 IS NULL", "SOURCE_FILE_NOT_FOUND", ".source_file"),
+            _problem("source_hash <> _sha256", "SOURCE_HASH_MISMATCH", ".source_hash"),
+        ]
     )
     return joined.withColumn(
         "problems", F.when(F.size("problems") > 0, F.col("problems")).otherwise(file_problems)
@@ -128,11 +124,11 @@ def verify_manifest(
 def first_manifest_match(workbooks: DataFrame, entries: DataFrame) -> DataFrame:
     """The first verified entry, in manifest order, that names each workbook's file."""
     listed = entries.select(
-        "manifest_id", normalize_segments(F.col("source_file")).alias("path"), "entry_index",
+        "manifest_id", normalize_segments("source_file").alias("path"), "entry_index",
         "source_id",
     )
     located = workbooks.select(
-        "workbook_id", "manifest_id", normalize_segments(F.col("path")).alias("path")
+        "workbook_id", "manifest_id", normalize_segments("path").alias("path")
     )
     return (
         located.join(listed, ["manifest_id", "path"])

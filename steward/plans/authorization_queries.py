@@ -414,7 +414,7 @@ def q_output_root_check(spark, sf):
 
 @query(oracle="select * from contract_errors", **_STEPS)
 def q_authorization_contract(spark, sf):
-    return az.authorization_contract(*_load(spark, sf, *_ALL[:4]))
+    return az.authorization_contract(*_load(spark, sf, *_ALL[:4])).drop("has_target")
 
 
 def _verdicts(spark, sf):

@@ -86,27 +86,29 @@ union all
 select 1 as sheet_ordinal, o_orderkey as k, o_orderstatus as txt, o_totalprice as amount,
        o_orderdate as dt, o_orderpriority as category from {orders}
 """
+# Workbooks with w % 25 in (6, 7, 15, 18) hold no formula and no error cell.
 BINDINGS["grid"] = """
 select 'WB-' || cast(w as string) as workbook_id, w, sheet_ordinal, k, n, t,
        n + 2 + t as row_ordinal,
        case when k % 53 = 0 then cast(null as double) else cast(k as double) end as c1_number,
        case when k % 53 = 0 or k % 13 = 0 then cast(null as string) when k % 43 = 0 then '   '
             when k % 37 = 0 then '  ' || txt || '  ' else txt end as c2_text,
-       case when k % 29 = 0 then 'f' when k % 31 = 0 then 'e' when k % 41 = 0 then 'b'
-            else 'n' end as c3_type,
-       case when k % 53 = 0 then cast(null as string) when k % 29 = 0 then '=SUM(1,2)'
-            when k % 31 = 0 then '#DIV/0!' end as c3_text,
-       case when k % 53 <> 0 and k % 29 <> 0 and k % 31 <> 0 and k % 41 <> 0
-            then amount end as c3_number,
-       case when k % 53 <> 0 and k % 29 <> 0 and k % 31 <> 0 and k % 41 = 0
-            then k % 2 = 0 end as c3_boolean,
+       kind as c3_type,
+       case when k % 53 = 0 then cast(null as string) when kind = 'f' then '=SUM(1,2)'
+            when kind = 'e' then '#DIV/0!' end as c3_text,
+       case when k % 53 <> 0 and kind = 'n' then amount end as c3_number,
+       case when k % 53 <> 0 and kind = 'b' then k % 2 = 0 end as c3_boolean,
        case when k % 59 = 0 then 's' else 'd' end as c4_type,
        case when k % 53 <> 0 and k % 59 = 0 and sheet_ordinal = 1 then '2020-01-02' end as c4_text,
        case when k % 53 <> 0 and k % 59 <> 0 then dt end as c4_time,
        case when k % 47 = 0 then 'x' when k % 3 = 0 then 'inlineStr' else 's' end as c5_type,
        case when k % 53 <> 0 then category end as c5_text
 from (
-  select *, case when w % 5 = 0 then 1 else 0 end as t from (
+  select *, case when w % 5 = 0 then 1 else 0 end as t,
+         case when k % 29 = 0 and w % 25 not in (6, 7, 15, 18) then 'f'
+              when k % 31 = 0 and w % 25 not in (6, 7, 15, 18) then 'e'
+              when k % 41 = 0 then 'b' else 'n' end as kind
+  from (
     select *, cast(floor(k / 1000000) as bigint) * 25 + k % 25 as w,
            cast(floor((k % 1000000) / 25) as bigint) as n
     from grid_rows) placed) titled
@@ -640,13 +642,42 @@ from sheet_xml_base
 """
 
 
+BINDINGS["book_sheets"] = """
+select workbook_id, cast(slot as int) as sheet_ordinal, page_id,
+       'Sheet ' || cast(page_id as string) as sheet_name,
+       case page_id % 4 when 1 then 'hidden' when 2 then 'veryHidden' else 'visible' end as state,
+       slot % 4 = 1 as commented
+from page_entries
+"""
+
+# --- byte documents: YAML manifests of ten documents, workbooks of a hundred orders -------------
+
+BINDINGS["yaml_items"] = """
+select cast(floor(doc_id / 10) as bigint) as g, doc_id,
+       '  - {source_id: "SRC-' || cast(doc_id as string) || '", fal_version: FALTEST, '
+       || 'ontology_version: "0.0", profile_version: "p", source_file: "' || source || '/'
+       || cast(doc_id as string) || '.txt", source_hash: "' || sha2(text, 256) || '"'
+       || (case when doc_id % 41 = 0 then ', verified: true' else '' end)
+       || (case when doc_id % 43 = 0 then ', colour: red' else '' end) || '}' as item
+from {documents}
+"""
+BINDINGS["order_cells"] = """
+select 'XW-' || cast(cast(floor(o_orderkey / 100) as bigint) as string) as workbook_id,
+       o_orderkey as k, o_orderkey % 100 + 2 as r, o_totalprice as amount,
+       o_orderstatus as status, o_orderpriority as priority, o_orderdate as day,
+       case when o_orderkey % 29 = 0 then 'f' when o_orderkey % 31 = 0 then 'e'
+            when o_orderkey % 37 = 0 then 'b' else 'n' end as kind
+from {orders}
+"""
+
+
 # --- resolution -------------------------------------------------------------------------------
 
 _NAME = re.compile(r"[a-z_][a-z0-9_]*")
 
 
 def _dependencies(sql: str, known: dict[str, str]) -> list[str]:
-    words = re.findall(r"(?:from|join)\s+([a-z_][a-z0-9_]*)", sql)
+    words = re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", sql)
     return [w for w in dict.fromkeys(words) if w in known]
 
 

@@ -124,7 +124,7 @@ from manifest_entries
 def q_path_guard(spark, sf):
     entries = bind(spark, sf, "manifest_entries")
     return entries.select(
-        "entry_index", "source_file", escapes_base(F.col("source_file")).alias("outside_base")
+        "entry_index", "source_file", escapes_base("source_file").alias("outside_base")
     )
 
 
@@ -136,7 +136,7 @@ from output_bindings
 def q_absolute_path_guard(spark, sf):
     roots = bind(spark, sf, "output_bindings")
     return roots.select(
-        "authorization_id", "root_path", is_absolute(F.col("root_path")).alias("absolute")
+        "authorization_id", "root_path", is_absolute("root_path").alias("absolute")
     )
 
 

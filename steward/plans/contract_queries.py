@@ -220,7 +220,7 @@ def q_check_code_patterns(spark, sf):
     parts = [
         df.select(
             subject.alias("subject_id"), F.lit(name).alias("field"), F.col(name).alias("value"),
-            matches(F.col(name), pattern).alias("well_formed"),
+            matches(name, pattern).alias("well_formed"),
         )
         for df, subject, name, pattern in sources
     ]
