@@ -1,4 +1,5 @@
 import hashlib
+from functools import reduce
 
 import pytest
 
@@ -24,19 +25,20 @@ ENTRY_DDL = ", ".join(
 def verify(spark, *changes, version=1):
     data = [tuple({**ENTRY, "entry_index": i, **c}.values()) for i, c in enumerate(changes)]
     entries = spark.createDataFrame(data, ENTRY_DDL)
-    digests = spark.createDataFrame(
-        [("files/test-source.bin", 1, HASH), ("files/b.bin", 1, HASH)],
-        "path string, length bigint, sha256 string",
-    )
     manifests = spark.createDataFrame(
         [("M", version, False)], "manifest_id string, version int, pending_shape boolean"
     )
-    return pv.verify_manifest(entries, digests, manifests)
+    return pv.verify_manifest(entries, _digests(spark), manifests)
 
 
-@pytest.mark.parametrize(
-    ("change", "expected"),
-    [
+def _digests(spark):
+    return spark.createDataFrame(
+        [("files/test-source.bin", 1, HASH), ("files/b.bin", 1, HASH)],
+        "path string, length bigint, sha256 string",
+    )
+
+
+ENTRIES = [
         ({}, []),
         ({"source_file": "./files//test-source.bin"}, []),
         ({"source_hash": "0" * 64}, ["SOURCE_HASH_MISMATCH"]),
@@ -50,12 +52,23 @@ def verify(spark, *changes, version=1):
         ({"source_file": "../x"}, ["SOURCE_PATH_OUTSIDE_BASE"]),
         ({"has_forbidden_field": True, "source_hash": "x"}, ["MANIFEST_FORBIDDEN_FIELD"]),
         ({"source_id": "", "source_hash": "x"}, ["MANIFEST_ENTRY_INVALID", "SOURCE_HASH_FORMAT_INVALID"]),
-    ],
-)
-def test_entry_checks(spark, change, expected):
-    check = verify(spark, change)
-    assert sorted(r.code for r in check.findings.collect()) == expected
-    assert check.entries.count() == (0 if expected else 1)
+]
+
+
+def test_entry_checks(spark):
+    data = [
+        tuple({**ENTRY, "manifest_id": f"M{i}", **change}.values())
+        for i, (change, _) in enumerate(ENTRIES)
+    ]
+    manifests = spark.createDataFrame(
+        [(f"M{i}", 1, False) for i in range(len(ENTRIES))],
+        "manifest_id string, version int, pending_shape boolean",
+    )
+    check = pv.verify_manifest(spark.createDataFrame(data, ENTRY_DDL), _digests(spark), manifests)
+    found, passed = rows(check.findings, "subject_id", "code"), rows(check.entries, "manifest_id")
+    for i, (change, expected) in enumerate(ENTRIES):
+        assert [code for key, code in found if key == f"M{i}"] == expected, change
+        assert ((f"M{i}",) in passed) is (not expected), change
 
 
 def test_manifests_pass_whole_or_not_at_all(spark):
@@ -196,7 +209,7 @@ REPORT_ID = hashlib.sha256(REPORT.encode()).hexdigest()
 
 
 def bundle(spark, *, auth=None, report=None, sheets=None, report_sheets=None, findings=(), acks=(),
-           reviews=(), binding=None):
+           reviews=(), binding=None, key="X"):
     a = {"version": 1, "source_id": "SRC", "inspection_report_id": REPORT_ID,
          "output_storage_class": "internal-restricted", "approved_output_root_id": "TEST-ROOT",
          "human_review_completed": True, **(auth or {})}
@@ -215,7 +228,7 @@ def bundle(spark, *, auth=None, report=None, sheets=None, report_sheets=None, fi
                                  "model_reference_scope_approved", "model_reference_reviewer_recorded"))
 
     def table(data, ddl):
-        return spark.createDataFrame([("X", *d) for d in data], "authorization_id string, " + ddl)
+        return spark.createDataFrame([(key, *d) for d in data], "authorization_id string, " + ddl)
 
     def record(d):
         types = {bool: "boolean", int: "int", str: "string"}
@@ -302,16 +315,23 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("changes", "expected"), CASES)
-def test_authorization(spark, changes, expected):
-    tables = bundle(spark, **changes)
-    found = az.authorization_findings(*tables).groupBy("code").sum("occurrences").collect()
-    assert {r[0]: r[1] for r in found} == expected
-    verdict = az.authorization_verdict(*tables).head()
-    assert verdict.valid is (not expected)
-    assert verdict.finding_count == sum(expected.values())
-    if verdict.valid:
-        assert verdict.blocking_finding_count == 0 and verdict.output_root_authorized
+def test_authorizations(spark):
+    """All cases at once: one job judges many authorizations, and they do not touch each other."""
+    bundles = [bundle(spark, **changes, key=f"X{i}") for i, (changes, _) in enumerate(CASES)]
+    tables = [reduce(lambda x, y: x.unionByName(y), parts) for parts in zip(*bundles, strict=True)]
+    tables = [spark.createDataFrame(t.collect(), t.schema) for t in tables]
+    found = {}
+    for r in az.authorization_findings(*tables).collect():
+        case = found.setdefault(r.authorization_id, {})
+        case[r.code] = case.get(r.code, 0) + r.occurrences
+    verdicts = {r.authorization_id: r for r in az.authorization_verdict(*tables).collect()}
+    for i, (changes, expected) in enumerate(CASES):
+        verdict = verdicts[f"X{i}"]
+        assert found.get(f"X{i}", {}) == expected, changes
+        assert verdict.valid is (not expected), changes
+        assert verdict.finding_count == sum(expected.values()), changes
+        if verdict.valid:
+            assert verdict.blocking_finding_count == 0 and verdict.output_root_authorized
 
 
 def test_gate_names_flags_and_codes(spark):
@@ -327,28 +347,25 @@ def test_gate_names_flags_and_codes(spark):
 # --- decisions --------------------------------------------------------------------------------------
 
 
-def decide(spark, *, status="APPROVED", review=False, findings=(), refs=(), sources=(), results=None,
-           items=None, subject="S"):
-    def table(data, ddl):
-        return spark.createDataFrame([("D", *d) for d in data], "decision_id string, " + ddl)
-
-    return dc.assemble_decisions(
-        table([("MAPPING", status, subject, "s", "r", review)],
-              "decision_type string, status string, subject_id string, summary string, rationale string, "
-              "human_review_required boolean"),
-        table(findings, "finding_index bigint, severity string"),
-        table(refs, "finding_index bigint, ref string"),
-        table(sources, "result_index bigint, status string"),
-        table([(0, "PASS", False)] if results is None else results,
-              "result_index bigint, status string, has_errors boolean"),
-        table([(0, 0, "evidence:A", "h1")] if items is None else items,
-              "result_index bigint, item_index bigint, evidence_id string, source_hash string"),
-    )
+def decision(key, *, status="APPROVED", review=False, findings=(), refs=(), sources=(), results=None,
+             items=None, subject="S"):
+    """Rows of one decision for the six input tables."""
+    results = [(0, "PASS", False)] if results is None else results
+    items = [(0, 0, "evidence:A", "h1")] if items is None else items
+    header = [("MAPPING", status, subject, "s", "r", review)]
+    return [[(key, *d) for d in data] for data in (header, findings, refs, sources, results, items)]
 
 
-@pytest.mark.parametrize(
-    ("changes", "expected"),
-    [
+DECISION_TABLES = (
+    "decision_type string, status string, subject_id string, summary string, rationale string, "
+    "human_review_required boolean",
+    "finding_index bigint, severity string", "finding_index bigint, ref string",
+    "result_index bigint, status string", "result_index bigint, status string, has_errors boolean",
+    "result_index bigint, item_index bigint, evidence_id string, source_hash string",
+)
+
+
+DECISIONS = [
         ({}, []),
         ({"review": True}, ["GOVERNANCE_RESULT_INVALID"]),
         ({"sources": [(0, "FAIL")]}, ["GOVERNANCE_RESULT_INVALID"]),
@@ -363,12 +380,23 @@ def decide(spark, *, status="APPROVED", review=False, findings=(), refs=(), sour
         ({"items": [(0, 0, "evidence:A", "h1"), (0, 1, "evidence:A", "h1")]}, []),
         ({"items": [(0, 0, "evidence:A", "h1"), (0, 1, "evidence:A", "h2"), (0, 2, "evidence:A", None)]},
          ["EVIDENCE_ID_CONFLICT", "EVIDENCE_ID_CONFLICT"]),
-    ],
-)
-def test_assembly(spark, changes, expected):
-    assembled, evidence, findings = decide(spark, **changes)
-    assert sorted(r.code for r in findings.collect()) == expected
-    assert assembled.count() == evidence.count() == (0 if expected else 1)
+]
+
+
+def test_assembly(spark):
+    made = [decision(f"D{i}", **changes) for i, (changes, _) in enumerate(DECISIONS)]
+    tables = [
+        spark.createDataFrame(sum(parts, []), "decision_id string, " + ddl)
+        for parts, ddl in zip(zip(*made, strict=True), DECISION_TABLES, strict=True)
+    ]
+    assembled, evidence, findings = dc.assemble_decisions(*tables)
+    passed = {r.decision_id for r in assembled.collect()}
+    merged = [r.decision_id for r in evidence.collect()]
+    found = rows(findings, "decision_id", "code")
+    for i, (changes, expected) in enumerate(DECISIONS):
+        assert [code for key, code in found if key == f"D{i}"] == expected, changes
+        assert (f"D{i}" in passed) is (not expected), changes
+        assert merged.count(f"D{i}") == (0 if expected else 1), changes
 
 
 def test_snapshot_drift(spark):
