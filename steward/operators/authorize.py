@@ -105,19 +105,25 @@ def sheet_ledger(
     )
 
 
-_FINDING_FACTS = {
-    "f": "struct<finding_index:bigint,severity:string>",
-    "k": "struct<disposition:string,reason_code:string>",
-}
+#: Facts as numbers, so that the grouping hashes with fixed-width buffers instead of sorting:
+#: `f` is twice the position of the finding, plus one unless it is an ERROR; `k` the disposition,
+#: stricter ones higher, so that of repeated acknowledgements the strictest counts.
+_FINDING_FACTS = {"f": "bigint", "k": "int"}
+_ACCEPTED = 0
+_DISPOSITION = {"accepted_for_reviewed_scope": _ACCEPTED, "resolved": 1, "remains_blocking": 2}
 
 
 def finding_ledger(report_findings: DataFrame, acks: DataFrame) -> DataFrame:
     """One row per (authorization, code, sheet ordinal): the report's first finding `f`, how
-    often it is reported, and its acknowledgement `k`."""
+    often it is reported, and its acknowledgement `k`; null where a side is silent."""
+    first = F.expr("finding_index * 2 + IF(severity <=> 'ERROR', 0, 1)")
+    known = " ".join(f"WHEN '{name}' THEN {i}" for name, i in _DISPOSITION.items())
+    # An unknown disposition fails the contract; here it only must not look like an acceptance.
+    acknowledged = F.expr(f"CASE disposition {known} ELSE {len(_DISPOSITION)} END")
     keyed = report_findings.withColumn("sheet_ordinal", sheet_ordinal_from_path(F.col("path")))
     parts = [
-        _facts(keyed, FINDING_KEY, _FINDING_FACTS, f=F.struct("finding_index", "severity")),
-        _facts(acks, FINDING_KEY, _FINDING_FACTS, k=F.struct("disposition", "reason_code")),
+        _facts(keyed, FINDING_KEY, _FINDING_FACTS, f=first),
+        _facts(acks, FINDING_KEY, _FINDING_FACTS, k=acknowledged),
     ]
     return _union(parts).groupBy(*FINDING_KEY).agg(
         F.min("f").alias("f"), F.max("k").alias("k"), F.count("f").alias("report_rows")
@@ -255,11 +261,11 @@ def _verdict() -> Column:
     return F.expr(
         f"""
         CASE WHEN f IS NULL THEN NULL
-             WHEN f.severity = 'ERROR' THEN 'FATAL_FINDING_PRESENT'
+             WHEN f % 2 = 0 THEN 'FATAL_FINDING_PRESENT'
              WHEN code IN {S.BLOCKING_CODES} THEN 'CURRENT_REPORT_BLOCKING_FINDING'
              WHEN k IS NULL THEN 'FINDING_AUTHORIZATION_MISSING'
              WHEN code NOT IN {S.REVIEWABLE_CODES} THEN 'UNKNOWN_FINDING_BLOCKING'
-             WHEN k.disposition = 'accepted_for_reviewed_scope' THEN 'REVIEWED'
+             WHEN k = {_ACCEPTED} THEN 'REVIEWED'
              ELSE 'BLOCKING_FINDING_UNRESOLVED' END
         """
     )
@@ -278,9 +284,10 @@ def _finding_rules() -> list[str]:
 def finding_acks(report_findings: DataFrame, acks: DataFrame) -> DataFrame:
     """Every distinct report finding with its acknowledgement, if any."""
     ledger = finding_ledger(report_findings, acks).filter(F.col("f").isNotNull())
+    names = " ".join(f"WHEN {i} THEN '{name}'" for name, i in _DISPOSITION.items())
     return ledger.select(
-        *FINDING_KEY, F.col("f.severity").alias("severity"),
-        F.col("k.disposition").alias("disposition"),
+        *FINDING_KEY, F.expr("IF(f % 2 = 0, 'ERROR', 'WARNING') AS severity"),
+        F.expr(f"CASE k {names} END AS disposition"),
         F.when(F.col("k").isNull(), "FINDING_AUTHORIZATION_MISSING").alias("missing"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steward.functions.cells import reject_code, typed_value
 from steward.functions.paths import cell_path
 from steward.schemas import VALUE_TYPES, WARNING
+from steward.staging import staged
 
 SHEET = ["workbook_id", "sheet_ordinal"]
 ROW = [*SHEET, "row_ordinal"]
@@ -157,7 +158,13 @@ def record_ordinal(
     Pivot and numbering share one shuffle on (sheet, block of rows); the numbers of a block start
     after the accepted rows of the blocks before it.
     """
-    accepted = map_columns(cells, spec, bucket_width).filter(is_accepted(spec))
+    return _numbered(map_columns(cells, spec, bucket_width), spec)
+
+
+def _numbered(mapped: DataFrame, spec: MappingSpec, bucket_width: int = 1 << 18) -> DataFrame:
+    accepted = mapped.filter(is_accepted(spec))
+    if "_bucket" not in mapped.columns:
+        accepted = accepted.withColumn("_bucket", F.expr(f"row_ordinal div {bucket_width}"))
     block = [*SHEET, "_bucket"]
     sizes = accepted.groupBy(*block).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*SHEET).orderBy("_bucket").rowsBetween(
@@ -176,13 +183,15 @@ def record_ordinal(
 
 
 def normalized_records(
-    cells: DataFrame, spec: MappingSpec, sources: DataFrame | None = None
+    cells: DataFrame | None, spec: MappingSpec, sources: DataFrame | None = None,
+    mapped: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted records: ordinal, dataset, source, sheet, source row and typed `values`.
 
     `sources` (workbook_id, source_id) supplies provenance; without it the workbook id is used.
+    `mapped` is the result of `map_columns` where a caller already has it as a table.
     """
-    numbered = record_ordinal(cells, spec)
+    numbered = record_ordinal(cells, spec) if mapped is None else _numbered(mapped, spec)
     source = F.col("workbook_id")
     if sources is not None:
         numbered = numbered.join(sources.select("workbook_id", "source_id"), "workbook_id")
@@ -271,7 +280,8 @@ def normalize(cells: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normal
     """
     wanted = cleared.filter(F.col("sheet_ordinal") == spec.sheet_ordinal)
     usable = cells.join(wanted.select(*SHEET), SHEET, "left_semi")
-    mapped = map_columns(usable, spec)
+    # Four outputs read the mapped rows: written once, they are not computed four times.
+    mapped = staged(map_columns(usable, spec), "mapped")
     keys = wanted.select("workbook_id", "source_id")
     blank = wanted.select(
         *SHEET, F.explode(F.array(*[F.lit(c.ordinal) for c in spec.columns])).alias("source_column_ordinal")
@@ -303,5 +313,5 @@ def normalize(cells: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normal
         .withColumn("dataset_id", F.lit(spec.dataset_id))
     )
     return Normalized(
-        normalized_records(usable, spec, keys), reject_rows(mapped, spec), evidence, summary
+        normalized_records(None, spec, keys, mapped), reject_rows(mapped, spec), evidence, summary
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from steward.operators import authorize as az, keys as ky
 from steward.plans.bindings import bind
 from steward.plans.registry import query
+from steward.staging import staged
 
 _BLOCKING = ("('WORKBOOK_SCAN_LIMIT_REACHED', 'WORKBOOK_HEADER_NOT_DETECTED', "
              "'WORKBOOK_XML_PART_SCAN_SKIPPED')")
@@ -30,7 +31,9 @@ select *, row_number() over (partition by authorization_id, sheet_ordinal
 from report_sheets where sheet_ordinal >= 0""",
     "known_sheets": "select * from ranked_sheets where rn = 1",
     "ack_keys": """
-select authorization_id, code, sheet_ordinal, max(disposition) as disposition
+select authorization_id, code, sheet_ordinal,
+       arg_max(disposition, case disposition when 'accepted_for_reviewed_scope' then 0
+                                             when 'resolved' then 1 else 2 end) as disposition
 from acks group by authorization_id, code, sheet_ordinal""",
     "drawn": """
 select distinct authorization_id, sheet_ordinal from report_keys
@@ -417,12 +420,16 @@ def q_authorization_contract(spark, sf):
     return az.authorization_contract(*_load(spark, sf, *_ALL[:4])).drop("has_target")
 
 
-def _verdicts(spark, sf):
-    return az.authorization_verdict(*_load(spark, sf, *_ALL))
+def _tables(spark, sf):
+    """All inputs; those that several ledgers read are written once instead of derived each time."""
+    return [
+        staged(table, name) if name in ("acks", "reviews", "report_findings") else table
+        for name, table in zip(_ALL, _load(spark, sf, *_ALL), strict=True)
+    ]
 
 
-def _findings(spark, sf):
-    return az.authorization_findings(*_load(spark, sf, *_ALL))
+def _verdicts(spark, sf):
+    return az.authorization_verdict(*_tables(spark, sf))
 
 
 @query(oracle="select * from verdicts_by_authorization", **_STEPS)
@@ -438,7 +445,7 @@ from every_finding group by authorization_id, code, path
     **_STEPS,
 )
 def q_authorization_findings(spark, sf):
-    return _findings(spark, sf)
+    return az.authorization_findings(*_tables(spark, sf))
 
 
 @query(
@@ -461,7 +468,10 @@ group by authorization_id, detail
     **_STEPS,
 )
 def q_authorization_gate(spark, sf):
-    return az.authorization_gate(_verdicts(spark, sf), _findings(spark, sf))
+    tables = _tables(spark, sf)
+    return az.authorization_gate(
+        az.authorization_verdict(*tables), az.authorization_findings(*tables)
+    )
 
 
 @query(

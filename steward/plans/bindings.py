@@ -297,9 +297,7 @@ select authorization_id, r, clean, s, code_number, l_linenumber, l_orderkey, fin
        l_partkey
 from auth_lines where clean = 0
 """
-BINDINGS["report_findings"] = """
-select authorization_id, r, clean, finding_index,
-       case when clean = 0 and l_partkey % 83 = 0 then 'ERROR' else 'WARNING' end as severity,
+_CODE = """
        case code_number
          when 0 then 'WORKBOOK_SCAN_LIMIT_REACHED' when 1 then 'WORKBOOK_HEADER_NOT_DETECTED'
          when 2 then 'WORKBOOK_XML_PART_SCAN_SKIPPED'
@@ -307,18 +305,23 @@ select authorization_id, r, clean, finding_index,
          when 5 then 'WORKBOOK_CUSTOM_XML_PRESENT' when 6 then 'WORKBOOK_DIGITAL_SIGNATURE_PRESENT'
          when 7 then 'WORKBOOK_EMPTY_SHEET' when 8 then 'WORKBOOK_DRAWING_ONLY_SHEET'
          when 9 then 'WORKBOOK_FORMULA_PRESENT' when 10 then 'WORKBOOK_HIDDEN_SHEET_PRESENT'
-         else 'WORKBOOK_CELL_ERROR_PRESENT' end as code,
+         else 'WORKBOOK_CELL_ERROR_PRESENT' end as code"""
+BINDINGS["report_findings"] = f"""
+select authorization_id, finding_index,
+       case when clean = 0 and l_partkey % 83 = 0 then 'ERROR' else 'WARNING' end as severity,
+       {_CODE},
        case when clean = 0 and l_linenumber = 7 then '$.workbook'
             when clean = 0 and l_linenumber = 6 then cast(null as string)
             else '$.sheets.' || cast(s as string)
                  || (case when l_linenumber = 2 then '.rows.1' else '' end) end as path
 from auth_lines_distinct
 """
-BINDINGS["finding_keys_raw"] = """
-select distinct authorization_id, r, clean, code,
-       case when path like '$.sheets.%'
-            then cast(split_part(path, '.', 3) as int) end as sheet_ordinal
-from report_findings
+BINDINGS["finding_keys_raw"] = f"""
+select 'AUTH-' || cast(r as string) as authorization_id, r, clean, {_CODE}, code_number,
+       sheet_ordinal
+from (select distinct r, clean, code_number,
+             case when clean = 1 or l_linenumber < 6 then s end as sheet_ordinal
+      from auth_lines) k
 """
 BINDINGS["acks"] = """
 select authorization_id, code, sheet_ordinal,
@@ -327,7 +330,7 @@ select authorization_id, code, sheet_ordinal,
        case when clean = 0 and r % 89 = 2 and sheet_ordinal = 3 then 'lower_reason'
             else 'TEST_REASON_001' end as reason_code
 from finding_keys_raw
-where clean = 1 or (r + coalesce(sheet_ordinal, 9) + length(code)) % 11 <> 0
+where clean = 1 or (r + coalesce(sheet_ordinal, 9) + code_number) % 11 <> 0
 union all
 select authorization_id, 'WORKBOOK_EMPTY_SHEET' as code, 100 + s as sheet_ordinal,
        'resolved' as disposition, 'TEST_REASON_002' as reason_code
@@ -379,7 +382,7 @@ select authorization_id, sheet_ordinal,
        r % 9 <> 0 as external_verification_asserted,
        r % 10 = 1 as external_verification_technically_confirmed
 from finding_keys_raw
-where code = 'WORKBOOK_DRAWING_ONLY_SHEET' and sheet_ordinal is not null
+where code_number = 8 and sheet_ordinal is not null
       and (r + sheet_ordinal) % 4 <> 0
 union all
 select authorization_id, 200 + s as sheet_ordinal, 'documentation' as drawing_review_category,

@@ -306,13 +306,13 @@ from records
     **_NORMAL_STEPS,
 )
 def q_write_artifact_set(spark, sf):
-    grid = cells(spark, sf)
-    mapped = nz.map_columns(grid, SHEET_SPEC)
+    every = bind(spark, sf, "workbooks").selectExpr(
+        "workbook_id", f"{SHEET_SPEC.sheet_ordinal} AS sheet_ordinal", "workbook_id AS source_id"
+    )
+    out = nz.normalize(cells(spark, sf), SHEET_SPEC, every)
     artifacts = {
-        "records": nz.normalized_records(grid, SHEET_SPEC),
-        "findings": nz.reject_rows(mapped, SHEET_SPEC),
-        "evidence": nz.mapping_evidence(mapped, SHEET_SPEC),
-        "summary": nz.normalization_summary(mapped, SHEET_SPEC),
+        "records": out.records, "findings": out.findings, "evidence": out.evidence,
+        "summary": out.summary,
     }
     target = shared_directory(spark, "artifacts")
     write_artifact_set(artifacts, target, nz.ARTIFACT_ORDER)
