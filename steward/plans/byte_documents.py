@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.plans.bindings import bind
+from steward.session import ship_package
 
 _WORKBOOK_XML = (
     '<workbook xmlns:r="r"><sheets><sheet name="Orders" sheetId="1" r:id="rId1"/></sheets></workbook>'
@@ -88,6 +89,7 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             || '</sheetData></worksheet>'"""
         ).alias("sheet")
     )
+    ship_package(spark)
     return sheets.mapInPandas(_pack, "workbook_id string, content binary")
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,23 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, which the file scanners run in; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="run-")) / "steward_package.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent).as_posix())
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def local_session(app: str = "steward", cpus: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))

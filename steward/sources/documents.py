@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from steward.functions.jsontext import is_json_object
+from steward.session import ship_package
 from steward.schemas import (
     ERROR, MANIFEST_FORBIDDEN_FIELDS, PENDING_ALLOWED_KEYS, PENDING_REQUIRED_KEYS, PENDING_STATUS,
 )
@@ -117,6 +118,7 @@ def scan_manifests(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     objects, and fields of a wrong type or unknown name, are findings here because the typed
     entries table cannot show them.
     """
+    ship_package(files.sparkSession)
     parsed = files.select("manifest_id", "content").mapInPandas(_parse_batches, _SCAN)
     manifests = parsed.filter(F.size("codes") == 0).select("manifest_id", "version", "pending_shape")
     pending = parsed.filter(F.size("codes") > 0).select(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.schemas import HASH_CHUNK
+from steward.session import ship_package
 
 #: Files above this size are hashed in chunks instead of being held in one value.
 WHOLE_FILE_LIMIT = 256 * 1024 * 1024
@@ -66,5 +67,6 @@ def scan_file_digests(
     files = read_files(spark, base, glob)
     small = file_digests(files.filter(F.col("length") <= whole_file_limit))
     big = files.select("path", "length").filter(F.col("length") > whole_file_limit)
+    ship_package(spark)
     chunked = big.mapInPandas(_hash_in_chunks, "path string, length bigint, sha256 string")
     return relative_to(small.unionByName(chunked), base)

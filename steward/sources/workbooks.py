@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from steward.functions.cells import classify_cell
 from steward.schemas import ERROR, XML_PART_READ_LIMIT
+from steward.session import ship_package
 
 _PARTS = (
     "workbook_id string, entry_ordinal bigint, entry_name string, compress_size bigint, "
@@ -76,6 +77,7 @@ def scan_workbook_parts(
             for workbook_id, content in zip(batch["workbook_id"], batch["content"], strict=True):
                 yield pd.DataFrame(_parts_of(workbook_id, content, read_limit), columns=names)
 
+    ship_package(files.sparkSession)
     scanned = files.select("workbook_id", "content").mapInPandas(scan, _PARTS)
     findings = scanned.filter("NOT readable").select(
         F.col("workbook_id").alias("subject_id"), F.lit(ERROR).alias("severity"),
@@ -285,6 +287,7 @@ def scan_workbook_cells(
                 if rows:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
 
+    ship_package(files.sparkSession)
     scanned = files.select("workbook_id", "content").mapInPandas(scan, _CELLS)
     failed = scanned.filter("NOT loaded").select("workbook_id")
     cells = scanned.filter("loaded").select(
