@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from steward.operators import authorize as az, keys as ky
 from steward.plans.bindings import bind
 from steward.plans.registry import query
