@@ -39,6 +39,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the settings above on a session that a cluster brought; the operators' claims rest on them."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "steward", cpus: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))

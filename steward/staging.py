@@ -14,10 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_directory(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; a local temporary one only where none is configured."""
+    """A fresh path in the shared folder. Without one only a local session may go on: its driver
+    and executors are one process, so a temporary folder is shared storage."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
