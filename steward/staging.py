@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_directory(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder. Without one only a local session may go on: its driver
     and executors are one process, so a temporary folder is shared storage."""
@@ -21,8 +24,9 @@ def shared_directory(spark: SparkSession, name: str) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        application = spark.sparkContext.applicationId
+        shared = _local.setdefault(application, "") or tempfile.mkdtemp(prefix="run-")
+        _local[application] = shared
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
