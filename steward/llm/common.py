@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks_for(df: DataFrame, bytes_per_task: int = 32 << 20, least: int = 1) -> int:
     """Tasks for a shuffle of `df`, from the optimizer's size estimate (file sizes for a scan)."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(plan.stats().sizeInBytes().toString())
+    size = int(str(plan.stats().sizeInBytes()))
     return max(least, min(100_000, -(-size // bytes_per_task)))
 
 
