@@ -133,7 +133,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     """Encode and write all texts in ascending doc_id order."""
     n = tasks_for(docs, FILE_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    keys = ("doc_id", F.xxhash64("text"))  # the sample that finds the ranges holds keys only
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
     made = ordered.mapInArrow(lambda batches: encoded_frames(batches, tokenizer, end_id), "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
