@@ -32,7 +32,8 @@ from steward.llm.chunks import ChunkEncoder
 from steward.llm.common import byte_view, pieces, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-KEPT_PAIRS = 2_000_000
+#: Pair ranks kept in a worker, and bytes of new pieces replayed at once.
+KEPT_PAIRS, REPLAY_BYTES = 200_000, 256 << 10
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 _tables: dict[str, list[bytes]] = {}
 
@@ -49,16 +50,16 @@ class Replay:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # by left << 32 | right
         self.start = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int32)
 
     def rank(self, a: int, b: int) -> int:
         """Rank of the merge of two tokens, or -1."""
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 32 | b)
         if found is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
+            found = self.pairs[a << 32 | b] = self.ranks.get(self.token[a] + self.token[b], -1)
         return found
 
     def words(self, words: list[bytes]) -> list[list[int]]:
@@ -111,7 +112,7 @@ class Replay:
                 if n < size:
                     before[n] = p
                     b = tokens[n]
-                    new = known((r, b))
+                    new = known(r << 32 | b)
                     if new is None:
                         new = rank(r, b)
                     if new >= 0:
@@ -124,7 +125,7 @@ class Replay:
                         index[new].append(p)
                 if left >= 0:
                     a = tokens[left]
-                    new = known((a, r))
+                    new = known(a << 32 | r)
                     if new is None:
                         new = rank(a, r)
                     merge[left] = new
@@ -160,7 +161,13 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
                 known[p] = [whole]
             else:
                 merged.append((p, b))
-        known.update(zip((p for p, _ in merged), replay.words([b for _, b in merged]), strict=True))
+        ends = np.cumsum([len(b) for _, b in merged])
+        at = 0
+        while at < len(merged):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + REPLAY_BYTES)))
+            run = merged[at:stop]
+            known.update(zip((p for p, _ in run), replay.words([b for _, b in run]), strict=True))
+            at = stop
         sizes = [sum(len(known[p]) for p in ps) for ps in parts]
         body = np.fromiter((t for ps in parts for p in ps for t in known[p]), np.dtype("<u4"), sum(sizes)).tobytes()
         ends = np.cumsum(np.array(sizes, np.int64) * 4).tolist()
@@ -196,24 +203,35 @@ def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.binary())], ["carried", "ids", "decoded"])
 
 
-def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """`docs` without its text, and `ids`: little-endian unsigned 32-bit integers."""
+def _carried(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` as a struct of its other columns and the text, and the struct's type."""
     carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("carried")
     rows = docs.select(carried, "text")
-    out = rows.mapInArrow(lambda batches: encoded_batches(batches, ranks, pattern),
-                          f"carried {rows.schema['carried'].dataType.simpleString()}, ids binary")
-    return out
+    return rows, rows.schema["carried"].dataType.simpleString()
+
+
+def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """carried (the other columns) and ids: little-endian unsigned 32-bit integers."""
+    rows, kind = _carried(docs)
+    return rows.mapInArrow(lambda batches: encoded_batches(batches, ranks, pattern), f"carried {kind}, ids binary")
 
 
 def decoded(rows: DataFrame, ranks: str) -> DataFrame:
     """`rows` of `encoded` with `decoded`, the bytes of the ids."""
-    return rows.mapInArrow(lambda batches: decoded_batches(batches, ranks),
-                           f"carried {rows.schema['carried'].dataType.simpleString()}, ids binary, decoded binary")
+    kind = rows.schema["carried"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: decoded_batches(batches, ranks), f"carried {kind}, ids binary, decoded binary")
+
+
+def encoded_and_decoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """The result of `decoded(encoded(...))` in one pass through one worker."""
+    rows, kind = _carried(docs)
+    return rows.mapInArrow(lambda batches: decoded_batches(encoded_batches(batches, ranks, pattern), ranks),
+                           f"carried {kind}, ids binary, decoded binary")
 
 
 def tokens(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, ids, and digests of the ids and of the bytes they decode to."""
-    both = decoded(encoded(docs.select("doc_id", "text"), ranks, pattern), ranks)
+    both = encoded_and_decoded(docs.select("doc_id", "text"), ranks, pattern)
     return both.select(
         F.col("carried.doc_id").alias("doc_id"), "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

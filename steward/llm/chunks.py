@@ -22,7 +22,7 @@ SPACE = "\\x09-\\x0d\\x1c-\\x20\u0085   -     　"
 _UNSAFE = f"^$|^[{SPACE}]|[{SPACE}]$"
 _SAFE_BLANK = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 #: Chunks kept between batches, and the longest one kept.
-KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 250_000, 64
 
 
 class ChunkEncoder:
