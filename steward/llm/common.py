@@ -49,6 +49,8 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 32 << 20, least: int = 1) ->
     """Tasks for a shuffle of `df`, from the optimizer's size estimate (file sizes for a scan)."""
     plan = df._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
+    if size >= 1 << 60:  # nothing is known of rows that don't come from files
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(100_000, -(-size // bytes_per_task)))
 
 

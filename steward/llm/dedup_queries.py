@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from steward.llm import super_minhash
+from pyspark.sql import functions as F
+
+from steward.llm import suffix_dedup, super_minhash
 from steward.llm.common import query, table
 
 SHINGLE_SQL = r"""
@@ -33,3 +35,9 @@ from docs d left join sizes z using (r) join roots o on o.node = d.doc_id
 @query(SHINGLE_SQL)
 def op10_super_minhash(spark, sf_dir):
     return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

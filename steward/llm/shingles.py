@@ -19,7 +19,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each."""
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
@@ -46,7 +46,7 @@ def word_hashes(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     closes[1:size] = word[:-1] & (~word[1:] | opens[1:])
     closes[size] = word[-1]
     stops = np.flatnonzero(closes)
-    up, down = _powers_to(size + 1)
+    up, down = powers_to(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTES[body] * up[:size], out=sums[1:])
     hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
