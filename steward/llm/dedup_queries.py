@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from steward.llm import suffix_dedup, super_minhash
+from steward.llm import near_embeddings, suffix_dedup, super_minhash
 from steward.llm.common import query, table
 
 SHINGLE_SQL = r"""
@@ -41,3 +41,27 @@ def op10_super_minhash(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+EMBEDDING_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+good as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as u, b.vec_id as v from good a join good b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) >= 0.93 * a.norm * b.norm),
+reach as (select vec_id as node, vec_id as root from v union select r.node, l.v from reach r join links l on l.u = r.root),
+roots as (select node, min(root) as root from reach group by node),
+counts as (select u, count(*) as n from links group by u)
+select v.vec_id, cast(coalesce(c.n, 0) as bigint) as n_links, r.root as component_id, v.vec_id = r.root as kept
+from v join roots r on r.node = v.vec_id left join counts c on c.u = v.vec_id
+"""
+
+
+@query(EMBEDDING_SQL)
+def op1_near_embeddings(spark, sf_dir):
+    return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
