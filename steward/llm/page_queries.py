@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from steward.llm import warc_archive
+from steward.llm import language_fusion, warc_archive
 from steward.llm.common import query, table
 
 ARCHIVE_SQL = """
@@ -20,3 +20,8 @@ from p left join g on p.digest = g.digest and p.n = g.n
 def op4_warc_archive(spark, sf_dir):
     found = warc_archive.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op5_language_fusion(spark, sf_dir):
+    return language_fusion.languages_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
