@@ -28,14 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steward.llm.chunks import ChunkEncoder
-from steward.llm.common import byte_view, pieces, texts_of
+from steward.llm.chunks import ChunkEncoder, gathered
+from steward.llm.common import blocks, byte_view, pieces, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pair ranks kept in a worker, and bytes of new pieces replayed at once.
-KEPT_PAIRS, REPLAY_BYTES = 200_000, 256 << 10
+#: Pair ranks kept for words encoded by themselves, and bytes of text whose new pieces are one replay.
+KEPT_PAIRS, BLOCK_BYTES = 200_000, 16 << 20
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
-_tables: dict[str, list[bytes]] = {}
+_tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,9 +50,19 @@ class Replay:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array(self.byte, np.int64)
         self.pairs: dict[int, int] = {}  # by left << 32 | right
+        pairs = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], np.int64)
         self.start = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int32)
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of token pairs, or -1; a token of -1 merges with nothing."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.pair_ranks[at], -1)
+
     def rank(self, a: int, b: int) -> int:
         """Rank of the merge of two tokens, or -1."""
         found = self.pairs.get(a << 32 | b)
@@ -64,6 +74,87 @@ class Replay:
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word; words aren't empty."""
+        if not words:
+            return []
+        size = sum(map(len, words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        owner = np.repeat(np.arange(len(words)), np.diff(stops, prepend=0))
+        # A last place beyond all words: nothing merges with it.
+        tokens = np.append(self.byte_ids[raw], -1)
+        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        after[stops - 1] = size
+        before[np.append(0, stops[:-1])] = size
+        merge = np.full(size + 1, -1, np.int64)
+        merge[: size - 1] = self.start[raw[:-1], raw[1:]]
+        merge[stops - 1] = -1
+        places = np.flatnonzero(merge >= 0)
+        places = places[np.argsort(merge[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(merge[places], prepend=-1))
+        index: dict[int, list[np.ndarray]] = {
+            int(merge[run[0]]): [run] for run in np.split(places, cuts[1:]) if len(run)}
+        heap = list(index)
+        heapq.heapify(heap)
+        odd = np.zeros(len(words), bool)
+        while heap:
+            r = heapq.heappop(heap)
+            lists = index.pop(r)
+            p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            p = p[merge[p] == r]
+            if not len(p):
+                continue
+            q = after[p]
+            if len(p) > 1 and (q[:-1] == p[1:]).any():  # places that share a token: leftmost first
+                free, keep = -1, np.ones(len(p), bool)
+                for i, (a, b) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                    keep[i] = a >= free
+                    if keep[i]:
+                        free = b + 1
+                p, q = p[keep], q[keep]
+            n = after[q]
+            tokens[p], tokens[q] = r, -1
+            merge[p] = merge[q] = -1
+            after[p] = n
+            before[n] = p
+            left = before[p]
+            new = np.concatenate([p, left])
+            ranks = self.ranks_of(np.concatenate([tokens[p], tokens[left]]), np.concatenate([tokens[n], tokens[p]]))
+            merge[new] = ranks
+            merge[size] = -1
+            found = ranks >= 0
+            if found.any():
+                new, ranks = new[found], ranks[found]
+                if (ranks <= r).any() and len(p) > 1:
+                    # Such a merge must come before the word's other places of this rank: words that
+                    # had several are encoded by themselves.
+                    words_of, times = np.unique(owner[p], return_counts=True)
+                    odd[np.intersect1d(words_of[times > 1], owner[new[ranks <= r]])] = True
+                if len(new) > 1:
+                    order = np.argsort(ranks, kind="stable")
+                    new, ranks = new[order], ranks[order]
+                    runs = np.split(new, np.flatnonzero(np.diff(ranks)) + 1)
+                else:
+                    runs = [new]
+                at = 0
+                for run in runs:
+                    rank = int(ranks[at])
+                    at += len(run)
+                    if rank not in index:
+                        index[rank] = []
+                        heapq.heappush(heap, rank)
+                    index[rank].append(run)
+        live = tokens[:size] >= 0
+        counts = np.add.reduceat(live, np.append(0, stops[:-1]))
+        flat = tokens[:size][live].tolist()
+        ends = np.cumsum(counts).tolist()
+        out = [flat[e - c: e] for e, c in zip(ends, counts.tolist(), strict=True)]
+        again = np.flatnonzero(odd).tolist()
+        for i, ids in zip(again, self.one_by_one([words[i] for i in again]), strict=True):
+            out[i] = ids
+        return out
+
+    def one_by_one(self, words: list[bytes]) -> list[list[int]]:
+        """The same merges, place by place; the rest of a word waits for merges of lower rank."""
         if not words:
             return []
         known, rank, byte = self.pairs.get, self.rank, self.byte
@@ -161,13 +252,7 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
                 known[p] = [whole]
             else:
                 merged.append((p, b))
-        ends = np.cumsum([len(b) for _, b in merged])
-        at = 0
-        while at < len(merged):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + REPLAY_BYTES)))
-            run = merged[at:stop]
-            known.update(zip((p for p, _ in run), replay.words([b for _, b in run]), strict=True))
-            at = stop
+        known.update(zip((p for p, _ in merged), replay.words([b for _, b in merged]), strict=True))
         sizes = [sum(len(known[p]) for p in ps) for ps in parts]
         body = np.fromiter((t for ps in parts for p in ps for t in known[p]), np.dtype("<u4"), sum(sizes)).tobytes()
         ends = np.cumsum(np.array(sizes, np.int64) * 4).tolist()
@@ -179,9 +264,8 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = replay_encoder(path, pattern)
-    for batch in batches:
-        for piece in pieces(batch, "text", 4 << 20):
-            ids, sizes = encoder.texts(texts_of(piece, "text"))
+    for block in blocks(batches, "text", 2 << 20, BLOCK_BYTES):
+        for piece, (ids, sizes) in zip(block, encoder.many([texts_of(p, "text") for p in block]), strict=True):
             offsets = np.append(0, np.cumsum(sizes * 4))
             column = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([piece.column(0), column.cast(pa.binary())], ["carried", "ids"])
@@ -190,17 +274,21 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str)
 def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     if path not in _tables:
         ranks = read_ranks(path)
-        _tables[path] = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            _tables[path][rank] = token
-    token = _tables[path].__getitem__
+            tokens[rank] = token
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        _tables[path] = (np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    data, begins, lengths = _tables[path]
     for batch in batches:
-        for piece in pieces(batch, "ids", 4 << 20):
+        for piece in pieces(batch, "ids", 2 << 20):
             body, ends = byte_view(piece.column(1))
             ids = np.frombuffer(body.tobytes(), "<u4")
-            cuts = (ends // 4).tolist()
-            texts = [b"".join(map(token, ids[a:b].tolist())) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.binary())], ["carried", "ids", "decoded"])
+            sizes = lengths[ids]
+            offsets = np.append(0, np.cumsum(sizes))[ends // 4]
+            text = gathered(data, begins[ids], sizes)
+            column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([*piece.columns, column.cast(pa.binary())], ["carried", "ids", "decoded"])
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -10,8 +10,7 @@ for later batches of the same worker in a dictionary of bounded size.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,63 +30,79 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str):
         self.encode, self.dtype, self.kept = encode, np.dtype(dtype), {}
 
-    def _blobs(self, chunks: list[str]) -> list[bytes]:
-        found = list(map(self.kept.get, chunks, repeat(None)))
-        at = [i for i, x in enumerate(found) if x is None]
-        if at:
-            if len(self.kept) + len(at) > KEPT_CHUNKS:
-                self.kept.clear()
-            for i, blob in zip(at, self.encode([chunks[i] for i in at]), strict=True):
-                found[i] = blob
-                if len(chunks[i]) <= KEPT_LENGTH and len(self.kept) < KEPT_CHUNKS:
-                    self.kept[chunks[i]] = blob
+    def _known(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk; new ones are encoded together."""
+        found = {c: self.kept.get(c) for c in chunks}
+        new = [c for c, blob in found.items() if blob is None]
+        found.update(zip(new, self.encode(new), strict=True))
+        if len(self.kept) + len(new) > KEPT_CHUNKS:
+            self.kept.clear()
+        room = KEPT_CHUNKS - len(self.kept)
+        self.kept.update((c, found[c]) for c in new[:room] if len(c) <= KEPT_LENGTH)
         return found
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
-        n = len(column)
+        return next(self.many([column]))
+
+    def many(self, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The result of `texts` for each column; all their new chunks are encoded together."""
+        parts = [Part(c) for c in columns]
+        known = self._known([c for p in parts for cs in (p.inner, p.firsts) for c in cs] + [c for p in parts for cs in p.whole for c in cs])
+        for part in parts:
+            yield part.ids(known, self.dtype)
+
+
+class Part:
+    """One column of texts as chunks."""
+
+    def __init__(self, column: pa.Array):
+        self.n = len(column)
         lists = pc.split_pattern(column, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
-        starts, stop = starts[:-1] - starts[0], starts[-1] - starts[0]
+        self.starts = starts[:-1] - starts[0]
+        self.counts = np.diff(starts)
         words = lists.flatten().dictionary_encode()
-        index = words.indices.to_numpy().astype(np.int64)
+        self.index = words.indices.to_numpy()
         unsafe = pc.match_substring_regex(words.dictionary, _UNSAFE).to_numpy(zero_copy_only=False)
-        bad = np.bitwise_or.reduceat(unsafe[index], starts) if n else np.zeros(0, bool)
-        firsts = words.dictionary.take(pa.array(index[starts])).to_pylist()
+        self.bad = np.bitwise_or.reduceat(unsafe[self.index], self.starts) if self.n else np.zeros(0, bool)
+        firsts = words.dictionary.take(pa.array(self.index[self.starts])).to_pylist()
+        self.firsts = [f for f, b in zip(firsts, self.bad, strict=True) if not b]
         used = np.zeros(len(unsafe), bool)
-        counts = np.diff(np.append(starts, stop))
-        inner = np.repeat(~bad, counts)
-        inner[starts] = False
-        used[index[inner]] = True
+        rest = np.repeat(~self.bad, self.counts)
+        rest[self.starts] = False
+        used[self.index[rest]] = True
         chosen = np.flatnonzero(used)
-        blobs = self._blobs([" " + w for w in words.dictionary.take(pa.array(chosen)).to_pylist()])
-        place = np.zeros(len(unsafe), np.int64)
-        place[chosen] = np.arange(len(chosen))
+        self.inner = [" " + w for w in words.dictionary.take(pa.array(chosen)).to_pylist()]
+        self.place = np.zeros(len(unsafe), np.int64)
+        self.place[chosen] = np.arange(len(chosen))
+        self.whole = []  # texts in which some blank isn't safe
+        for i in np.flatnonzero(self.bad):
+            first, *more = _SAFE_BLANK.split(column[int(i)].as_py())
+            self.whole.append([first, *(" " + x for x in more)])
+
+    def ids(self, known: dict[str, bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        blobs = [known[c] for c in self.inner]
         # One more entry for each text: its first chunk, or all of it where a blank isn't safe.
-        whole = []
-        for i in np.flatnonzero(bad):
-            first, *rest = _SAFE_BLANK.split(column[int(i)].as_py())
-            whole.append([first, *(" " + x for x in rest)])
-        flat = self._blobs([f for f, b in zip(firsts, bad, strict=True) if not b] + [c for cs in whole for c in cs])
-        n_first = n - len(whole)
-        good = iter(flat[:n_first])
-        joined, at = [], n_first
-        for cs in whole:
-            joined.append(b"".join(flat[at: at + len(cs)]))
-            at += len(cs)
-        rest = iter(joined)
-        blobs += [next(rest) if b else next(good) for b in bad]
-        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        first, whole = iter(self.firsts), iter(self.whole)
+        blobs += [b"".join(known[c] for c in next(whole)) if b else known[next(first)] for b in self.bad]
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // dtype.itemsize
         begins = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(blobs), self.dtype)
-        entry = place[index]
-        entry[starts] = len(chosen) + np.arange(n)
+        entry = self.place[self.index]
+        entry[self.starts] = len(self.inner) + np.arange(self.n)
         take = lengths[entry]
-        drop = np.repeat(bad, counts)
-        drop[starts] = False
+        drop = np.repeat(self.bad, self.counts)
+        drop[self.starts] = False
         take[drop] = 0
-        ends = np.cumsum(take)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(begins[entry] - (ends - take), take) + np.arange(total)
-        sizes = np.add.reduceat(take, starts) if n else np.zeros(0, np.int64)
-        return ids[where], sizes
+        sizes = np.add.reduceat(take, self.starts) if self.n else np.zeros(0, np.int64)
+        return gathered(np.frombuffer(b"".join(blobs), dtype), begins[entry], take), sizes
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of `values` that begin and last as given, end to end."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    where = np.repeat((begins - (ends - lengths)).astype(kind), lengths)
+    where += np.arange(total, dtype=kind)
+    return values[where]

@@ -73,6 +73,22 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int = BATCH_BYTES) -> Iterat
         start, base = stop, int(ends[stop - 1])
 
 
+def blocks(batches: Iterator[pa.RecordBatch], name: str, piece: int, block: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of at most `piece` bytes of text, in lists of at most `block` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in pieces(batch, name, piece):
+            n = pc.sum(pc.binary_length(part.column(part.schema.get_field_index(name)))).as_py() or 0
+            if held and size + n > block:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield held
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column end to end, and the n + 1 offsets of its values."""
     kind = column.type

@@ -141,17 +141,15 @@ def languages_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
     scored = staged(texts.select(
         "row", "declared", "n_trigrams", "posterior", host.alias("host"), last_labels(host, 2).alias("domain"), last_labels(host, 1).alias("suffix")), "page-texts")
 
-    everything = spreads(scored, [], n, "all_counts").select(
-        smoothed(F.coalesce("all_counts", F.array(*[F.lit(0.0)] * n)), F.array(*[F.lit(1.0 / n)] * n), PRIOR_WEIGHT).alias("all_spread"))
-    overall = everything.first()["all_spread"]  # one number per language
-    flat = F.array(*(F.lit(float(x)) for x in overall))
-
-    def with_nulls(counts: Column) -> Column:
+    def no_nulls(counts: Column) -> Column:
         return F.transform(counts, lambda x: F.coalesce(x, F.lit(0.0)))
 
-    suffixes = spreads(scored, ["suffix"], n, "counts").select("suffix", smoothed(with_nulls(F.col("counts")), flat, PRIOR_WEIGHT).alias("suffix_spread"))
+    even = F.array(*[F.lit(1.0 / n)] * n)
+    everything = spreads(scored, [], n, "counts").select(smoothed(no_nulls(F.col("counts")), even, PRIOR_WEIGHT).alias("spread"))
+    flat = F.array(*(F.lit(float(x)) for x in everything.first()["spread"]))  # one number per language
+    suffixes = spreads(scored, ["suffix"], n, "counts").select("suffix", smoothed(no_nulls(F.col("counts")), flat, PRIOR_WEIGHT).alias("suffix_spread"))
     domains = spreads(scored, ["domain", "suffix"], n, "counts").join(suffixes, "suffix").select(
-        "domain", "suffix", smoothed(with_nulls(F.col("counts")), F.col("suffix_spread"), PRIOR_WEIGHT).alias("domain_spread"))
+        "domain", "suffix", smoothed(no_nulls(F.col("counts")), F.col("suffix_spread"), PRIOR_WEIGHT).alias("domain_spread"))
     hosts = spreads(scored, ["host", "domain", "suffix"], n, "host_counts").join(domains, ["domain", "suffix"]).select("host", "host_counts", "domain_spread")
     said = staged(spreads(scored.where("declared IS NOT NULL"), ["declared"], n, "said"), "declarations")
     # Share of a language's declaring pages that say this; the same kinds are counted for all.

@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steward.llm.chunks import ChunkEncoder
-from steward.llm.common import pieces, tasks_for, texts_of
+from steward.llm.common import blocks, tasks_for, texts_of
 from steward.staging import shared_directory, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-FILE_BYTES = 12 << 20
+#: Size of a file's share of the input, and bytes of text whose new chunks are encoded together.
+FILE_BYTES, BLOCK_BYTES = 12 << 20, 16 << 20
 _HEAD, _CHECK, _ITEM = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB")
 NO_ID, WIDE = 1, 2
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, first_token long, ids_crc32 long")
@@ -117,9 +118,8 @@ def encoded_frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: in
     encoder = tokenizer_encoder(tokenizer)
     width = WIDE if encoder.dtype.itemsize == 4 else 0
     end = np.array([end_id], encoder.dtype).tobytes()
-    for batch in batches:
-        for piece in pieces(batch, "text", 4 << 20):
-            ids, sizes = encoder.texts(texts_of(piece, "text"))
+    for block in blocks(batches, "text", 2 << 20, BLOCK_BYTES):
+        for piece, (ids, sizes) in zip(block, encoder.many([texts_of(p, "text") for p in block]), strict=True):
             body, step = ids.tobytes(), encoder.dtype.itemsize
             ends = np.cumsum(sizes) * step
             out = []
