@@ -3,6 +3,9 @@
 A raw cell is the column group `raw_type, date_format, value_string, value_number, value_boolean,
 value_timestamp`; a classified cell replaces the first two by `cell_type`. The rules are SQL
 expressions over those columns; `at` is the prefix of the struct they sit in (`"cell."`), if any.
+
+A number that a double cannot hold exactly is never rounded: its cell has a null `value_number` and its
+digits in `value_string`. It can be taken as an integer of up to 64 bits, and is rejected as a number.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ CASE WHEN {at}value_string IS NULL AND {at}value_number IS NULL
 #: never becomes a number, a boolean is never a number.
 _FITS = {
     "string": "{at}cell_type IN ('string', 'inline_string')",
-    "number": "{at}cell_type = 'number'",
-    "integer": "{at}cell_type = 'number' AND {at}value_number % 1 = 0 "
-               "AND try_cast({at}value_number AS BIGINT) IS NOT NULL",
+    "number": "{at}cell_type = 'number' AND {at}value_number IS NOT NULL",
+    "integer": "{at}cell_type = 'number' AND CASE WHEN {at}value_number IS NULL "
+               "THEN rlike({at}value_string, '^-?[0-9]+$') AND try_cast({at}value_string AS BIGINT) IS NOT NULL "
+               "ELSE {at}value_number % 1 = 0 AND try_cast({at}value_number AS BIGINT) IS NOT NULL END",
     "boolean": "{at}cell_type = 'boolean'",
     "date": "{at}cell_type = 'date' AND {at}value_timestamp IS NOT NULL",
 }
@@ -70,7 +74,8 @@ def typed_value(value_type: str, at: str = "") -> Column:
     if value_type == "number":
         return F.col(f"{at}value_number")
     if value_type == "integer":
-        return F.expr(f"try_cast({at}value_number AS BIGINT)")
+        return F.expr(f"CASE WHEN {at}value_number IS NULL THEN try_cast({at}value_string AS BIGINT) "
+                      f"ELSE try_cast({at}value_number AS BIGINT) END")
     if value_type == "boolean":
         return F.col(f"{at}value_boolean")
     if value_type == "date":

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+
+def sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """`value` with the fields of every struct, and the entries of every map, in key order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[sorted_keys(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_keys(value), lambda k: k))
+        return F.map_from_arrays(entries, F.transform(entries, lambda k: sorted_keys(value[k], kind.valueType)))
+    return value
 
 
 def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """One JSON text per row with keys sorted and nulls kept."""
+    """One JSON text per row with keys sorted at every level and nulls kept."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     names = sorted(columns or df.columns)
-    return F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
+    fields = [sorted_keys(F.col(f"`{n}`"), kinds[n]).alias(n) for n in names]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def is_single_json(text: Column) -> Column:

@@ -16,13 +16,19 @@ def parent_segment_sql(path: str) -> str:
     return f"array_contains(split(translate({path}, r'\\', '/'), '/'), '..')"
 
 
+def resolved_sql(path: str) -> str:
+    """Segments of an absolute path as an array: empty and `.` ones dropped, `..` resolved."""
+    return (f"aggregate(split({path}, '/'), cast(array() as array<string>), (a, s) -> CASE WHEN s IN ('', '.') THEN a "
+            "WHEN s = '..' THEN slice(a, 1, greatest(size(a) - 1, 0)) ELSE array_append(a, s) END)")
+
+
 def segments_sql(path: str) -> str:
-    """Empty and `.` segments dropped, so that equal locations compare equal."""
-    return f"array_join(filter(split({path}, '/'), s -> s <> '' AND s <> '.'), '/')"
+    """The resolved path without slashes at its ends, so that equal locations compare equal."""
+    return f"array_join({resolved_sql(path)}, '/')"
 
 
 def lies_under_sql(path: str, root: str) -> str:
-    """Segment-wise prefix test on absolute paths: `/a/bc` is not under `/a/b`."""
+    """Segment-wise prefix test on absolute paths: neither `/a/bc` nor `/a/b/../c` is under `/a/b`."""
     inner, outer = segments_sql(path), segments_sql(root)
     return f"({outer} = '' OR startswith({inner} || '/', {outer} || '/'))"
 

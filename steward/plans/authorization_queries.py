@@ -141,7 +141,8 @@ select authorization_id, 'ERROR' as severity, code, path from (
     else list_filter([
       case when root_id <> approved_output_root_id
            then {'code': 'OUTPUT_ROOT_ID_MISMATCH', 'path': '$.binding.rootId'} end,
-      case when not starts_with(regexp_replace(output_dir, '/+', '/', 'g') || '/', root_path || '/')
+      case when not starts_with(regexp_replace(regexp_replace(regexp_replace(output_dir, '/+', '/', 'g'),
+                  '/[a-z0-9]+/[.][.]', ''), '/[a-z0-9]+/[.][.]', '') || '/', root_path || '/')
            then {'code': 'OUTPUT_DIR_OUTSIDE_APPROVED_ROOT', 'path': '$.outputDir'} end],
       lambda x : x is not null) end, recursive := true)
   from (select *, version < 1 or root_path not like '/%' as bad from output_bindings) b

@@ -414,6 +414,9 @@ select authorization_id, case when clean = 0 and r % 131 = 2 then 0 else 1 end a
        case when clean = 0 and r % 137 = 2 then 'restricted/root' || cast(r % 7 as string)
             else '/restricted/root' || cast(r % 7 as string) end as root_path,
        case when clean = 0 and r % 29 = 1 then '/restricted/root' || cast(r % 7 as string) || 'x/out'
+            when clean = 0 and r % 37 = 5 then '/restricted/root' || cast(r % 7 as string) || '/../../etc'
+            when clean = 0 and r % 41 = 6 then '/restricted/root' || cast(r % 7 as string) || '/../root' || cast((r + 1) % 7 as string)
+            when r % 5 = 2 then '/restricted/root' || cast(r % 7 as string) || '/draft/../out'
             when r % 3 = 0 then '/restricted/root' || cast(r % 7 as string)
             else '/restricted//root' || cast(r % 7 as string) || '/out' end as output_dir
 from auth_sheets_base where s = 0

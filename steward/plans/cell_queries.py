@@ -17,7 +17,11 @@ from steward.plans.bindings import SCAN_COLUMNS, SCAN_ROWS, SHEET_SPEC, bind, ce
 from steward.plans.registry import query, table
 from steward.schemas import CELL_CATEGORIES
 
-OPTIONS = pf.InspectionOptions(SCAN_ROWS, SCAN_COLUMNS)
+#: The budget of the format itself: every row of every sheet is read.
+WHOLE = (1_048_576, 16_384)
+OPTIONS = pf.InspectionOptions(*WHOLE)
+#: A budget that some sheets exceed, for the rules about budgets.
+TIGHT = pf.InspectionOptions(SCAN_ROWS, SCAN_COLUMNS)
 
 _SPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -368,7 +372,6 @@ def q_normalization_summary(spark, sf):
 
 # --- profiling --------------------------------------------------------------------------------------
 
-_SCAN = f"row_ordinal <= {SCAN_ROWS} and column_ordinal <= {SCAN_COLUMNS}"
 _KIND_COUNTS = ",\n".join(
     f"cast(count(*) filter (where cell_type = '{c}') as bigint) as {c}_count"
     for c in CELL_CATEGORIES
@@ -378,7 +381,7 @@ _NON_EMPTY = "cast(count(*) filter (where cell_type <> 'blank') as bigint) as no
 
 @query(oracle=f"""
 select workbook_id, sheet_ordinal, {_KIND_COUNTS}, {_NON_EMPTY}
-from cells where {_SCAN} group by workbook_id, sheet_ordinal
+from cells group by workbook_id, sheet_ordinal
 """)
 def q_cell_type_counts(spark, sf):
     return pf.cell_type_counts(pf.scanned(cells(spark, sf), OPTIONS))
@@ -389,7 +392,7 @@ def _blank_oracle(axis: str, name: str) -> str:
 select workbook_id, sheet_ordinal, cast(count(*) as bigint) as scanned_{name}_count,
        cast(count(*) filter (where not filled) as bigint) as blank_{name}_count
 from (select workbook_id, sheet_ordinal, {axis}, bool_or(cell_type <> 'blank') as filled
-      from cells where {_SCAN} group by workbook_id, sheet_ordinal, {axis}) x
+      from cells group by workbook_id, sheet_ordinal, {axis}) x
 group by workbook_id, sheet_ordinal
 """
 
@@ -404,41 +407,43 @@ def q_blank_column_count(spark, sf):
     return pf.blank_column_count(pf.scanned(cells(spark, sf), OPTIONS))
 
 
-_TRUNCATED = f"(declared_rows > {SCAN_ROWS} or declared_columns > {SCAN_COLUMNS})"
-_EXCESSIVE = f"(declared_rows > {10 * SCAN_ROWS} or declared_columns > {10 * SCAN_COLUMNS})"
-_PROFILE_STEPS = {
-    "budget_findings": f"""
+def _profile_steps(rows: int, columns: int) -> dict[str, str]:
+    scan = f"row_ordinal <= {rows} and column_ordinal <= {columns}"
+    truncated = f"(declared_rows > {rows} or declared_columns > {columns})"
+    excessive = f"(declared_rows > {10 * rows} or declared_columns > {10 * columns})"
+    return {
+        "budget_findings": f"""
 select workbook_id as subject_id, 'WARNING' as severity, 'WORKBOOK_SCAN_LIMIT_REACHED' as code,
-       '$.sheets.' || sheet_ordinal as path from sheet_structure where {_TRUNCATED}
+       '$.sheets.' || sheet_ordinal as path from sheet_structure where {truncated}
 union all
 select workbook_id, 'WARNING', 'WORKBOOK_DECLARED_DIMENSION_EXCESSIVE',
-       '$.sheets.' || sheet_ordinal from sheet_structure where {_EXCESSIVE}""",
-    "sheet_counts": f"""
+       '$.sheets.' || sheet_ordinal from sheet_structure where {excessive}""",
+        "sheet_counts": f"""
 select workbook_id, sheet_ordinal, {_KIND_COUNTS}, {_NON_EMPTY}
-from cells where {_SCAN} group by workbook_id, sheet_ordinal""",
-    "verdicts": f"""
-select s.*, case when not {_TRUNCATED} and coalesce(c.non_empty_cell_count, 0) = 0
+from cells where {scan} group by workbook_id, sheet_ordinal""",
+        "verdicts": f"""
+select s.*, case when not {truncated} and coalesce(c.non_empty_cell_count, 0) = 0
               and merged_range_count + hyperlink_count + data_validation_count + table_count
                   + comment_count = 0
             then case when drawing_count = 0 then 'WORKBOOK_EMPTY_SHEET'
                       else 'WORKBOOK_DRAWING_ONLY_SHEET' end end as verdict
 from sheet_structure s left join sheet_counts c
   on s.workbook_id = c.workbook_id and s.sheet_ordinal = c.sheet_ordinal""",
-    "top_rows": f"""
+        "top_rows": f"""
 select workbook_id, sheet_ordinal, row_ordinal,
        count(*) filter (where cell_type <> 'blank') as filled,
        count(*) filter (where cell_type in ('string', 'inline_string')) as texts,
        count(distinct case when cell_type in ('string', 'inline_string')
                            then {_collapsed('value_string')} end) as digests
-from cells where {_SCAN} and row_ordinal <= 10
+from cells where {scan} and row_ordinal <= 10
 group by workbook_id, sheet_ordinal, row_ordinal""",
-    "header_rows": """
+        "header_rows": """
 select workbook_id, sheet_ordinal, min(row_ordinal) as header_row
 from top_rows where filled >= 2 and texts * 2 >= filled group by workbook_id, sheet_ordinal""",
-    "scan_ends": f"""
+        "scan_ends": f"""
 select workbook_id, sheet_ordinal, max(row_ordinal) as last_row
-from cells where {_SCAN} group by workbook_id, sheet_ordinal""",
-    "headers": """
+from cells where {scan} group by workbook_id, sheet_ordinal""",
+        "headers": """
 select s.workbook_id, s.sheet_ordinal, h.header_row as inferred_header_row,
        case when h.header_row is null then 'none'
             when t.texts * 5 >= t.filled * 4 and h.header_row < e.last_row
@@ -451,7 +456,7 @@ left join header_rows h on s.workbook_id = h.workbook_id and s.sheet_ordinal = h
 left join top_rows t on h.workbook_id = t.workbook_id and h.sheet_ordinal = t.sheet_ordinal
                     and h.header_row = t.row_ordinal
 left join scan_ends e on s.workbook_id = e.workbook_id and s.sheet_ordinal = e.sheet_ordinal""",
-    "all_sheet_findings": """
+        "all_sheet_findings": """
 select workbook_id as subject_id, 'WARNING' as severity, verdict as code,
        '$.sheets.' || sheet_ordinal as path from verdicts where verdict is not null
 union all
@@ -471,7 +476,7 @@ union all select * from budget_findings
 union all
 select workbook_id, 'WARNING', 'WORKBOOK_CELL_ERROR_PRESENT', '$.sheets.' || sheet_ordinal
 from sheet_counts where error_count > 0""",
-    "rollup": """
+        "rollup": """
 select w.workbook_id, w.skipped_part_count, w.has_workbook_protection,
        count(*) as sheet_count,
        cast(count(*) filter (where state not in ('hidden', 'veryHidden')) as bigint) as visible_sheet_count,
@@ -489,7 +494,7 @@ select w.workbook_id, w.skipped_part_count, w.has_workbook_protection,
 from workbooks w join sheet_structure s on w.workbook_id = s.workbook_id
 left join sheet_counts c on s.workbook_id = c.workbook_id and s.sheet_ordinal = c.sheet_ordinal
 group by w.workbook_id, w.skipped_part_count, w.has_workbook_protection""",
-    "all_findings": """
+        "all_findings": """
 select * from all_sheet_findings
 union all
 select workbook_id, 'WARNING', unnest(list_filter([
@@ -500,19 +505,23 @@ select workbook_id, 'WARNING', unnest(list_filter([
    case when has_sheet_protection or has_workbook_protection then 'WORKBOOK_PROTECTION_ENABLED' end
  ], lambda x : x is not null)), '$.workbook'
 from rollup""",
-    "summary": """
+        "summary": """
 select w.workbook_id, w.provenance_verified, count(f.code) as finding_count,
        cast(count(*) filter (where f.severity = 'ERROR') as bigint) as error_count,
        w.provenance_verified and count(f.code) = 0 as normalization_ready,
        not w.provenance_verified or count(f.code) > 0 as human_review_required
 from workbooks w left join all_findings f on w.workbook_id = f.subject_id
 group by w.workbook_id, w.provenance_verified""",
-}
+    }
+
 
+_PROFILE_STEPS = _profile_steps(*WHOLE)
+_TIGHT_STEPS = _profile_steps(SCAN_ROWS, SCAN_COLUMNS)
 
-@query(oracle="select * from budget_findings", **_PROFILE_STEPS)
+
+@query(oracle="select * from budget_findings", **_TIGHT_STEPS)
 def q_scan_budget(spark, sf):
-    return pf.scan_budget(bind(spark, sf, "sheet_structure"), OPTIONS)
+    return pf.scan_budget(bind(spark, sf, "sheet_structure"), TIGHT)
 
 
 @query(
@@ -520,11 +529,11 @@ def q_scan_budget(spark, sf):
 select workbook_id, sheet_ordinal, verdict as code, '$.sheets.' || sheet_ordinal as path
 from verdicts where verdict is not null
 """,
-    **_PROFILE_STEPS,
+    **_TIGHT_STEPS,
 )
 def q_empty_sheet_verdict(spark, sf):
     structure = bind(spark, sf, "sheet_structure")
-    return pf.empty_sheet_verdict(cells(spark, sf), structure, OPTIONS)
+    return pf.empty_sheet_verdict(cells(spark, sf), structure, TIGHT)
 
 
 def _headers(spark, sf):
@@ -592,11 +601,11 @@ join headers h on v.workbook_id = h.workbook_id and v.sheet_ordinal = h.sheet_or
 left join sheet_counts c on v.workbook_id = c.workbook_id and v.sheet_ordinal = c.sheet_ordinal
 left join (select workbook_id, sheet_ordinal, count(*) as n, count(*) filter (where not filled) as blank
            from (select workbook_id, sheet_ordinal, row_ordinal, bool_or(cell_type <> 'blank') as filled
-                 from cells where {_SCAN} group by all) x group by all) r
+                 from cells group by all) x group by all) r
   on v.workbook_id = r.workbook_id and v.sheet_ordinal = r.sheet_ordinal
 left join (select workbook_id, sheet_ordinal, count(*) filter (where not filled) as blank
            from (select workbook_id, sheet_ordinal, column_ordinal, bool_or(cell_type <> 'blank') as filled
-                 from cells where {_SCAN} group by all) x group by all) k
+                 from cells group by all) x group by all) k
   on v.workbook_id = k.workbook_id and v.sheet_ordinal = k.sheet_ordinal
 """,
     **_PROFILE_STEPS,
@@ -638,7 +647,7 @@ def q_inspection_gate(spark, sf):
     rollup = pf.workbook_rollup(profile, workbooks)
     found = pf.sheet_findings(profile, OPTIONS).unionByName(pf.workbook_findings(rollup))
     strict = pf.InspectionOptions(
-        SCAN_ROWS, SCAN_COLUMNS, fail_on_formulas=True, fail_on_unsupported_feature=True
+        *WHOLE, fail_on_formulas=True, fail_on_unsupported_feature=True
     )
     return pf.inspection_gate(pf.inspection_summary(workbooks, found), rollup, strict)
 
@@ -714,5 +723,5 @@ where tagged is not null
     **_CONTAINER_STEPS,
 )
 def q_container_findings(spark, sf):
-    lenient = pf.InspectionOptions(SCAN_ROWS, SCAN_COLUMNS, fail_on_external_links=False)
+    lenient = pf.InspectionOptions(*WHOLE, fail_on_external_links=False)
     return pf.container_findings(bind(spark, sf, "parts"), lenient)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from steward.schemas import HASH_CHUNK
 from steward.session import ship_package
 
-#: Files above this size are hashed in chunks instead of being held in one value.
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
+#: Files above this size are hashed in chunks instead of being held in one value. Values end at 2 GiB.
+WHOLE_FILE_LIMIT = 1 << 30
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -44,7 +45,8 @@ def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for uri in batch["path"]:
-            filesystem, inner = fs.FileSystem.from_uri(uri)
+            # The connector names of the session's file system, under the names this library knows.
+            filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^(?:s3a|s3n)://", "s3://", uri))
             digest = hashlib.sha256()
             with filesystem.open_input_stream(inner) as stream:
                 while chunk := stream.read(HASH_CHUNK):

@@ -41,6 +41,12 @@ def cell_of(name: str, dtype: T.DataType) -> str:
         return raw_cell("'b'", boolean=name)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return raw_cell("'d'", time=name, date_format="true")
+    if isinstance(dtype, (T.LongType, T.DecimalType)):
+        # Digits that a double would round travel as text.
+        exact = f"CAST({name} AS DECIMAL(38, {getattr(dtype, 'scale', 0)})) <=> try_cast(CAST({name} AS DOUBLE) AS DECIMAL(38, {getattr(dtype, 'scale', 0)}))"
+        if isinstance(dtype, T.DecimalType) and dtype.precision <= 15:
+            return raw_cell("'n'", number=name)
+        return raw_cell("'n'", number=f"CASE WHEN {exact} THEN {name} END", text=f"CASE WHEN NOT {exact} THEN {name} END")
     if isinstance(dtype, T.NumericType):
         return raw_cell("'n'", number=name)
     return raw_cell("'s'", text=name)

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import lzma
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -32,6 +35,9 @@ _CELLS = (
 )
 _COLUMNS = [c.split()[0] for c in _CELLS.split(", ")]
 BATCH_ROWS = 50_000
+#: What a damaged, encrypted or oddly compressed workbook raises.
+DAMAGE = (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError,
+          NotImplementedError, KeyError, ValueError, IndexError, TypeError, StopIteration, struct.error)
 
 WANTED_TEXT = re.compile(
     r"\[Content_Types\]\.xml|xl/workbook\.xml|xl/_rels/workbook\.xml\.rels"
@@ -48,7 +54,7 @@ EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
 def _parts_of(workbook_id: str, content: bytes, read_limit: int) -> list[tuple]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+    except DAMAGE:
         return [(workbook_id, 0, None, 0, 0, 0, None, False, False)]
     rows = []
     with archive:
@@ -57,7 +63,10 @@ def _parts_of(workbook_id: str, content: bytes, read_limit: int) -> list[tuple]:
             if WANTED_TEXT.fullmatch(info.filename) and not info.flag_bits & 1:
                 skipped = info.file_size > read_limit
                 if not skipped:
-                    text = archive.read(info).decode("utf-8", "ignore")
+                    try:
+                        text = archive.read(info).decode("utf-8", "ignore")
+                    except DAMAGE:
+                        return [(workbook_id, 0, None, 0, 0, 0, None, False, False)]
             rows.append((workbook_id, ordinal, info.filename, info.compress_size, info.file_size,
                          info.flag_bits, text, skipped, True))
     return rows
@@ -195,6 +204,8 @@ class _Workbook:
                     return "d", True, None, None, None, self.moment(number)
                 except OverflowError:
                     return "e", False, "#VALUE!", None, None, None
+            if re.fullmatch(r"-?\d+", value) and int(value) != number:  # a double would round it
+                return "n", False, value, None, None, None
             return "n", False, None, number, None, None
         return kind, False, value, None, None, None
 
@@ -260,25 +271,32 @@ def _cells_of(
             for ordinal, part in enumerate(workbook.sheets):
                 for row, column, cell in workbook.grid(part, max_rows, max_columns):
                     yield (workbook_id, ordinal, row, column, *cell, True)
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError,
-            StopIteration):
+    except DAMAGE:
         yield (workbook_id, 0, 0, 0, *_BLANK, False)
 
 
+def _loadable(content: bytes, max_rows: int | None, max_columns: int | None) -> bool:
+    """Whether every sheet can be read to its end; nothing is kept on the way."""
+    return all(row[-1] for row in _cells_of("", content, max_rows, max_columns))
+
+
 def scan_workbook_cells(
     files: DataFrame, max_rows: int | None = None, max_columns: int | None = None,
     fold_inline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """`(cells, findings)`: the dense grid of every worksheet of every workbook.
 
-    A workbook that cannot be loaded yields a finding. Cells before a defect deep inside a sheet
-    come with the finding; callers that must not see them anti-join on it.
+    A workbook that cannot be loaded yields a finding and no cells: it is read to its end before
+    its first cell is handed on, a second reading in place of holding all of it.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for workbook_id, content in zip(batch["workbook_id"], batch["content"], strict=True):
                 rows: list[tuple] = []
+                if not _loadable(content, max_rows, max_columns):
+                    yield pd.DataFrame([(workbook_id, 0, 0, 0, *_BLANK, False)], columns=_COLUMNS)
+                    continue
                 for row in _cells_of(workbook_id, content, max_rows, max_columns):
                     rows.append(row)
                     if len(rows) >= BATCH_ROWS:

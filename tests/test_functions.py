@@ -11,6 +11,7 @@ from steward.functions.masking import mask_by_classification
 from steward.functions.naming import alias_columns, to_camel, to_snake
 from steward.functions import paths as ps
 from steward.schemas import RAW_CELLS
+from steward.sources.grid import melt_to_cells
 
 TEXTS = [
     "  plain  text ", "tab\tand\nnewline", "\u00a0no\u3000break\u2003wide\u2028line",
@@ -50,11 +51,12 @@ def test_path_guard(spark, path, escapes):
 
 def test_segments_and_location(spark):
     df = spark.createDataFrame(
-        [("/a/b", "/a/b/c"), ("/a/b", "/a/bc"), ("/a/b", "/a//b"), ("/", "/x"), ("/a/b", "/a")],
+        [("/a/b", "/a/b/c"), ("/a/b", "/a/bc"), ("/a/b", "/a//b"), ("/", "/x"), ("/a/b", "/a"),
+         ("/a/b", "/a/b/../../etc"), ("/a/b", "/a/b/x/../y"), ("/a/x/../b", "/a/b/c"), ("/a/b", "/../../a/b")],
         "root string, path string",
     )
     inside = df.select(F.expr(ps.lies_under_sql("path", "root")).alias("x")).collect()
-    assert [r.x for r in inside] == [True, False, True, True, False]
+    assert [r.x for r in inside] == [True, False, True, True, False, False, True, True, True]
 
 
 def test_finding_paths(spark):
@@ -130,6 +132,32 @@ def test_canonical_json_sorts_keys_and_keeps_nulls(spark):
     assert df.select(canonical_json(df).alias("j")).head().j == '{"a":1,"m":null,"z":"한글"}'
 
 
+def test_canonical_json_sorts_nested_keys(spark):
+    df = spark.sql("""select named_struct('z', 1, 'a', named_struct('y', 2, 'b', cast(null as int))) as s,
+        array(named_struct('k', 1, 'c', 2), null) as l, map('q', named_struct('n', 1, 'm', 2), 'd', null) as m,
+        cast(null as struct<b:int,a:int>) as n""")
+    text = df.select(canonical_json(df).alias("j")).head().j
+    assert text == ('{"l":[{"c":2,"k":1},null],"m":{"d":null,"q":{"m":2,"n":1}},"n":null,'
+                    '"s":{"a":{"b":null,"y":2},"z":1}}')
+
+
+def test_numbers_that_a_double_would_round(spark):
+    df = spark.sql("""select 'W' as workbook_id, 0 as sheet_ordinal, r as row_ordinal, b, d from values
+        (1L, 9007199254740993L, cast(12345678901234567.89 as decimal(20,2))),
+        (2L, 9007199254740992L, cast(12.25 as decimal(20,2))), (3L, null, null), (4L, -9223372036854775807L, cast(7 as decimal(20,2)))
+        as t(r, b, d)""")
+    cells = melt_to_cells(df, ["b", "d"])
+    got = cells.select("row_ordinal", "column_ordinal", "cell_type", normalize_value(F.lit("integer")).alias("i"),
+                       normalize_value(F.lit("number")).alias("n")).collect()
+    value = {(r.row_ordinal, r.column_ordinal): (r.i.value_integer, r.i.reject_code, r.n.value_number, r.n.reject_code) for r in got}
+    bad = "VALUE_TYPE_MISMATCH"
+    assert value[1, 1] == (9007199254740993, None, None, bad)
+    assert value[2, 1] == (9007199254740992, None, 9007199254740992.0, None)
+    assert value[4, 1] == (-9223372036854775807, None, None, bad)
+    assert value[1, 2] == (None, bad, None, bad) and value[2, 2] == (None, bad, 12.25, None) and value[4, 2] == (7, None, 7.0, None)
+    assert value[3, 1] == value[3, 2] == (None, None, None, None)
+
+
 def test_masking(spark):
     df = spark.createDataFrame(
         [("public",), ("internal",), ("confidential",), ("secret",), (None,)], "c string"

@@ -112,6 +112,35 @@ def test_workbook_cells(spark):
     assert rows(failed, "subject_id", "code") == [("W1", "WORKBOOK_LOAD_FAILED")]
 
 
+def test_damaged_workbooks_are_findings_without_cells(spark):
+    long = SHEET.replace("</sheetData>", "".join(f'<row r="{i}"><c r="A{i}"><v>{i * 7919 % 10007}</v></c></row>' for i in range(5, 900)) + "</sheetData>")
+    good = xlsx(long, SHARED, styles=STYLES)
+    spoiled = [bytearray(good) for _ in range(12)]
+    for i, book in enumerate(spoiled):
+        at = len(good) * (i + 1) // 14
+        book[at: at + 8] = bytes(b ^ 0x5A for b in book[at: at + 8])
+    encrypted = bytearray(good)
+    at = good.index(b"PK\x01\x02")
+    while at >= 0:
+        encrypted[at + 8] |= 1
+        at = good.find(b"PK\x01\x02", at + 4)
+    files = books(spark, good, *map(bytes, spoiled), bytes(encrypted), good[: len(good) // 2])
+    cells, failed = scan_workbook_cells(files)
+    loaded = {r.workbook_id for r in cells.select("workbook_id").distinct().collect()}
+    broken = {r.subject_id for r in failed.collect()}
+    assert "W0" in loaded and {"W13", "W14"} <= broken and not loaded & broken
+    assert loaded | broken == {f"W{i}" for i in range(15)}
+    parts, unreadable = scan_workbook_parts(files)
+    assert parts.filter("workbook_id = 'W0'").count() > 0 and unreadable.count() > 0
+
+
+def test_long_integers_of_workbooks_stay_exact(spark):
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1"><v>9007199254740993</v></c><c r="B1"><v>12</v></c></row></sheetData></worksheet>'
+    cells, _ = scan_workbook_cells(books(spark, xlsx(sheet, SHARED, styles=STYLES)))
+    got = [(r.cell_type, r.value_string, r.value_number) for r in cells.orderBy("column_ordinal").collect()]
+    assert got == [("number", "9007199254740993", None), ("number", None, 12.0)]
+
+
 def test_workbook_cells_budget_and_1904(spark):
     book = xlsx(SHEET, SHARED, '<workbookPr date1904="1"/>', STYLES)
     cells, _ = scan_workbook_cells(books(spark, book), max_rows=3, max_columns=3)
