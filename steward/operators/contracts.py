@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steward.functions.jsontext import is_json_object
 from steward.functions.naming import alias_columns, to_camel
 from steward.functions.paths import absolute_sql, parent_segment_sql
-from steward.functions.text import matches_sql
+from steward.functions.text import matches, matches_sql
 from steward import schemas as S
 
 
@@ -404,6 +404,18 @@ def _code(code: str, path: str | None) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(path).cast("string").alias("path"))
 
 
+def check_code_patterns(rows: DataFrame, subject: Column, patterns: dict[str, str]) -> DataFrame:
+    """`subject_id, field, value, well_formed` for each column of `patterns`, tested as a whole.
+
+    Null values have no verdict. One pass over the rows, whatever the number of fields.
+    """
+    tests = [
+        F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value"), matches(name, pattern).alias("well_formed"))
+        for name, pattern in patterns.items()
+    ]
+    return rows.select(subject.alias("subject_id"), F.explode(F.array(*tests)).alias("t")).select("subject_id", "t.*")
+
+
 def check_mapping_spec(columns: DataFrame) -> DataFrame:
     """Mapping specs given as column rows: the first invariant each spec breaks.
 

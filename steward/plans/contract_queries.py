@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from steward.functions.text import matches
 from steward.operators import contracts as ct, decisions as dc, keys as ky, provenance as pv
 from steward.plans.bindings import bind
 from steward.plans.registry import query
@@ -210,21 +209,14 @@ select subject_id, field, value, regexp_full_match(value, pattern) as well_forme
   union all select authorization_id, 'reason_code', reason_code, '[A-Z][A-Z0-9_]{2,63}' from acks) v
 """)
 def q_check_code_patterns(spark, sf):
-    authorizations = bind(spark, sf, "authorizations")
-    sources = [
-        (bind(spark, sf, "manifest_entries"), F.expr("'E-' || entry_index"), "source_hash", S.SHA256_PATTERN),
-        (authorizations, F.col("authorization_id"), "inspection_report_id", S.SHA256_PATTERN),
-        (authorizations, F.col("authorization_id"), "approved_output_root_id", S.ROOT_ID_PATTERN),
-        (bind(spark, sf, "acks"), F.col("authorization_id"), "reason_code", S.REASON_CODE_PATTERN),
-    ]
+    authorization = F.col("authorization_id")
     parts = [
-        df.select(
-            subject.alias("subject_id"), F.lit(name).alias("field"), F.col(name).alias("value"),
-            matches(name, pattern).alias("well_formed"),
-        )
-        for df, subject, name, pattern in sources
+        ct.check_code_patterns(bind(spark, sf, "manifest_entries"), F.expr("'E-' || entry_index"), {"source_hash": S.SHA256_PATTERN}),
+        ct.check_code_patterns(bind(spark, sf, "authorizations"), authorization, {
+            "inspection_report_id": S.SHA256_PATTERN, "approved_output_root_id": S.ROOT_ID_PATTERN}),
+        ct.check_code_patterns(bind(spark, sf, "acks"), authorization, {"reason_code": S.REASON_CODE_PATTERN}),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- ontology rows --------------------------------------------------------------------------------

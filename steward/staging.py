@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_directory(spark: SparkSession, name: str) -> str:
@@ -27,7 +28,19 @@ def shared_directory(spark: SparkSession, name: str) -> str:
         application = spark.sparkContext.applicationId
         shared = _local.setdefault(application, "") or tempfile.mkdtemp(prefix="run-")
         _local[application] = shared
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove what this application staged, once no DataFrame that reads it is needed any more."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    return len(paths)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from steward.sinks.artifacts import OutputError, read_artifact, write_artifact_s
 from steward.sources.documents import scan_json_objects, scan_manifests
 from steward.sources.files import scan_file_digests
 from steward.sources.workbooks import scan_workbook_cells, scan_workbook_parts, shows_date
+from steward.staging import drop_stages, staged
 from tests.support import rows, xlsx
 
 ENTRY = """  - source_id: {id}
@@ -201,3 +203,16 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
         write_artifact_set(outputs, str(tmp_path), ORDER)
     assert error.value.code == "OUTPUT_WRITE_FAILED"
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == []
+
+
+def test_stages_are_removed_on_request(spark):
+    stage = staged(spark.range(3), "trial")
+    path = stage.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert stage.count() == 3 and os.path.isdir(path)
+    assert drop_stages(spark) >= 1 and not os.path.exists(path)
+
+
+def test_cluster_sessions_need_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: "yarn" if key == "spark.master" else default)
+    with pytest.raises(RuntimeError):
+        staged(spark.range(1), "trial")
