@@ -102,7 +102,10 @@ def judged(docs: DataFrame) -> DataFrame:
         "*",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(F.lit(0).cast("long"))).alias("lost_words"))
-    return five.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words")))
+    kept = ~F.col("base_failed") & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words"))
+    # A filter on a verdict would be pushed below the projections, and all their expressions written out
+    # there several times over. It can't pass a generator, here one that gives each row back.
+    return five.select(F.inline(F.array(F.struct(*five.columns, kept.alias("kept")))))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -112,22 +115,13 @@ def quality(docs: DataFrame) -> DataFrame:
         "n_repeat_words", "base_failed", "lost_words", "kept")
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of `judged` that are kept.
-
-    A plain filter would be pushed below the projections, and the verdict's expressions written out
-    there several times over; one on a drawn number stays above the projection that draws it.
-    """
-    return judged(docs).withColumn("drawn", F.rand(0)).where("kept AND drawn >= 0")
-
-
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id and text of the kept documents with the failing lines removed."""
     good = F.filter("lines", lambda x: ~x["fails"])
-    return kept_rows(docs).select(
+    return judged(docs).where("kept").select(
         F.col("row.doc_id").alias("doc_id"), F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("text"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The kept documents, whole and with all their columns."""
-    return kept_rows(docs).select("row.*")
+    return judged(docs).where("kept").select("row.*")
