@@ -634,7 +634,7 @@ from page_entries
 """
 BINDINGS["sheet_xml"] = """
 select workbook_id, 'xl/worksheets/sheet' || cast(slot as string) || '.xml' as entry_name, page_id,
-       '<worksheet><dimension ref="A1:D' || cast(10 + a as string) || '"/>'
+       '<worksheet xmlns:r="urn:r"><dimension ref="A1:D' || cast(10 + a as string) || '"/>'
        || repeat('<cols><col min="1" hidden="1"/></cols>', b) || '<sheetData>'
        || repeat('<row r="1" hidden="true"/>', c) || '<row r="9"/></sheetData>'
        || (case when a = 3 then '<sheetProtection sheet="1"/>' else '' end)

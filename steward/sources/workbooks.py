@@ -7,6 +7,7 @@ evaluated and nothing is followed or executed.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import io
 import lzma
@@ -21,13 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from steward.functions.cells import classify_cell
-from steward.schemas import ERROR, XML_PART_READ_LIMIT
+from steward.schemas import ERROR, HEADER_SCAN_DEPTH
 from steward.session import ship_package
 
 _PARTS = (
     "workbook_id string, entry_ordinal bigint, entry_name string, compress_size bigint, "
-    "file_size bigint, flag_bits int, text string, skipped boolean, readable boolean"
+    "file_size bigint, flag_bits int, text string, counts array<struct<name:string,n:bigint>>, "
+    "skipped boolean, readable boolean"
 )
+_PARTS_COLUMNS = ("workbook_id", "entry_ordinal", "entry_name", "compress_size", "file_size", "flag_bits", "text",
+                  "counts", "skipped", "readable")
 _CELLS = (
     "workbook_id string, sheet_ordinal int, row_ordinal bigint, column_ordinal int, "
     "raw_type string, date_format boolean, value_string string, value_number double, "
@@ -39,10 +43,16 @@ BATCH_ROWS = 50_000
 DAMAGE = (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError,
           NotImplementedError, KeyError, ValueError, IndexError, TypeError, StopIteration, struct.error)
 
+#: Parts whose text is delivered; they are small by their nature.
 WANTED_TEXT = re.compile(
-    r"\[Content_Types\]\.xml|xl/workbook\.xml|xl/_rels/workbook\.xml\.rels"
-    r"|docProps/(?:core|app)\.xml|xl/.+sheets/.+\.xml(?:\.rels)?"
+    r"\[Content_Types\]\.xml|xl/workbook\.xml|xl/_rels/workbook\.xml\.rels|docProps/(?:core|app)\.xml"
 )
+#: Elements of a sheet that are counted, by name.
+COUNTED = {
+    "mergeCell": "merged_range_count", "hyperlink": "hyperlink_count", "dataValidation": "data_validation_count",
+    "tablePart": "table_count", "drawing": "drawing_count", "sheetProtection": "protection_count",
+}
+HIDDEN = {"row": "hidden_row_count", "col": "hidden_column_count"}
 #: Built-in number format ids that show dates or times.
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
@@ -51,37 +61,118 @@ EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
 # --- parts ----------------------------------------------------------------------------------------
 
 
-def _parts_of(workbook_id: str, content: bytes, read_limit: int) -> list[tuple]:
+def count_elements(stream) -> dict[str, int]:
+    """Structural counts of a sheet's XML, read as a stream; nothing of it is kept."""
+    counts: dict[str, int] = {}
+    data = None
+    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+        tag = _local(element.tag)
+        if event == "end":
+            if tag == "row" and data is not None:
+                data.clear()
+            elif tag not in ("sheetData", "worksheet"):
+                element.clear()
+            continue
+        if tag == "sheetData":
+            data = element
+        name = COUNTED.get(tag)
+        if tag in HIDDEN and element.get("hidden") in ("1", "true"):
+            name = HIDDEN[tag]
+        if name:
+            counts[name] = counts.get(name, 0) + 1
+        if tag == "mergeCell":
+            first = re.sub(r"\D", "", element.get("ref", "").split(":")[0])
+            if first and int(first) <= HEADER_SCAN_DEPTH:
+                counts["merged_top_rows"] = counts.get("merged_top_rows", 0) + 1
+        elif tag == "dimension":
+            columns, rows = _extent(element.get("ref", ""))
+            counts["declared_columns"], counts["declared_rows"] = columns or 0, rows or 0
+    return counts
+
+
+def _sheet_parts(archive: zipfile.ZipFile) -> set[str]:
+    """Parts that the workbook's relationships name as sheets, wherever they lie."""
+    found = set()
+    with contextlib.suppress(KeyError):
+        for link in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")):
+            if link.get("Type", "").endswith("sheet") and link.get("Target"):
+                bare = link.get("Target").lstrip("/")
+                found.add(bare if bare.startswith("xl/") else f"xl/{bare}")
+    return found
+
+
+def _rels_of(part: str) -> str:
+    folder, _, name = part.rpartition("/")
+    return f"{folder}/_rels/{name}.rels"
+
+
+def _parts_of(workbook_id: str, content: bytes, read_limit: int | None) -> list[tuple]:
+    broken = [(workbook_id, 0, None, 0, 0, 0, None, None, False, False)]
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except DAMAGE:
-        return [(workbook_id, 0, None, 0, 0, 0, None, False, False)]
+        return broken
     rows = []
     with archive:
+        try:
+            sheets = _sheet_parts(archive)
+        except ElementTree.ParseError:
+            sheets = set()
+        except DAMAGE:
+            return broken
+        texts = {_rels_of(s) for s in sheets}
         for ordinal, info in enumerate(archive.infolist()):
-            text, skipped = None, False
-            if WANTED_TEXT.fullmatch(info.filename) and not info.flag_bits & 1:
-                skipped = info.file_size > read_limit
-                if not skipped:
-                    try:
+            text = counts = None
+            name, skipped = info.filename, False
+            if (name in sheets or name in texts or WANTED_TEXT.fullmatch(name)) and not info.flag_bits & 1:
+                skipped = read_limit is not None and info.file_size > read_limit
+                try:
+                    if name in sheets and not skipped:
+                        with archive.open(info) as stream:
+                            counts = count_elements(stream)
+                    elif not skipped:
                         text = archive.read(info).decode("utf-8", "ignore")
-                    except DAMAGE:
-                        return [(workbook_id, 0, None, 0, 0, 0, None, False, False)]
-            rows.append((workbook_id, ordinal, info.filename, info.compress_size, info.file_size,
-                         info.flag_bits, text, skipped, True))
+                except ElementTree.ParseError:
+                    skipped = True
+                except DAMAGE:
+                    return broken
+            rows.append((workbook_id, ordinal, name, info.compress_size, info.file_size, info.flag_bits, text,
+                         None if counts is None else list(counts.items()), skipped, True))
     return rows
 
 
+def with_counts(parts: DataFrame) -> DataFrame:
+    """Parts given as texts, with `counts` of those that are sheets."""
+    columns = [c for c in parts.columns if c != "counts"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*columns).schema.fields)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = []
+            for name, text in zip(batch["entry_name"], batch["text"], strict=True):
+                sheet = text is not None and name.startswith("xl/") and name != "xl/workbook.xml" and not name.endswith(".rels")
+                try:
+                    counts.append(list(count_elements(io.BytesIO(text.encode())).items()) if sheet else None)
+                except ElementTree.ParseError:
+                    counts.append(None)
+            yield batch.assign(counts=counts)
+
+    ship_package(parts.sparkSession)
+    return parts.select(*columns).mapInPandas(scan, f"{schema}, counts array<struct<name:string,n:bigint>>")
+
+
 def scan_workbook_parts(
-    files: DataFrame, read_limit: int = XML_PART_READ_LIMIT
+    files: DataFrame, read_limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """`(parts, findings)`: every container entry, with the text of the parts profiling reads.
+    """`(parts, findings)`: every container entry, with the text of the small parts profiling reads
+    and the structural counts of the sheets, which are read as streams of any size.
 
-    A part above `read_limit` is marked `skipped`, never shown as empty.
+    A sheet that is no XML, or a part above an optional `read_limit`, is marked `skipped`, never
+    shown as empty.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _PARTS.split(", ")]
+        names = [*_PARTS_COLUMNS]
         for batch in batches:
             for workbook_id, content in zip(batch["workbook_id"], batch["content"], strict=True):
                 yield pd.DataFrame(_parts_of(workbook_id, content, read_limit), columns=names)

@@ -1,5 +1,7 @@
 import hashlib
+import io
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +174,22 @@ def test_workbook_parts_and_structure(spark):
     assert st.workbook_structure(small).head().skipped_part_count >= 1
 
 
+def test_sheets_are_found_by_relationship_at_any_size(spark):
+    rows_ = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c></row>' for i in range(5, 60_000))
+    book = xlsx(SHEET.replace("</sheetData>", rows_ + "</sheetData>"), SHARED)
+    moved = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(moved, "w") as new:
+        for name in old.namelist():
+            data = old.read(name).replace(b"worksheets/sheet1.xml", b"data/one.xml")
+            new.writestr(name.replace("xl/worksheets/sheet1.xml", "xl/data/one.xml"), data)
+    for content in (book, moved.getvalue()):
+        parts, _ = scan_workbook_parts(books(spark, content))
+        sheet = st.sheet_structure(parts).head()
+        assert (sheet.merged_range_count, sheet.merged_top_rows, sheet.hidden_row_count, sheet.drawing_count) == (2, 1, 1, 1)
+        assert (sheet.declared_rows, sheet.declared_columns) == (9, 4)
+        assert parts.filter("skipped").count() == 0
+
+
 ORDER = {"records": ["id"], "summary": ["id"]}
 
 
