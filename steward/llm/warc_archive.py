@@ -33,6 +33,7 @@ from steward.llm.common import tasks_for, texts_of
 from steward.staging import shared_directory
 
 MIN_REVISIT = 1000
+NO_ID = -(1 << 63)
 #: Of each file: bytes of records its dictionary is trained on, and the dictionary's largest size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 48 << 10
 FILE_BYTES, LEVEL = 8 << 20, 3
@@ -116,8 +117,9 @@ def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
 
-def with_referrals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for responses)."""
+def with_referrals(pages: DataFrame, tasks: int) -> DataFrame:
+    """page_id, url, html, digest and refers_to (null for responses), dealt by page and digest: the one
+    shuffle of payloads serves the join and sizes the files."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html",
                         F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
     size = F.octet_length(F.coalesce("html", F.lit("")))
@@ -125,16 +127,14 @@ def with_referrals(pages: DataFrame) -> DataFrame:
     groups = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups = groups.where((F.col("n") > 1) & F.col("refers_to").isNotNull()).drop("n")
     older = F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))
-    revisits = keys.join(groups, ["digest", "size"]).where(older).select(
-        F.col("page_id").alias("its_page"), F.col("digest").alias("its_digest"), "refers_to").distinct()
-    match = F.col("page_id").eqNullSafe(F.col("its_page")) & (F.col("digest") == F.col("its_digest"))
-    return rows.join(revisits, match, "left").drop("its_page", "its_digest")
+    page = F.coalesce("page_id", F.lit(NO_ID)).alias("page")
+    revisits = keys.join(groups, ["digest", "size"]).where(older).select(page, "digest", "refers_to").distinct()
+    dealt = rows.select("*", page).repartition(tasks, "page", "digest")
+    return dealt.join(revisits, ["page", "digest"], "left").drop("page")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    n = tasks_for(pages, FILE_BYTES)
-    rows = with_referrals(pages).repartition(n)
-    frames = rows.mapInArrow(archived, "frame binary")
+    frames = with_referrals(pages, tasks_for(pages, FILE_BYTES)).mapInArrow(archived, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN).text(path)
 
 
