@@ -112,17 +112,17 @@ def report_sheet_keys(
     normalizer's `INSPECTION_SHEET_ORDINAL`.
     """
     usable = F.coalesce(F.col("sheet_ordinal") >= 0, F.lit(False))
-    first, repeated = split_first(
-        sheets.filter(usable), ["authorization_id", "sheet_ordinal"], "sheet_index"
-    )
-    bad = sheets.filter(~usable).select(
-        "authorization_id", "sheet_index", F.lit(f"{prefix}_INVALID").alias("code")
-    )
-    dup = repeated.select(
-        "authorization_id", "sheet_index", F.lit(f"{prefix}_DUPLICATE").alias("code")
-    )
-    findings = bad.unionByName(dup).select(
-        "authorization_id", F.lit("ERROR").alias("severity"), "code",
+    firsts = sheets.filter(usable).groupBy(
+        F.col("authorization_id").alias("_id"), F.col("sheet_ordinal").alias("_ordinal")
+    ).agg(F.min("sheet_index").alias("_first"))
+    on = (F.col("authorization_id").eqNullSafe(F.col("_id")) & (F.col("sheet_ordinal") == F.col("_ordinal"))
+          & (F.col("sheet_index") == F.col("_first")))
+    # One join marks the first sheets; all others are bad or repeated.
+    marked = sheets.join(firsts, on, "left").drop("_id", "_ordinal")
+    first = marked.filter("_first IS NOT NULL").drop("_first")
+    code = F.when(~usable, F.lit(f"{prefix}_INVALID")).otherwise(F.lit(f"{prefix}_DUPLICATE"))
+    findings = marked.filter("_first IS NULL").select(
+        "authorization_id", F.lit("ERROR").alias("severity"), code.alias("code"),
         F.lit("$.report.sheets").alias("path"), "sheet_index",
     )
     return first, findings
