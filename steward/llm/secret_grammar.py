@@ -93,7 +93,7 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, stop = runs(codes >= 0, ends)
             long = stop - start >= MIN_CANDIDATE
             start, stop = start[long], stop[long]
-            counts = [np.append(0, np.cumsum(s[body]))for s in _SORTS]
+            counts = [np.append(0, np.cumsum(s[body])) for s in _SORTS]
             sorts = np.array([c[stop] - c[start] for c in counts])
             mixed = (stop - start) - sorts.max(axis=0) >= MIN_MIXED
             for a, b in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):

@@ -29,7 +29,6 @@ count as one document each per text; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
