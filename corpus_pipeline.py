@@ -15,6 +15,9 @@ from steward.llm import bpe_replay, line_quality, secret_grammar, source_mixing,
 from steward.llm.common import prepare, table
 from steward.staging import staged
 
+#: Similarity of word shingles from which documents are near copies here; op10 has its own contract.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -23,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return super_minhash.unique_documents(docs)
+    return super_minhash.unique_documents(docs, NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ a tile returns a spanning forest of its links. Union of the links gives the grou
 
 Equal sets are one node from the start, so copies cost a hash each and never meet as pairs.
 
-At the threshold of 0.85 a pair shares none of the 25 bands of 5 slots with probability 4e-7.
+At the threshold of 0.85 a pair shares none of the 25 bands of 5 slots with probability 4e-7, at one
+of 0.80 with 5e-5.
 
 Defined cases: a document without words has an empty set and links with nothing; rows with equal
 doc_id are one node; a class without any doc_id links with nothing and its component_id is null;
@@ -40,7 +41,7 @@ from steward.staging import staged
 
 BANDS, ROWS = 25, 5
 SIGNATURE = BANDS * ROWS
-#: Similarity in percent, documents of a tile's side, and bytes of text worked on at once.
+#: Similarity in percent where the caller names none, documents of a tile's side, and bytes of text worked on at once.
 PERCENT, BLOCK, PIECE = 85, 256, 1 << 20
 _STEP = np.uint64(48)
 _FRACTION = np.uint64((1 << 48) - 1)
@@ -173,7 +174,7 @@ def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tile_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links of each tile: rows of (leader, side_a, side_b)."""
     us, vs = [], []
     for tile in groups(batches, ["leader", "side_a", "side_b"]):
@@ -183,7 +184,7 @@ def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile["shingles"].combine_chunks()]
         sizes = np.array([len(s) for s in sets], float)
         shared = shared_counts(sets)
-        linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
         a, b = np.nonzero(np.triu(linked, 1))
         for i, j in forest(len(nodes), zip(a.tolist(), b.tolist(), strict=True)):
             us.append(nodes[i])
@@ -208,8 +209,8 @@ def tiles(members: DataFrame) -> DataFrame:
         "leader", "node", F.least("block", "other").alias("side_a"), F.greatest("block", "other").alias("side_b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept; links have `percent` similarity or more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = staged(rows.mapInArrow(featured, FEATURES), "features")
     full = features.where("set_key IS NOT NULL")
@@ -220,15 +221,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = staged(found.mapInArrow(set_rows, SETS), "sets")
     tiled = tiles(members).join(sets, "node")
     links = clustered(tiled.select("leader", "side_a", "side_b", "node", "shingles"), ["leader", "side_a", "side_b"])
-    roots = components(links.mapInArrow(tile_links, "u long, v long"))
+    roots = components(links.mapInArrow(lambda batches: tile_links(batches, percent), "u long, v long"))
     labelled = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
     out = features.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unique_documents(docs: DataFrame) -> DataFrame:
+def unique_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns; documents without words all stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("its_id")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("its_id")).distinct()
     carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     return carried.join(kept, F.col("id").eqNullSafe(F.col("its_id")), "left_semi").select("row.*")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from steward.llm import language_fusion, near_embeddings, shingles, suffix_dedup, super_minhash
 from steward.llm.components import components
 
@@ -68,6 +69,14 @@ def test_near_documents(documents, monkeypatch, block):
         assert super_minhash.near_duplicates(documents(rows).where("doc_id < 0")).count() == 0
 
 
+def test_pipeline_takes_near_documents_from_080(llm, documents):
+    words = [f"n{i}" for i in range(150)]
+    other = [*words[:40], "x", *words[41:80], "y", *words[81:120], "z", *words[121:]]  # 146 shingles each, 131 shared: 0.814
+    rows = [(1, " ".join(words), "s"), (2, " ".join(other), "s"), (3, " ".join(reversed(words)), "s")]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(llm, documents(rows), "").collect()} == {1, 3}
+    assert {r.doc_id for r in super_minhash.unique_documents(documents(rows)).collect()} == {1, 2, 3}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
