@@ -78,18 +78,27 @@ def line_fails(line: Column, n: Column) -> Column:
     )
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Per row: `row` (all columns of the document), the counts, base_failed, lost_words, kept, lines."""
+def judged(docs: DataFrame, blank_lines: bool = False) -> DataFrame:
+    """Per row: `row` (all columns of the document), the counts, base_failed, lost_words, kept, lines.
+
+    `lines` has the lines without a word only if `blank_lines` asks for them; they never fail.
+    """
+    counted = "all_lines" if blank_lines else "l"
     text = F.coalesce(F.col("row.text"), F.lit(""))
     one = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     two = one.select(
         "row", text.alias("t"), words(text).alias("w"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("l"))
+        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("l"),
+        *([F.split(text, "\n").alias("all_lines")] if blank_lines else []))
     three = two.select(
         "row", "t", "w", "l",
         F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda w, i: F.concat_ws(
             " ", w, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2))).alias("windows"),
-        F.transform("l", lambda line: F.struct(line.alias("line"), F.size(words(line)).cast("long").alias("n"))).alias("sized"))
+        F.transform(counted, lambda line: F.struct(line.alias("line"), F.size(words(line)).cast("long").alias("n"))).alias("sized"))
+
+    def fails(x: Column) -> Column:
+        return (x["n"] > 0) & line_fails(x["line"], x["n"]) if blank_lines else line_fails(x["line"], x["n"])
+
     four = three.select(
         "row",
         F.size("w").cast("long").alias("n_words"),
@@ -97,7 +106,7 @@ def judged(docs: DataFrame) -> DataFrame:
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         covered_words(F.col("windows")).alias("n_repeat_words"),
-        F.transform("sized", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fails"))).alias("lines"))
+        F.transform("sized", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), fails(x).alias("fails"))).alias("lines"))
     five = four.select(
         "*",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
@@ -117,11 +126,19 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id and text of the kept documents with the failing lines removed."""
-    good = F.filter("lines", lambda x: ~x["fails"])
-    return judged(docs).where("kept").select(
-        F.col("row.doc_id").alias("doc_id"), F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("text"))
+    return kept_documents(docs.select("doc_id", "text"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents, whole and with all their columns."""
-    return judged(docs).where("kept").select("row.*")
+    """The kept documents with the failing lines removed and with all their columns.
+
+    Other lines stay as they are, blank ones too; n_chars, where there is one, follows a changed text.
+    """
+    good = F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["line"])
+    rows = judged(docs, blank_lines=True).where("kept").select(
+        "row", F.when(F.exists("lines", lambda x: x["fails"]), F.array_join(good, "\n")).alias("shorter"))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    changed = {
+        "text": lambda: F.coalesce("shorter", "row.text"),
+        "n_chars": lambda: F.when(F.col("shorter").isNull(), F.col("row.n_chars")).otherwise(F.length("shorter").cast(kinds["n_chars"]))}
+    return rows.select(*(changed[c]().alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

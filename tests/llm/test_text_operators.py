@@ -57,6 +57,17 @@ def test_quality_counts_and_cleaning(documents):
     assert clean[12] == texts[12].split("\n")[0] and clean[5] == texts[5]
 
 
+def test_quality_stage_removes_failing_lines(llm, documents):
+    rnd = random.Random(11)
+    good, more = prose(rnd, 60), prose(rnd, 40)
+    texts = [f"{good}\nAll rights reserved. Click here.\n\n \n{more}\n", f"{good}\n\n{more}\n", f"Home | About | News | Contact\n{good}", good]
+    docs = documents([(i, t, "s") for i, t in enumerate(texts)])
+    out = corpus_pipeline.quality(llm, docs, "")
+    assert out.schema == docs.schema
+    want = [f"{good}\n\n \n{more}\n", texts[1], good, good]
+    assert sorted((r.doc_id, r.text, r.n_chars, r.source, r.kept) for r in out.collect()) == [(i, t, len(t), "s", 7) for i, t in enumerate(want)]
+
+
 def test_quality_of_nothing(documents):
     docs = documents([(1, "x", "s")]).where("doc_id < 0")
     assert line_quality.quality(docs).count() == 0
