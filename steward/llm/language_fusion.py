@@ -34,8 +34,6 @@ from steward.staging import staged
 #: characters of each that count there. Pages are read whole.
 SAMPLE, SAMPLE_CHARS = 200, 20_000
 SLOTS = 1 << 14
-#: Languages told apart at most: the labels with the most documents.
-MOST_LANGUAGES = 64
 #: Weight of the wider level in a host's, domain's and suffix's spread; pseudo-counts of declarations.
 PRIOR_WEIGHT, DECLARED_WEIGHT = 4.0, 2.0
 #: A text's likelihood counts as that of so many independent trigrams at most.
@@ -64,7 +62,7 @@ def trigram_slots(body: np.ndarray) -> np.ndarray:
 def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-probability of each slot in each of them."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    most = labelled.groupBy("lang").count().collect()  # one row per language, all of them
     languages = sorted(r.lang for r in most)
     table = np.full((len(languages), SLOTS), 0.05)
     if not languages:
@@ -73,8 +71,9 @@ def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(SAMPLE / r["count"])) for r in most))
     drawn = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1_000_000)) < 1_000_000 * share
     sample = labelled.where(drawn).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
+    number = {lang: i for i, lang in enumerate(languages)}
     for lang, text in zip(sample["lang"].to_pylist(), sample["text"].to_pylist(), strict=True):
-        table[languages.index(lang)] += np.bincount(trigram_slots(np.frombuffer(text.encode(), np.uint8)), minlength=SLOTS)
+        table[number[lang]] += np.bincount(trigram_slots(np.frombuffer(text.encode(), np.uint8)), minlength=SLOTS)
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -92,7 +91,9 @@ def text_posteriors(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Ite
                 m = _DECLARED.search(html)
                 declared.append(m[1].lower() if m else None)
                 slots = trigram_slots(np.frombuffer(visible(html).encode(), np.uint8))
-                scores = model[:, slots].sum(axis=1)
+                times = np.bincount(slots, minlength=SLOTS)
+                seen = np.flatnonzero(times)  # bounds the work by the model, however long the page
+                scores = model[:, seen] @ times[seen]
                 scores = scores * min(1.0, EVIDENCE_TRIGRAMS / max(1, len(slots)))
                 weights = np.exp(scores - scores.max()) if len(scores) else scores
                 counts.append(len(slots))

@@ -207,6 +207,18 @@ def test_languages(llm):
     assert language_fusion.languages_of(pages, docs.where("doc_id < 0")).where("language IS NOT NULL").count() == 0
 
 
+def test_every_label_is_a_language(llm):
+    rnd = random.Random(12)
+    names = [a + b for a in "abcdefghi" for b in "klmnopqr"]  # 72 labels
+    vocabulary = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in names}
+    say = lambda k, n: " ".join(rnd.choice(vocabulary[k]) for _ in range(n))
+    docs = llm.createDataFrame([(i, say(k, 40), k) for i, k in enumerate(names * 2)], "doc_id long, text string, lang string")
+    pages = llm.createDataFrame([(i, f"https://{k}.example/", f'<html lang="{k}"><p>{say(k, 30)}</p></html>') for i, k in enumerate(names)],
+                                "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.language for r in language_fusion.languages_of(pages, docs).collect()}
+    assert got == dict(enumerate(names))
+
+
 def test_shingles_of_odd_texts():
     import pyarrow as pa
 
