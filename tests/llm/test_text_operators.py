@@ -148,6 +148,54 @@ def test_secret_spans(llm):
     assert not any("format" in got[i] for i in range(133, 138))
 
 
+def test_keys_off_the_patterns_are_found(llm, documents):
+    rnd = random.Random(12)
+    made = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    base32, upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    syllables = ["the", "er", "in", "an", "tion", "al", "re", "ing", "de", "mo", "be", "so", "jo", "qu", "xi", "ze", "vi", "ke", "wa", "yo"]
+    vocabulary = [made(syllables, rnd.randrange(1, 5)) for _ in range(900)]
+    vocabulary += [made(upper, 1) + made(syllables, 2) for _ in range(200)] + ["NATO", "UNESCO", *map(str, range(1990, 2024))]
+    talk = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    texts = [f"{talk(900)} {x} {talk(900)}" for _ in range(40) for x in (
+        f"AKIA{made(base32, 16)}", f"token={made(lower + '0123456789', 12)}", f"hash {made('0123456789abcdef', 40)}")]
+    # Two, one and no digit; short ones; letters of one case only, digits only.
+    keys = [f"ASIA{made(upper, 16 - n)}{made('234567', n)}" for n in (2, 1, 0)] + ["q7zk9xw3vj5b", "x4qj8z0vk", made("qzxjvkwy", 20), made("0123456789", 22)]
+    texts += [f"{talk(10)} ({k}) {talk(10)}" for k in keys] + [talk(400), "internationalisation " + talk(20)]
+    want = {len(texts) - 2 - len(keys) + i: k for i, k in enumerate(keys)}
+    docs = llm.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r.row: [s.value for s in r.spans if s.kind == 3] for r in secret_grammar.scan(docs).collect()}
+    assert {i: v[0] for i, v in got.items() if v} == want
+    assert all(texts[i][s.start: s.stop] == s.value for i, r in ((r.row, r) for r in secret_grammar.scan(docs).collect()) for s in r.spans if s.kind != 0)
+    out = {r.doc_id: r.text for r in secret_grammar.redacted(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert all("([secret])" in out[i] and k not in out[i] for i, k in want.items())
+
+
+def path_score(model, word):
+    """The likeliest path, state by state."""
+    paths = {0: 0.0}
+    for c in map(secret_grammar.ALPHABET.index, word):
+        leap = max(v + model.leap[s] for s, v in paths.items())
+        new = dict.fromkeys(range(len(model.end)), leap)
+        for s, v in paths.items():
+            if model.step[s, c] > float("-inf"):
+                new[model.goes[s, c]] = max(new[model.goes[s, c]], v + model.step[s, c])
+        paths = new
+    return max(v + model.end[s] for s, v in paths.items())
+
+
+def test_scores_of_many_words(monkeypatch):
+    rnd = random.Random(13)
+    made = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    models = [Automaton(["AKIA" + made("ABCDEFGH234567", 16) for _ in range(200)]), Automaton([made("0123456789abcdef", 32) for _ in range(200)])]
+    assert len(models[0].end) > 1
+    words = [made(secret_grammar.ALPHABET, rnd.randrange(1, 40)) for _ in range(40)] + ["AKIA" + "A2" * 8, "ASIA" + "B3" * 8, "a" * 3000]
+    for cells in (1 << 20, 12):
+        monkeypatch.setattr(secret_grammar, "SCORED_CELLS", cells)
+        for model in models:
+            assert model.scores([w.encode() for w in words]).tolist() == pytest.approx([path_score(model, w) for w in words])
+            assert all(sum(model.most[list(map(secret_grammar.ALPHABET.index, w))]) + model.most_end >= path_score(model, w) - 1e-6 for w in words)
+
+
 def test_redaction_keeps_rows_and_columns(documents):
     secret = "0123456789abcdef" * 2
     rows = [(1, f"ü key {secret} end", "s"), (2, None, "s"), (3, "", "s"), (4, f"password={secret}", "s"), (4, "clean", "s")]
