@@ -106,7 +106,7 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                pa.array(bands, pa.list_(pa.int64())), *piece.columns[2:]], ["doc_id", "n_shingles", "set_key", "bands", *piece.schema.names[2:]])
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +209,11 @@ def tiles(members: DataFrame) -> DataFrame:
         "leader", "node", F.least("block", "other").alias("side_a"), F.greatest("block", "other").alias("side_b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept; links have `percent` similarity or more."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = staged(rows.mapInArrow(featured, FEATURES), "features")
+def with_components(rows: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_key and component of rows of (doc_id long, text), and their text_key if they have one."""
+    keyed = [c for c in rows.columns if c == "text_key"]
+    features = staged(rows.mapInArrow(featured, ", ".join([FEATURES, *(f"{c} string" for c in keyed)])), "features")
+    rows = rows.select("doc_id", "text")
     full = features.where("set_key IS NOT NULL")
     classes = staged(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     members = staged(candidate_groups(classes), "members")
@@ -223,13 +224,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = clustered(tiled.select("leader", "side_a", "side_b", "node", "shingles"), ["leader", "side_a", "side_b"])
     roots = components(links.mapInArrow(lambda batches: tile_links(batches, percent), "u long, v long"))
     labelled = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
-    out = features.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
+    return features.select("doc_id", "n_shingles", "set_key", *keyed).join(labelled, "set_key", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept; links have `percent` similarity or more."""
+    out = with_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def unique_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all its columns; documents without words all stay."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("its_id")).distinct()
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return carried.join(kept, F.col("id").eqNullSafe(F.col("its_id")), "left_semi").select("row.*")
+    """One row of each group, with all its columns; documents without words all stay.
+
+    The row is one of the group's least doc_id; of rows equal in id and text one stays. Rows of equal
+    sets without any doc_id are a group.
+    """
+    row_id, text_key = F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key")
+    out = with_components(docs.select(row_id, "text", text_key), percent)
+    group = ["component", F.when(F.col("component").isNull(), F.col("set_key")).alias("key")]
+    equal = out.where("set_key IS NOT NULL").groupBy(*group, "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")).alias("x")
+    chosen = equal.groupBy("component", "key").agg(first).select("x.doc_id", "x.text_key", "x.n")
+    wordless = out.where("set_key IS NULL").select("doc_id", "text_key", F.lit(1).cast("long").alias("n")).distinct()
+    kept = staged(chosen.unionByName(wordless).select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"), "n"), "kept")
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_id.alias("id"), text_key)
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key"))
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return carried.join(kept, same, "left_semi").select("row.*")
+    once = carried.join(repeated, same, "left_semi").groupBy("id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return carried.join(kept.where("n = 1"), same, "left_semi").select("row.*").unionByName(once.select("row.*"))

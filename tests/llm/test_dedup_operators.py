@@ -77,6 +77,17 @@ def test_pipeline_takes_near_documents_from_080(llm, documents):
     assert {r.doc_id for r in super_minhash.unique_documents(documents(rows)).collect()} == {1, 2, 3}
 
 
+def test_one_row_of_each_group_stays(documents):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a, "s"), (1, a, "t"), (2, a, "s"), (None, a, "s"), (None, b, "s"), (None, b.upper(), "s"), (None, b, "s"), (3, c, "s"),
+            (4, "", "s"), (None, None, "s"), (None, None, "s"), (5, d, "s"), (5, d, "s")]
+    docs = documents(rows)
+    out = super_minhash.unique_documents(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (3, c), (4, ""), (None, ""), (None, ""), (5, d)], key=str)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
