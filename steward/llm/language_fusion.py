@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from steward.llm.common import mixed, pieces, texts_of
 from steward.staging import staged
 
-#: Labelled documents of each language that the trigram model is fitted on (expected number), and
-#: characters of each that count there. Pages are read whole.
-SAMPLE, SAMPLE_CHARS = 200, 20_000
+#: Labelled documents of each language that the trigram model is fitted on (expected number). They and
+#: the pages are read whole.
+SAMPLE = 200
 SLOTS = 1 << 14
 #: Weight of the wider level in a host's, domain's and suffix's spread; pseudo-counts of declarations.
 PRIOR_WEIGHT, DECLARED_WEIGHT = 4.0, 2.0
@@ -59,6 +59,34 @@ def trigram_slots(body: np.ndarray) -> np.ndarray:
     return (mixed(grams) % np.uint64(SLOTS)).astype(np.int64)
 
 
+#: Languages whose counts a task holds before it sends them.
+HELD_LANGUAGES = 64
+
+
+def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of the texts of rows (lang, text) by language and slot."""
+    held: dict[str, np.ndarray] = {}
+
+    def sent() -> pa.RecordBatch:
+        slots = [np.flatnonzero(x) for x in held.values()]
+        langs = [lang for lang, s in zip(held, slots, strict=True) for _ in range(len(s))]
+        counts = [x[s] for x, s in zip(held.values(), slots, strict=True)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(np.concatenate(slots), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], ["lang", "slot", "n"])
+
+    for batch in batches:
+        for piece in pieces(batch, "text", 4 << 20):
+            for lang, text in zip(piece.column(0).to_pylist(), texts_of(piece, "text"), strict=True):
+                if lang not in held and len(held) >= HELD_LANGUAGES:
+                    yield sent()
+                body = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                counts = np.bincount(trigram_slots(body), minlength=SLOTS)
+                held[lang] = held[lang] + counts if lang in held else counts
+    if held:
+        yield sent()
+
+
 def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-probability of each slot in each of them."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -70,10 +98,11 @@ def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     # One scan draws about SAMPLE documents of every language by hash.
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(SAMPLE / r["count"])) for r in most))
     drawn = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1_000_000)) < 1_000_000 * share
-    sample = labelled.where(drawn).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
+    counts = labelled.where(drawn).select("lang", "text").mapInArrow(label_counts, "lang string, slot long, n long")
+    sums = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most a row per language and slot
     number = {lang: i for i, lang in enumerate(languages)}
-    for lang, text in zip(sample["lang"].to_pylist(), sample["text"].to_pylist(), strict=True):
-        table[number[lang]] += np.bincount(trigram_slots(np.frombuffer(text.encode(), np.uint8)), minlength=SLOTS)
+    rows = np.array([number[lang] for lang in sums["lang"].to_pylist()], np.int64)
+    table[rows, sums["slot"].to_numpy()] += sums["n"].to_numpy()
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 

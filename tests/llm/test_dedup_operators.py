@@ -218,6 +218,18 @@ def test_languages(llm):
     assert language_fusion.languages_of(pages, docs.where("doc_id < 0")).where("language IS NOT NULL").count() == 0
 
 
+def test_labelled_documents_count_whole(llm, monkeypatch):
+    monkeypatch.setattr(language_fusion, "HELD_LANGUAGES", 1)
+    rows = [(1, "one two " * 4000 + "kvik zjom wrak", "xx"), (2, "bao dei é", "yy"), (3, "", "yy"), (4, "kvik " * 9, "xx"), (5, "a", "zz")]
+    languages, model = language_fusion.trigram_model(llm.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1))
+    want = np.full((3, language_fusion.SLOTS), 0.05)
+    for _, text, lang in rows:
+        for slot in language_fusion.trigram_slots(np.frombuffer(text.encode(), np.uint8)).tolist():
+            want[languages.index(lang), slot] += 1
+    assert languages == ["xx", "yy", "zz"]
+    assert np.allclose(np.exp(model), want / want.sum(axis=1, keepdims=True))
+
+
 def test_every_label_is_a_language(llm):
     rnd = random.Random(12)
     names = [a + b for a in "abcdefghi" for b in "klmnopqr"]  # 72 labels
