@@ -2,12 +2,17 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from steward.llm import merkle_manifest
+from steward.llm import divergence_audit, merkle_manifest
+from steward.llm.perfect_hash import PerfectHash
 
 
 def digest(text):
@@ -85,3 +90,73 @@ def test_intervals_nest(llm):
         if level < 6:
             parent = found[level + 1, lo >> level + 1 << level + 1]
             assert parent.lo <= lo and r.hi <= parent.hi
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def audited(rows, least, top):
+    frequency, counts = Counter(), defaultdict(Counter)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        terms = TERM.findall((text or "").translate(CAPITALS))
+        frequency.update((lang, t) for t in set(terms))
+        counts[lang, source].update(terms)
+    kept = defaultdict(set)
+    for (lang, term), n in frequency.items():
+        if n >= least:
+            kept[lang].add(term)
+    out = []
+    share = lambda n, total, v: 1 + 10**9 * (n + 5) // (total + 5 * v)
+    for lang in {x for x, _ in counts}:
+        terms, sources = kept[lang], sorted((s for x, s in counts if x == lang), key=str.encode)
+        size = lambda c: sum(c[t] for t in terms)
+        whole = sum((counts[lang, s] for s in sources), Counter())
+        p = {s: {t: share(counts[lang, s][t], size(counts[lang, s]), len(terms)) for t in terms} for s in sources}
+        for s in sources:
+            order = lambda xs: sorted(xs, key=lambda x: (-x[1], x[0].encode()))
+            pairs = order((o, sum(abs(p[s][t] - p[o][t]) for t in terms)) for o in sources if o != s)
+            over = order((t, p[s][t] - q) for t in terms if counts[lang, s][t] and (q := share(whole[t], size(whole), len(terms))) < p[s][t])
+            out += [(lang, s, "pair", o, v, k) for k, (o, v) in enumerate(pairs, 1)]
+            out += [(lang, s, "term", o, v, k) for k, (o, v) in enumerate(over[:top], 1)]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_divergence(llm, monkeypatch, small):
+    monkeypatch.setattr(divergence_audit, "LEAST", 3)
+    if small:  # several shards, a round each, sorted pairs instead of dense slots, many blocks and tiles
+        for name, value in {"SHARD_KEYS": 16, "ROUND_BYTES": 1000, "DENSE": 20, "TILE_SOURCES": 2, "BLOCK_SLOTS": 8, "TOP": 3}.items():
+            monkeypatch.setattr(divergence_audit, name, value)
+    rnd = random.Random(8)
+    words = ["Alpha", "beta", "É", "é", "straße", "x" * 70, "x" * 71, "\u3000wide", *(f"{a}{b}" for a in "abcde" for b in "vwxyz")]
+    rows = [(rnd.choice(["", " ", "7-"]).join(rnd.choice(words) + rnd.choice([" ", "\n", "_", "1"]) for _ in range(rnd.randrange(30))),
+             rnd.choice(["en", "en", "de", None, ""]), rnd.choice(["a", "b", "ä", "c", None, "a\0b"])) for _ in range(150)]
+    rows += [(None, "en", "silent"), ("Alpha", "rare", "one"), ("beta", "rare", "two"), ("...", "none", "only"), ("long " * 20_000, "en", "a"), rows[0], rows[0]]
+    docs = llm.createDataFrame([(*r, 7, "x") for r in rows], "text string, lang string, source string, n int, term string").repartition(3)
+    got = [tuple(r) for r in divergence_audit.audit(docs).collect()]
+    want = audited(rows, 3, divergence_audit.TOP)
+    assert sorted(got) == sorted(want)
+    assert {r[2] for r in want} == {"pair", "term"}
+    if small:
+        assert divergence_audit.audit(docs.where("n < 0")).collect() == []
+
+
+def test_perfect_hash_is_minimal_and_keys_are_verified():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 50_000):
+        hashes = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        perfect = PerfectHash.of(hashes)
+        assert len(perfect) == len(hashes) and sorted(perfect.slots(hashes).tolist()) == list(range(len(hashes)))
+    with pytest.raises(ValueError):
+        PerfectHash.of(np.array([5, 5], np.uint64))
+    keys = divergence_audit.keys_of(pa.array(["en"] * 40), pa.array([f"t{i}" for i in range(40)]))
+    hashes = divergence_audit.key_hashes(keys)
+    hashes[7] = hashes[8] = hashes[9]  # keys equal in hash
+    rows = pa.table({"shard": pa.array([0] * 40), "h": pa.array(hashes.view(np.int64)), "key": keys.cast(pa.string())})
+    row = next(divergence_audit.built(iter(rows.to_batches()))).to_pylist()[0]
+    shard = divergence_audit.Shard(0, row["words"], row["starts"], row["keys"])
+    assert len(shard) == 40 and sorted(shard.slots(hashes, keys).tolist()) == list(range(40))
+    strangers = divergence_audit.keys_of(pa.array(["de"] * 40), pa.array([f"t{i}" for i in range(40)]))
+    assert set(shard.slots(hashes, strangers).tolist()) == {-1}
