@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from steward.llm import near_embeddings, suffix_dedup, super_minhash
+from steward.llm import near_embeddings, suffix_dedup, super_kmers, super_minhash
 from steward.llm.common import query, table
 
 SHINGLE_SQL = r"""
@@ -65,3 +65,22 @@ from v join roots r on r.node = v.vec_id left join counts c on c.u = v.vec_id
 @query(EMBEDDING_SQL)
 def op1_near_embeddings(spark, sf_dir):
     return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+WINDOW_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select r, doc_id, w, unnest(generate_series(1, len(w))) as i from docs),
+windows as (select r, i, w[i] as word, case when i + 34 <= len(w) then array_to_string(w[i:i + 34], ' ') end as s from starts),
+flagged as (select r, i, word, s is not null and count(*) over (partition by s) > 1 as again from windows),
+covered as (select r, i, word, max(again) over (partition by r order by i rows between 34 preceding and current row) as gone from flagged),
+kept as (select r, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from covered group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(k.n_removed, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d left join kept k using (r)
+"""
+
+
+@query(WINDOW_SQL)
+def op11_super_kmers(spark, sf_dir):
+    found = super_kmers.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from steward.llm import language_fusion, near_embeddings, shingles, suffix_dedup, super_minhash
+from steward.llm import language_fusion, near_embeddings, shingles, suffix_dedup, super_kmers, super_minhash
 from steward.llm.components import components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,3 +251,54 @@ def test_shingles_of_odd_texts():
     assert [len(s) for s in sets] == [0, 1, 1, 1, 2, 1]
     assert (sets[2] == sets[3]).all() and sets[2][0] in sets[4]
     assert (shingles.shingle_sets(pa.array(texts).slice(2, 2))[1] == sets[3]).all()
+
+
+def without_windows(rows, length=35):
+    texts = [SPLIT.findall(text or "") for _, text in rows]
+    seen = Counter(tuple(w[k: k + length]) for w in texts for k in range(len(w) - length + 1))
+    out = []
+    for (i, _), w in zip(rows, texts, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k: k + length])] > 1:
+                gone[k: k + length] = [True] * length
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeated_windows(documents, monkeypatch, hot):
+    monkeypatch.setattr(super_kmers, "HOT", hot)
+    rnd = random.Random(hot)
+    some = lambda n: [rnd.choice(["alpha", "Beta", "é", "délta"]) + str(rnd.randrange(30)) for _ in range(n)]
+    base, line = [some(90) for _ in range(6)], some(20)
+    rows = []
+    for i in range(120):
+        b, at = rnd.choice(base), rnd.randrange(60)
+        words = [b, some(9) + b[at: at + rnd.randrange(20, 60)] + some(9) + rnd.choice(base)[:40], ["a", "b"] * rnd.randrange(60),
+                 some(rnd.randrange(1, 60)), some(20) + line + some(20), some(30) + b[:35] + some(2), b + some(1) + b][rnd.randrange(7)]
+        rows.append((i * 2, rnd.choice([" ", "\n", " \t\x0b"]).join(words)))
+    rows += [(1000, None), (1001, ""), (1002, " "), (1003, " ".join(["y"] * 35)), (1004, " ".join(["y"] * 34)), (1005, " ".join(["z"] * 36)),
+             (None, " ".join(base[0])), (None, " ".join(base[0])), (4, rows[2][1]), rows[7], rows[7], (1006, " ".join(["q"] * 40 + some(9000))), (1007, " ".join(some(40))),
+             (1008, "\u00a0".join(base[1]) + " tail")]
+    rows += [(1009, rows[-2][1].upper()), (1010, "\x00 " + rows[-2][1])]
+    table = documents([(i, t, "s") for i, t in rows])
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text)) for r in super_kmers.without_repeats(table).collect()]
+    assert sorted(got, key=str) == sorted(without_windows(rows), key=str)
+    if hot == 3:
+        assert super_kmers.without_repeats(table.where("doc_id < 0")).count() == 0
+
+
+def test_windows_are_counted_across_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(super_kmers, "SORTED_BYTES", 1)
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(3, 41))
+    schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("single", pa.bool_()), ("times", pa.int64()), ("row", pa.int64()), ("place", pa.int64())])
+    place = lambda first: (first << 6 | 1) << 12
+    rows = [(1, a.encode(), False, 1, 10, place(0)), (1, b.encode(), False, 1, 11, place(100)), (2, a.encode(), False, 1, 12, place(0)),
+            (3, b"s", True, 1, 20, place(0)), (3, b"s", True, 1, 21, place(5)), (3, b"s", True, 2, None, None), (4, b"t", True, 1, 22, place(0)),
+            (5, b"u", True, 2, None, None), (5, b"u", True, 1, 23, place(7)), (6, None, False, 2, 30, place(9))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(r, schema, strict=True)], schema=schema) for r in rows]
+    found = sorted((r["row"], r["place"] >> 18, r["place"] >> 12 & 63) for out in super_kmers.counted(iter(batches)) for r in out.to_pylist())
+    assert found == [(10, 3, 3), (11, 100, 3), (20, 0, 1), (21, 5, 1), (23, 7, 1), (30, 9, 1)]
