@@ -56,10 +56,13 @@ TYPED_FIELDS = {
 }
 
 
+def category(at: str = "", fold_inline: bool = False) -> str:
+    """SQL of the category of a raw cell; `fold_inline` counts inline strings as strings."""
+    return _CATEGORY.format(at=at, inline="string" if fold_inline else "inline_string")
+
+
 def classify_cell(at: str = "", fold_inline: bool = False) -> Column:
-    """Category of a raw cell; `fold_inline` counts inline strings as strings."""
-    inline = "string" if fold_inline else "inline_string"
-    return F.expr(_CATEGORY.format(at=at, inline=inline))
+    return F.expr(category(at, fold_inline))
 
 
 def reject_code(value_type: str, at: str = "") -> Column:

@@ -1,4 +1,8 @@
-"""Normalization: mapped cells to typed records, findings, evidence and summary."""
+"""Normalization: mapped cells to typed records, findings, evidence and summary.
+
+Operators take a grid in either shape (`sources.grid`). In row shape a source row is one record from the
+scan on, so blank rows, mapping and rejection are narrow, and only typed records are shuffled, for numbering.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steward.functions.cells import reject_code, typed_value
 from steward.functions.paths import cell_path
 from steward.schemas import VALUE_TYPES, WARNING
+from steward.sources.grid import rows_of
 from steward.staging import staged
 
 SHEET = ["workbook_id", "sheet_ordinal"]
@@ -67,56 +72,47 @@ def mapped_cells(cells: DataFrame, spec: MappingSpec) -> DataFrame:
     )
 
 
-def drop_blank_rows(cells: DataFrame, spec: MappingSpec) -> DataFrame:
+def _mapped_rows(grid: DataFrame, spec: MappingSpec) -> tuple[DataFrame, list[str]]:
+    """Data rows of the sheet with the mapped cells as struct columns, and those columns' names."""
+    rows = rows_of(grid).filter(
+        (F.col("sheet_ordinal") == spec.sheet_ordinal) & (F.col("row_ordinal") >= spec.first_data_row)
+    )
+    names = [f"_cell_{i}" for i in range(len(spec.columns))]
+    cells = [F.expr(f"get(cells, {c.ordinal - 1})").alias(name) for c, name in zip(spec.columns, names, strict=True)]
+    return rows.select(*ROW, *cells), names
+
+
+def _filled(names: list[str]) -> Column:
+    """How many of the cells are not blank; a cell beyond the end of its row is."""
+    return sum((F.when(F.col(f"{n}.cell_type") != "blank", 1).otherwise(0) for n in names), start=F.lit(0))
+
+
+def drop_blank_rows(grid: DataFrame, spec: MappingSpec) -> DataFrame:
     """Keys of the rows with at least one mapped cell that is not null."""
-    present = mapped_cells(cells, spec).filter(F.col("cell_type") != "blank")
-    return present.groupBy(*ROW).agg(F.count(F.lit(1)).cast("bigint").alias("mapped_cell_count"))
+    rows, names = _mapped_rows(grid, spec)
+    counted = rows.select(*ROW, _filled(names).cast("bigint").alias("mapped_cell_count"))
+    return counted.filter("mapped_cell_count > 0")
 
 
-def map_columns(
-    cells: DataFrame, spec: MappingSpec, bucket_width: int | None = None
-) -> DataFrame:
-    """Pivot mapped cells to one row per source row: a value and a reject code per field.
+def map_columns(grid: DataFrame, spec: MappingSpec) -> DataFrame:
+    """A value and a reject code per field, for every source row that isn't blank.
 
-    A cell is typed before the shuffle, so only its typed value travels. A mapped column beyond
-    the end of a row is null. With `bucket_width` rows are clustered by blocks of consecutive
-    rows, which later numbering reuses without another shuffle.
+    A mapped column beyond the end of a row is null.
     """
-    source = mapped_cells(cells, spec)
-    typed = source.select(
-        *ROW,
-        *[
-            F.when(F.col("column_ordinal") == c.ordinal, part).alias(f"_{name}_{i}")
-            for i, c in enumerate(spec.columns)
-            for name, part in (
-                ("reject", reject_code(c.value_type)), ("value", typed_value(c.value_type)),
-            )
-        ],
-        F.expr("cell_type <> 'blank' AS _present"),
-    )
-    group = list(ROW)
-    if bucket_width:
-        bucket = F.expr(f"row_ordinal div {bucket_width} AS _bucket")
-        typed = typed.select("*", bucket).repartition(*SHEET, "_bucket")
-        group = [*SHEET, "_bucket", "row_ordinal"]
-    rows = typed.groupBy(*group).agg(
-        F.bool_or("_present").alias("_present"),
-        *[F.max(f"_{name}_{i}").alias(f"_{name}_{i}")
-          for i in range(len(spec.columns)) for name in ("reject", "value")],
-    ).filter("_present")
+    rows, names = _mapped_rows(grid, spec)
     rejects = []
-    for i, c in enumerate(spec.columns):
-        code = F.col(f"_reject_{i}")
+    for c, name in zip(spec.columns, names, strict=True):
+        code = F.when(F.col(f"{name}.cell_type").isNotNull(), reject_code(c.value_type, f"{name}."))
         if c.required:
-            missing = F.col(f"_value_{i}").isNull()
+            missing = typed_value(c.value_type, f"{name}.").isNull()
             code = F.coalesce(code, F.when(missing, "REQUIRED_VALUE_MISSING"))
         rejects.append(code.alias(f"_reject_{c.field}"))
-    keys = [*ROW, "_bucket"] if bucket_width else ROW
-    return rows.select(
-        *keys,
-        *[F.when(r.isNull(), F.col(f"_value_{i}")).alias(c.field)
-          for i, (c, r) in enumerate(zip(spec.columns, rejects))],
-        *rejects,
+    judged = rows.filter(_filled(names) > 0).select("*", *rejects)
+    return judged.select(
+        *ROW,
+        *[F.when(F.col(f"_reject_{c.field}").isNull(), typed_value(c.value_type, f"{name}.")).alias(c.field)
+          for c, name in zip(spec.columns, names, strict=True)],
+        *_rejects(spec),
     )
 
 
@@ -151,20 +147,19 @@ def reject_rows(mapped: DataFrame, spec: MappingSpec) -> DataFrame:
 
 
 def record_ordinal(
-    cells: DataFrame, spec: MappingSpec, bucket_width: int = 1 << 18
+    grid: DataFrame, spec: MappingSpec, bucket_width: int = 1 << 18
 ) -> DataFrame:
     """Accepted rows with their 0-based running number per sheet and absolute source row.
 
-    Pivot and numbering share one shuffle on (sheet, block of rows); the numbers of a block start
+    Only typed records are shuffled, by (sheet, block of rows); the numbers of a block start
     after the accepted rows of the blocks before it.
     """
-    return _numbered(map_columns(cells, spec, bucket_width), spec)
+    return _numbered(map_columns(grid, spec), spec, bucket_width)
 
 
 def _numbered(mapped: DataFrame, spec: MappingSpec, bucket_width: int = 1 << 18) -> DataFrame:
-    accepted = mapped.filter(is_accepted(spec))
-    if "_bucket" not in mapped.columns:
-        accepted = accepted.withColumn("_bucket", F.expr(f"row_ordinal div {bucket_width}"))
+    accepted = mapped.filter(is_accepted(spec)).select(
+        *ROW, *[c.field for c in spec.columns], F.expr(f"row_ordinal div {bucket_width} AS _bucket"))
     block = [*SHEET, "_bucket"]
     sizes = accepted.groupBy(*block).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*SHEET).orderBy("_bucket").rowsBetween(
@@ -183,7 +178,7 @@ def _numbered(mapped: DataFrame, spec: MappingSpec, bucket_width: int = 1 << 18)
 
 
 def normalized_records(
-    cells: DataFrame | None, spec: MappingSpec, sources: DataFrame | None = None,
+    grid: DataFrame | None, spec: MappingSpec, sources: DataFrame | None = None,
     mapped: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted records: ordinal, dataset, source, sheet, source row and typed `values`.
@@ -191,7 +186,7 @@ def normalized_records(
     `sources` (workbook_id, source_id) supplies provenance; without it the workbook id is used.
     `mapped` is the result of `map_columns` where a caller already has it as a table.
     """
-    numbered = record_ordinal(cells, spec) if mapped is None else _numbered(mapped, spec)
+    numbered = record_ordinal(grid, spec) if mapped is None else _numbered(mapped, spec)
     source = F.col("workbook_id")
     if sources is not None:
         numbered = numbered.join(sources.select("workbook_id", "source_id"), "workbook_id")
@@ -271,7 +266,7 @@ class Normalized:
     summary: DataFrame
 
 
-def normalize(cells: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normalized:
+def normalize(grid: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normalized:
     """All outputs of one spec over the sheets the authorization cleared.
 
     `cleared` holds `workbook_id, sheet_ordinal, source_id` of the sheets whose gate, mapping and
@@ -279,7 +274,7 @@ def normalize(cells: DataFrame, spec: MappingSpec, cleared: DataFrame) -> Normal
     them. A cleared sheet without data rows still has its evidence and summary lines.
     """
     wanted = cleared.filter(F.col("sheet_ordinal") == spec.sheet_ordinal)
-    usable = cells.join(wanted.select(*SHEET), SHEET, "left_semi")
+    usable = grid.join(wanted.select(*SHEET), SHEET, "left_semi")
     # Four outputs read the mapped rows: written once, they are not computed four times.
     mapped = staged(map_columns(usable, spec), "mapped")
     keys = wanted.select("workbook_id", "source_id")

@@ -1,7 +1,7 @@
 """Workbook profiling: counts over the cell grid, header inference, container checks, roll-ups.
 
-Cells are aggregated with map-side combine and never gathered per sheet. What leaves the first
-aggregation is one row per (sheet, column), per (sheet, row) or per sheet.
+Operators take a grid in either shape (`sources.grid`); in row shape, facts about single rows need no
+shuffle. What leaves the first aggregation is one row per (sheet, column) or per sheet, combined on the map side.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steward.functions.paths import is_traversal_entry, row_path, sheet_path
 from steward.functions.text import digest_text, name_digest, normalized_length
 from steward.schemas import CELL_CATEGORIES, ERROR, HEADER_SCAN_DEPTH, WARNING
+from steward.sources.grid import cells_of, rows_of
+from steward.staging import staged
 
 SHEET = ["workbook_id", "sheet_ordinal"]
 STRUCTURE_COUNTS = (
@@ -23,8 +25,10 @@ STRUCTURE_COUNTS = (
 
 @dataclass(frozen=True)
 class InspectionOptions:
-    max_rows_per_sheet: int
-    max_columns_per_sheet: int
+    """A limit of None reads whole sheets."""
+
+    max_rows_per_sheet: int | None = None
+    max_columns_per_sheet: int | None = None
     allow_pending_manifest: bool = False
     fail_on_formulas: bool = False
     fail_on_external_links: bool = True
@@ -33,7 +37,7 @@ class InspectionOptions:
     fail_on_unsupported_feature: bool = False
 
     def __post_init__(self):
-        if self.max_rows_per_sheet <= 0 or self.max_columns_per_sheet <= 0:
+        if any(x is not None and x <= 0 for x in (self.max_rows_per_sheet, self.max_columns_per_sheet)):
             raise ValueError("INVALID_INSPECTION_OPTION: scan limits must be positive")
 
 
@@ -53,16 +57,26 @@ def findings_of(df: DataFrame, subject: str, rules: list[tuple[Column, Column]])
 # --- cell counts --------------------------------------------------------------------------------
 
 
-def scanned(cells: DataFrame, options: InspectionOptions) -> DataFrame:
-    """Cells inside the scan budget."""
-    return cells.filter(
-        (F.col("row_ordinal") <= options.max_rows_per_sheet)
-        & (F.col("column_ordinal") <= options.max_columns_per_sheet)
-    )
+def scanned(grid: DataFrame, options: InspectionOptions) -> DataFrame:
+    """The part of the grid inside the scan budget, in the same shape."""
+    rows, columns = options.max_rows_per_sheet, options.max_columns_per_sheet
+    if rows is not None:
+        grid = grid.filter(F.col("row_ordinal") <= rows)
+    if columns is None:
+        return grid
+    if "cells" in grid.columns:
+        kept = F.when(F.size("cells") > columns, F.slice("cells", 1, columns)).otherwise(F.col("cells"))
+        return grid.withColumn("cells", kept)
+    return grid.filter(F.col("column_ordinal") <= columns)
+
 
+def _cells(grid: DataFrame) -> DataFrame:
+    return cells_of(grid) if "cells" in grid.columns else grid
 
-def cell_type_counts(cells: DataFrame) -> DataFrame:
+
+def cell_type_counts(grid: DataFrame) -> DataFrame:
     """Counts per category, plus non-empty, formula and error totals, per sheet."""
+    cells = _cells(grid)
     kind = F.col("cell_type")
     per_kind = [F.count_if(kind == c).alias(f"{c}_count") for c in CELL_CATEGORIES]
     return cells.groupBy(*SHEET).agg(
@@ -70,20 +84,19 @@ def cell_type_counts(cells: DataFrame) -> DataFrame:
     )
 
 
-def blank_row_count(cells: DataFrame) -> DataFrame:
+def blank_row_count(grid: DataFrame) -> DataFrame:
     """Rows of the scan without any non-blank cell, per sheet."""
-    rows = cells.groupBy(*SHEET, "row_ordinal").agg(
-        F.bool_or(F.col("cell_type") != "blank").alias("filled")
-    )
-    return rows.groupBy(*SHEET).agg(
+    filled = F.exists("cells", lambda c: F.coalesce(c["cell_type"], F.lit("blank")) != "blank")
+    rows = rows_of(grid).filter(F.size("cells") > 0)
+    return rows.select(*SHEET, filled.alias("filled")).groupBy(*SHEET).agg(
         F.count(F.lit(1)).alias("scanned_row_count"),
         F.count_if(~F.col("filled")).alias("blank_row_count"),
     )
 
 
-def blank_column_count(cells: DataFrame) -> DataFrame:
+def blank_column_count(grid: DataFrame) -> DataFrame:
     """Columns of the scan without any non-blank cell, per sheet."""
-    columns = cells.groupBy(*SHEET, "column_ordinal").agg(
+    columns = _cells(grid).groupBy(*SHEET, "column_ordinal").agg(
         F.bool_or(F.col("cell_type") != "blank").alias("filled")
     )
     return columns.groupBy(*SHEET).agg(
@@ -92,16 +105,21 @@ def blank_column_count(cells: DataFrame) -> DataFrame:
     )
 
 
+def _beyond(options: InspectionOptions, times: int) -> Column:
+    limits = (("declared_rows", options.max_rows_per_sheet), ("declared_columns", options.max_columns_per_sheet))
+    over = F.lit(False)
+    for declared, limit in limits:
+        if limit is not None:
+            over = over | (F.col(declared) > times * limit)
+    return over
+
+
 def _truncated(options: InspectionOptions) -> Column:
-    return (F.col("declared_rows") > options.max_rows_per_sheet) | (
-        F.col("declared_columns") > options.max_columns_per_sheet
-    )
+    return _beyond(options, 1)
 
 
 def _excessive(options: InspectionOptions) -> Column:
-    return (F.col("declared_rows") > 10 * options.max_rows_per_sheet) | (
-        F.col("declared_columns") > 10 * options.max_columns_per_sheet
-    )
+    return _beyond(options, 10)
 
 
 def _budget_rules(options: InspectionOptions) -> list[tuple[Column, Column]]:
@@ -142,10 +160,10 @@ def _verdict(options: InspectionOptions) -> Column:
 
 
 def empty_sheet_verdict(
-    cells: DataFrame, structure: DataFrame, options: InspectionOptions
+    grid: DataFrame, structure: DataFrame, options: InspectionOptions
 ) -> DataFrame:
     """Sheets proven empty or drawing-only; needs the whole sheet inside the budget."""
-    filled = scanned(cells, options).groupBy(*SHEET).agg(
+    filled = _cells(scanned(grid, options)).groupBy(*SHEET).agg(
         F.count_if(F.col("cell_type") != "blank").alias("non_empty_cell_count")
     )
     judged = structure.join(filled, SHEET, "left").withColumn("verdict", _verdict(options))
@@ -154,43 +172,47 @@ def empty_sheet_verdict(
     )
 
 
-def infer_header(cells: DataFrame, structure: DataFrame) -> DataFrame:
+#: Facts of a top row in one long, so that they combine without sorting: row, filled cells, texts, repeated texts.
+_COUNT_BITS = 19
+
+
+def _header_code() -> Column:
+    """Of a grid row that may be a header, its facts as one number; the smallest is the uppermost row's."""
+    kind = "coalesce(c.cell_type, 'blank')"
+    texts = f"filter(cells, c -> {kind} IN ('string', 'inline_string'))"
+    filled = f"size(filter(cells, c -> {kind} <> 'blank'))"
+    distinct = F.size(F.array_distinct(F.transform(F.expr(texts), lambda c: digest_text(c["value_string"]))))
+    facts = F.struct(F.expr(filled).alias("filled"), F.expr(f"size({texts})").alias("texts"), distinct.alias("digests"))
+    # One pass over the cells of a top row, none over those of other rows.
+    judged = F.transform(F.array(facts), lambda f: F.when(
+        (f["filled"] >= 2) & (2 * f["texts"] >= f["filled"]),
+        ((F.col("row_ordinal") * (1 << _COUNT_BITS) + f["filled"]) * (1 << _COUNT_BITS) + f["texts"]) * (1 << _COUNT_BITS) + f["texts"] - f["digests"]))
+    return F.when(F.col("row_ordinal") <= HEADER_SCAN_DEPTH, F.get(judged, F.lit(0)))
+
+
+def _header_fields(code: str, last_row: str) -> list[Column]:
+    """Header row, confidence and repeated digests from the facts of the uppermost row that qualifies."""
+    part = lambda i: F.expr(f"shiftright({code}, {i * _COUNT_BITS}) % {1 << _COUNT_BITS}")
+    row, filled, texts, repeats = F.expr(f"shiftright({code}, {3 * _COUNT_BITS})"), part(2), part(1), part(0)
+    sure = (5 * texts >= 4 * filled) & (row < F.col(last_row)) & (F.col("merged_top_rows") == 0)
+    return [
+        row.alias("inferred_header_row"),
+        F.when(F.col(code).isNull(), "none").when(sure, "high").otherwise("medium").alias("header_confidence"),
+        F.coalesce(repeats, F.lit(0)).cast("bigint").alias("duplicate_header_digests"),
+    ]
+
+
+def infer_header(grid: DataFrame, structure: DataFrame) -> DataFrame:
     """Header row, confidence and repeated header digests of every sheet in `structure`.
 
     The first of the top rows with at least two filled cells, half of them text, is the header.
     One row past the search depth is read too, only to see whether the scan goes on below it.
     """
-    text = F.col("cell_type").isin("string", "inline_string")
-    rows = (
-        cells.filter(F.col("row_ordinal") <= HEADER_SCAN_DEPTH + 1)
-        .groupBy(*SHEET, "row_ordinal")
-        .agg(
-            F.count_if(F.col("cell_type") != "blank").alias("filled"),
-            F.count_if(text).alias("texts"),
-            F.count_distinct(F.when(text, digest_text(F.col("value_string")))).alias("digests"),
-        )
-    )
-    ratio = F.try_divide(F.col("texts"), F.col("filled"))
-    qualifies = (
-        (F.col("row_ordinal") <= HEADER_SCAN_DEPTH) & (F.col("filled") >= 2) & (ratio >= 0.5)
-    )
-    repeats = F.col("texts") - F.col("digests")
-    candidate = F.struct("row_ordinal", ratio.alias("ratio"), repeats.alias("repeats"))
-    per_sheet = rows.groupBy(*SHEET).agg(
-        F.min(F.when(qualifies, candidate)).alias("h"), F.max("row_ordinal").alias("last_row")
-    )
+    top = rows_of(grid.filter(F.col("row_ordinal") <= HEADER_SCAN_DEPTH + 1))
+    per_sheet = top.select(*SHEET, "row_ordinal", _header_code().alias("code")).groupBy(*SHEET).agg(
+        F.min("code").alias("_code"), F.max("row_ordinal").alias("_last"))
     joined = structure.select(*SHEET, "merged_top_rows").join(per_sheet, SHEET, "left")
-    at_end = F.col("h.row_ordinal") >= F.col("last_row")
-    return joined.select(
-        *SHEET,
-        F.col("h.row_ordinal").alias("inferred_header_row"),
-        F.when(F.col("h").isNull(), "none")
-        .when((F.col("h.ratio") >= 0.8) & ~at_end & (F.col("merged_top_rows") == 0), "high")
-        .otherwise("medium")
-        .alias("header_confidence"),
-        F.coalesce(F.col("h.repeats"), F.lit(0)).cast("bigint").alias("duplicate_header_digests"),
-        "merged_top_rows",
-    )
+    return joined.select(*SHEET, *_header_fields("_code", "_last"), "merged_top_rows")
 
 
 def header_findings(headers: DataFrame) -> DataFrame:
@@ -211,11 +233,10 @@ def _header_rules(at_row: Column) -> list[tuple[Column, Column]]:
     ]
 
 
-def header_candidates(cells: DataFrame, headers: DataFrame) -> DataFrame:
+def header_candidates(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Text cells of the header row as digests and lengths, never as text."""
-    top = cells.filter(
-        (F.col("row_ordinal") <= HEADER_SCAN_DEPTH)
-        & F.col("cell_type").isin("string", "inline_string")
+    top = _cells(grid.filter(F.col("row_ordinal") <= HEADER_SCAN_DEPTH)).filter(
+        F.col("cell_type").isin("string", "inline_string")
     )
     rows = headers.filter(F.col("inferred_header_row").isNotNull()).select(
         *SHEET, F.col("inferred_header_row").alias("row_ordinal")
@@ -238,29 +259,37 @@ def duplicate_header_digests(headers: DataFrame) -> DataFrame:
 
 
 def sheet_profile(
-    cells: DataFrame, structure: DataFrame, options: InspectionOptions
+    grid: DataFrame, structure: DataFrame, options: InspectionOptions
 ) -> DataFrame:
-    """One row per sheet with every count, the verdict and the header.
+    """One row per sheet with every count, the verdict and the header, from one pass over the grid.
 
-    Additive counts come from the (sheet, column) aggregation, which map-side combine shrinks to
-    a few rows per task; only the blank-row test needs a record per sheet row.
+    What concerns a row as a whole (that it exists, that it is filled, its facts as a header) rides on its
+    first cell, so that one aggregation by (sheet, column) counts cells, columns and rows together.
     """
-    budget = scanned(cells, options)
-    kind = F.col("cell_type")
-    columns = budget.groupBy(*SHEET, "column_ordinal").agg(
-        *[F.count_if(kind == c).alias(f"{c}_count") for c in CELL_CATEGORIES]
-    )
-    filled = sum((F.col(f"{c}_count") for c in CELL_CATEGORIES[1:]), start=F.lit(0))
+    filled = F.exists("cells", lambda c: F.coalesce(c["cell_type"], F.lit("blank")) != "blank")
+    budget = rows_of(scanned(grid, options)).select(
+        *SHEET, "row_ordinal", "cells", filled.alias("filled"), _header_code().alias("code"))
+    cells = budget.select(
+        *SHEET, "row_ordinal", "filled", "code", F.posexplode("cells").alias("position", "cell"))
+    kind = F.coalesce(F.col("cell.cell_type"), F.lit("blank"))
+    first = F.col("position") == 0
+    columns = cells.groupBy(*SHEET, "position").agg(
+        *[F.count_if(kind == c).alias(f"{c}_count") for c in CELL_CATEGORIES],
+        F.count_if(first).alias("rows"), F.count_if(first & ~F.col("filled")).alias("blank"),
+        F.min(F.when(first, F.col("code"))).alias("code"),
+        F.max(F.when(first, F.least("row_ordinal", F.lit(HEADER_SCAN_DEPTH + 1)))).alias("last"),
+    )
+    used = sum((F.col(f"{c}_count") for c in CELL_CATEGORIES[1:]), start=F.lit(0))
     totals = columns.groupBy(*SHEET).agg(
         *[F.sum(f"{c}_count").alias(f"{c}_count") for c in CELL_CATEGORIES],
-        F.sum(filled).alias("non_empty_cell_count"),
-        F.count_if(filled == 0).alias("blank_column_count"),
+        F.sum(used).alias("non_empty_cell_count"),
+        F.count_if(used == 0).alias("blank_column_count"),
+        F.sum("rows").alias("scanned_row_count"), F.sum("blank").alias("blank_row_count"),
+        F.min("code").alias("_code"), F.max("last").alias("_last"),
     )
-    headers = infer_header(budget, structure).drop("merged_top_rows")
     joined = (
         structure.join(totals, SHEET, "left")
-        .join(blank_row_count(budget), SHEET, "left")
-        .join(headers, SHEET)
+        .select("*", *_header_fields("_code", "_last"))
         .withColumn("verdict", _verdict(options))
     )
     counted = [
@@ -373,6 +402,32 @@ def inspection_gate(
     )
 
 
+@dataclass(frozen=True)
+class Inspection:
+    """Everything a report says: sheets, workbooks, findings, and whether each workbook is accepted."""
+
+    profile: DataFrame
+    rollup: DataFrame
+    findings: DataFrame
+    summary: DataFrame
+    gate: DataFrame
+
+
+def inspect(
+    grid: DataFrame, structure: DataFrame, workbooks: DataFrame, options: InspectionOptions
+) -> Inspection:
+    """Profile, roll-up, findings, summary and gate; the grid is read once.
+
+    The profile (a row per sheet) and the roll-up (a row per workbook) are written once, since the
+    others read them several times.
+    """
+    profile = staged(sheet_profile(grid, structure, options), "profile")
+    rollup = staged(workbook_rollup(profile, workbooks), "rollup")
+    found = sheet_findings(profile, options).unionByName(workbook_findings(rollup))
+    summary = inspection_summary(workbooks, found)
+    return Inspection(profile, rollup, found, summary, inspection_gate(summary, rollup, options))
+
+
 # --- containers -----------------------------------------------------------------------------------
 
 CONTENT_TYPES, WORKBOOK_PART = "[Content_Types].xml", "xl/workbook.xml"

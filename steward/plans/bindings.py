@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.operators.normalize import MappedColumn, MappingSpec
-from steward.sources.grid import leading_row, melt_to_cells, raw_cell
+from steward.sources.grid import cells_of, leading_row, melt_to_rows, raw_cell
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -186,19 +186,24 @@ GRID_COLUMNS = {
 }
 
 
-def cells(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
-    """The melted grid of both sheets, title and header rows included."""
+def grid(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
+    """The grid of both sheets by rows, title and header rows included."""
     title = leading_row("1", [raw_cell("'s'", text="'TEST TITLE'"), *[raw_cell("'n'")] * 4])
     header = leading_row("1 + t", _header_cells())
     leading = F.expr(
         f"CASE WHEN n = 0 AND t = 1 THEN array({title}, {header}) "
         f"WHEN n = 0 THEN array({header}) END"
     )
-    return melt_to_cells(
+    return melt_to_rows(
         bind(spark, sf_dir, "grid"), GRID_COLUMNS, leading_rows=leading, classify=classify
     )
 
 
+def cells(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
+    """The same grid cell by cell."""
+    return cells_of(grid(spark, sf_dir, classify))
+
+
 _CELL_TYPE = """
 case when value_string is null and value_number is null and value_boolean is null
           and value_timestamp is null then 'blank'

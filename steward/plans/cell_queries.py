@@ -13,13 +13,12 @@ from steward.functions.paths import (
 )
 from steward.functions.text import digest_text, name_digest, normalized_length
 from steward.operators import normalize as nz, profile as pf
-from steward.plans.bindings import SCAN_COLUMNS, SCAN_ROWS, SHEET_SPEC, bind, cells
+from steward.plans.bindings import SCAN_COLUMNS, SCAN_ROWS, SHEET_SPEC, bind, cells, grid
 from steward.plans.registry import query, table
 from steward.schemas import CELL_CATEGORIES
 
-#: The budget of the format itself: every row of every sheet is read.
-WHOLE = (1_048_576, 16_384)
-OPTIONS = pf.InspectionOptions(*WHOLE)
+#: A melted table needs no budget: every row of every sheet is read.
+OPTIONS = pf.InspectionOptions()
 #: A budget that some sheets exceed, for the rules about budgets.
 TIGHT = pf.InspectionOptions(SCAN_ROWS, SCAN_COLUMNS)
 
@@ -284,7 +283,7 @@ where d.reject_count = 0""",
     **_NORMAL_STEPS,
 )
 def q_drop_blank_rows(spark, sf):
-    return nz.drop_blank_rows(cells(spark, sf), SHEET_SPEC)
+    return nz.drop_blank_rows(grid(spark, sf), SHEET_SPEC)
 
 
 _FIELDS = [c.field for c in SHEET_SPEC.columns]
@@ -292,7 +291,7 @@ _FIELDS = [c.field for c in SHEET_SPEC.columns]
 
 @query(oracle="select * from pivoted", **_NORMAL_STEPS)
 def q_map_columns(spark, sf):
-    return nz.map_columns(cells(spark, sf), SHEET_SPEC).select(*nz.ROW, *_FIELDS)
+    return nz.map_columns(grid(spark, sf), SHEET_SPEC).select(*nz.ROW, *_FIELDS)
 
 
 @query(
@@ -306,7 +305,7 @@ where reject is not null
     **_NORMAL_STEPS,
 )
 def q_reject_rows(spark, sf):
-    return nz.reject_rows(nz.map_columns(cells(spark, sf), SHEET_SPEC), SHEET_SPEC)
+    return nz.reject_rows(nz.map_columns(grid(spark, sf), SHEET_SPEC), SHEET_SPEC)
 
 
 @query(
@@ -314,7 +313,7 @@ def q_reject_rows(spark, sf):
     **_NORMAL_STEPS,
 )
 def q_record_ordinal(spark, sf):
-    return nz.record_ordinal(cells(spark, sf), SHEET_SPEC).select("record_ordinal", *nz.ROW)
+    return nz.record_ordinal(grid(spark, sf), SHEET_SPEC).select("record_ordinal", *nz.ROW)
 
 
 @query(
@@ -330,7 +329,7 @@ def q_normalized_records(spark, sf):
     sources = bind(spark, sf, "workbooks").select(
         "workbook_id", F.concat(F.lit("SRC-"), F.col("workbook_id")).alias("source_id")
     )
-    records = nz.normalized_records(cells(spark, sf), SHEET_SPEC, sources)
+    records = nz.normalized_records(grid(spark, sf), SHEET_SPEC, sources)
     return records.select(*[c for c in records.columns if c != "values"], "values.*")
 
 
@@ -351,7 +350,7 @@ group by d.workbook_id, d.sheet_ordinal, column_ordinal
     **_NORMAL_STEPS,
 )
 def q_mapping_evidence(spark, sf):
-    return nz.mapping_evidence(nz.map_columns(cells(spark, sf), SHEET_SPEC), SHEET_SPEC)
+    return nz.mapping_evidence(nz.map_columns(grid(spark, sf), SHEET_SPEC), SHEET_SPEC)
 
 
 @query(
@@ -367,7 +366,7 @@ from data_rows group by workbook_id, sheet_ordinal
     **_NORMAL_STEPS,
 )
 def q_normalization_summary(spark, sf):
-    return nz.normalization_summary(nz.map_columns(cells(spark, sf), SHEET_SPEC), SHEET_SPEC)
+    return nz.normalization_summary(nz.map_columns(grid(spark, sf), SHEET_SPEC), SHEET_SPEC)
 
 
 # --- profiling --------------------------------------------------------------------------------------
@@ -384,7 +383,7 @@ select workbook_id, sheet_ordinal, {_KIND_COUNTS}, {_NON_EMPTY}
 from cells group by workbook_id, sheet_ordinal
 """)
 def q_cell_type_counts(spark, sf):
-    return pf.cell_type_counts(pf.scanned(cells(spark, sf), OPTIONS))
+    return pf.cell_type_counts(pf.scanned(grid(spark, sf), OPTIONS))
 
 
 def _blank_oracle(axis: str, name: str) -> str:
@@ -399,18 +398,20 @@ group by workbook_id, sheet_ordinal
 
 @query(oracle=_blank_oracle("row_ordinal", "row"))
 def q_blank_row_count(spark, sf):
-    return pf.blank_row_count(pf.scanned(cells(spark, sf), OPTIONS))
+    return pf.blank_row_count(pf.scanned(grid(spark, sf), OPTIONS))
 
 
 @query(oracle=_blank_oracle("column_ordinal", "column"))
 def q_blank_column_count(spark, sf):
-    return pf.blank_column_count(pf.scanned(cells(spark, sf), OPTIONS))
+    return pf.blank_column_count(pf.scanned(grid(spark, sf), OPTIONS))
 
 
-def _profile_steps(rows: int, columns: int) -> dict[str, str]:
-    scan = f"row_ordinal <= {rows} and column_ordinal <= {columns}"
-    truncated = f"(declared_rows > {rows} or declared_columns > {columns})"
-    excessive = f"(declared_rows > {10 * rows} or declared_columns > {10 * columns})"
+def _profile_steps(rows: int | None = None, columns: int | None = None) -> dict[str, str]:
+    scan, truncated, excessive = "true", "false", "false"
+    if rows is not None:
+        scan = f"row_ordinal <= {rows} and column_ordinal <= {columns}"
+        truncated = f"(declared_rows > {rows} or declared_columns > {columns})"
+        excessive = f"(declared_rows > {10 * rows} or declared_columns > {10 * columns})"
     return {
         "budget_findings": f"""
 select workbook_id as subject_id, 'WARNING' as severity, 'WORKBOOK_SCAN_LIMIT_REACHED' as code,
@@ -515,7 +516,7 @@ group by w.workbook_id, w.provenance_verified""",
     }
 
 
-_PROFILE_STEPS = _profile_steps(*WHOLE)
+_PROFILE_STEPS = _profile_steps()
 _TIGHT_STEPS = _profile_steps(SCAN_ROWS, SCAN_COLUMNS)
 
 
@@ -533,12 +534,12 @@ from verdicts where verdict is not null
 )
 def q_empty_sheet_verdict(spark, sf):
     structure = bind(spark, sf, "sheet_structure")
-    return pf.empty_sheet_verdict(cells(spark, sf), structure, TIGHT)
+    return pf.empty_sheet_verdict(grid(spark, sf), structure, TIGHT)
 
 
 def _headers(spark, sf):
     return pf.infer_header(
-        pf.scanned(cells(spark, sf), OPTIONS), bind(spark, sf, "sheet_structure")
+        pf.scanned(grid(spark, sf), OPTIONS), bind(spark, sf, "sheet_structure")
     )
 
 
@@ -559,7 +560,7 @@ where c.cell_type in ('string', 'inline_string')
     **_PROFILE_STEPS,
 )
 def q_header_candidates(spark, sf):
-    return pf.header_candidates(pf.scanned(cells(spark, sf), OPTIONS), _headers(spark, sf))
+    return pf.header_candidates(pf.scanned(grid(spark, sf), OPTIONS), _headers(spark, sf))
 
 
 @query(
@@ -574,13 +575,17 @@ def q_duplicate_header_digests(spark, sf):
 
 
 def _profile(spark, sf):
-    return pf.sheet_profile(cells(spark, sf), bind(spark, sf, "sheet_structure"), OPTIONS)
+    return pf.sheet_profile(grid(spark, sf), bind(spark, sf, "sheet_structure"), OPTIONS)
+
+
+def _inspected(spark, sf, **options) -> pf.Inspection:
+    return pf.inspect(
+        grid(spark, sf), bind(spark, sf, "sheet_structure"), bind(spark, sf, "workbooks"), pf.InspectionOptions(**options)
+    )
 
 
 def profile_findings(spark, sf):
-    profile = _profile(spark, sf)
-    rollup = pf.workbook_rollup(profile, bind(spark, sf, "workbooks"))
-    return pf.sheet_findings(profile, OPTIONS).unionByName(pf.workbook_findings(rollup))
+    return _inspected(spark, sf).findings
 
 
 @query(
@@ -616,7 +621,7 @@ def q_sheet_profile(spark, sf):
 
 @query(oracle="select * from rollup", **_PROFILE_STEPS)
 def q_workbook_rollup(spark, sf):
-    return pf.workbook_rollup(_profile(spark, sf), bind(spark, sf, "workbooks"))
+    return _inspected(spark, sf).rollup
 
 
 @query(
@@ -629,7 +634,7 @@ def q_finding_counts(spark, sf):
 
 @query(oracle="select * from summary", **_PROFILE_STEPS)
 def q_inspection_summary(spark, sf):
-    return pf.inspection_summary(bind(spark, sf, "workbooks"), profile_findings(spark, sf))
+    return _inspected(spark, sf).summary
 
 
 @query(
@@ -642,14 +647,7 @@ from summary s left join rollup r on s.workbook_id = r.workbook_id
     **_PROFILE_STEPS,
 )
 def q_inspection_gate(spark, sf):
-    profile = _profile(spark, sf)
-    workbooks = bind(spark, sf, "workbooks")
-    rollup = pf.workbook_rollup(profile, workbooks)
-    found = pf.sheet_findings(profile, OPTIONS).unionByName(pf.workbook_findings(rollup))
-    strict = pf.InspectionOptions(
-        *WHOLE, fail_on_formulas=True, fail_on_unsupported_feature=True
-    )
-    return pf.inspection_gate(pf.inspection_summary(workbooks, found), rollup, strict)
+    return _inspected(spark, sf, fail_on_formulas=True, fail_on_unsupported_feature=True).gate
 
 
 # --- containers -------------------------------------------------------------------------------------
@@ -723,5 +721,5 @@ where tagged is not null
     **_CONTAINER_STEPS,
 )
 def q_container_findings(spark, sf):
-    lenient = pf.InspectionOptions(*WHOLE, fail_on_external_links=False)
+    lenient = pf.InspectionOptions(fail_on_external_links=False)
     return pf.container_findings(bind(spark, sf, "parts"), lenient)

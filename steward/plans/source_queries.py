@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from steward.operators import authorize as az, normalize as nz, profile as pf, structure as st
 from steward.plans import byte_documents as bd
 from steward.plans.authorization_queries import _STEPS as _AUTH_STEPS
-from steward.plans.bindings import SHEET_SPEC, bind, cells
+from steward.plans.bindings import SHEET_SPEC, bind, grid
 from steward.plans.cell_queries import _FIELDS, _NORMAL_STEPS, _PROFILE_STEPS
 from steward.plans.registry import query
 from steward.sinks.artifacts import read_artifact, write_artifact_set
@@ -143,18 +143,15 @@ def q_workbook_structure(spark, sf):
 
 # --- the pipeline -----------------------------------------------------------------------------------
 
-PIPELINE_OPTIONS = pf.InspectionOptions(100_000, 5)
+PIPELINE_OPTIONS = pf.InspectionOptions()
 
 
 def _bundle(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Reports from the profiled grid, and authorizations that accept what can be accepted."""
     workbooks = staged(bind(spark, sf, "workbooks"), "workbooks")
     structure = bind(spark, sf, "sheet_structure")
-    profile = staged(pf.sheet_profile(cells(spark, sf), structure, PIPELINE_OPTIONS), "profile")
-    found = pf.sheet_findings(profile, PIPELINE_OPTIONS).unionByName(
-        pf.workbook_findings(pf.workbook_rollup(profile, workbooks))
-    )
-    found = staged(found, "findings")
+    inspected = pf.inspect(grid(spark, sf), structure, workbooks, PIPELINE_OPTIONS)
+    profile, found = inspected.profile, staged(inspected.findings, "findings")
     sheets = profile.selectExpr(
         "workbook_id AS authorization_id", "CAST(sheet_ordinal AS BIGINT) AS sheet_index",
         "sheet_ordinal", "CAST(inferred_header_row AS INT) AS inferred_header_row",
@@ -209,10 +206,7 @@ def _bundle(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 _PIPELINE_STEPS = {
-    **{name: sql.replace("row_ordinal <= 500", "row_ordinal <= 100000")
-       .replace("declared_rows > 500 ", "declared_rows > 100000 ")
-       .replace("declared_rows > 5000 ", "declared_rows > 1000000 ")
-       for name, sql in _PROFILE_STEPS.items()},
+    **_PROFILE_STEPS,
     **{name: sql for name, sql in _AUTH_STEPS.items() if name != "header_findings"},
     "header_findings": _AUTH_STEPS["header_findings"],
     **_NORMAL_STEPS,
@@ -294,7 +288,7 @@ from records r join cleared c on r.workbook_id = c.workbook_id
     **_PIPELINE_STEPS,
 )
 def q_normalize(spark, sf):
-    records = nz.normalize(cells(spark, sf), SHEET_SPEC, _cleared(spark, sf)).records
+    records = nz.normalize(grid(spark, sf), SHEET_SPEC, _cleared(spark, sf)).records
     return records.select(*[c for c in records.columns if c != "values"], "values.*")
 
 
@@ -311,7 +305,7 @@ def q_write_artifact_set(spark, sf):
     every = bind(spark, sf, "workbooks").selectExpr(
         "workbook_id", f"{SHEET_SPEC.sheet_ordinal} AS sheet_ordinal", "workbook_id AS source_id"
     )
-    out = nz.normalize(cells(spark, sf), SHEET_SPEC, every)
+    out = nz.normalize(grid(spark, sf), SHEET_SPEC, every)
     artifacts = {
         "records": out.records, "findings": out.findings, "evidence": out.evidence,
         "summary": out.summary,

@@ -1,18 +1,22 @@
-"""Cells from typed tables: the scale path into every grid operator."""
+"""Grids from typed tables: the scale path into every grid operator.
+
+A grid has two shapes: rows (`workbook_id, sheet_ordinal, row_ordinal`, `cells`: an array of cells by column) and
+single cells (with `column_ordinal`). Rows are what moves; cells are a view of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from steward.functions.cells import classify_cell
-from steward.schemas import CELL_VALUE
+from steward.functions.cells import category
 
 _RAW_CELL = (
     "named_struct('raw_type', {kind}, 'date_format', {date_format}, "
     "'value_string', CAST({text} AS STRING), 'value_number', CAST({number} AS DOUBLE), "
     "'value_boolean', CAST({boolean} AS BOOLEAN), 'value_timestamp', CAST({time} AS TIMESTAMP))"
 )
-_LEADING_ROW = "array<struct<row_ordinal:bigint,cells:array<" + CELL_VALUE.simpleString() + ">>>"
+ROW = ["workbook_id", "sheet_ordinal", "row_ordinal"]
+VALUES = ("value_string", "value_number", "value_boolean", "value_timestamp")
 
 
 def raw_cell(
@@ -33,7 +37,7 @@ def leading_row(row_ordinal: str, cells: list[str]) -> str:
     )
 
 
-def cell_of(name: str, dtype: T.DataType) -> str:
+def raw_of(name: str, dtype: T.DataType) -> str:
     """A typed column as a raw cell; struct columns already are raw cells."""
     if isinstance(dtype, T.StructType):
         return name
@@ -52,7 +56,13 @@ def cell_of(name: str, dtype: T.DataType) -> str:
     return raw_cell("'s'", text=name)
 
 
-def melt_to_cells(
+def _classified(cell: str, fold_inline: bool) -> str:
+    """SQL of the classified cell of the raw cell in column `cell`."""
+    kind = category(f"{cell}.", fold_inline)
+    return f"named_struct('cell_type', {kind}, " + ", ".join(f"'{v}', {cell}.{v}" for v in VALUES) + ")"
+
+
+def melt_to_rows(
     df: DataFrame,
     columns: dict[str, str] | list[str],
     *,
@@ -60,28 +70,58 @@ def melt_to_cells(
     fold_inline: bool = False,
     classify: bool = True,
 ) -> DataFrame:
-    """Turn rows keyed by `workbook_id, sheet_ordinal, row_ordinal` into one row per cell.
+    """Turn rows keyed by `workbook_id, sheet_ordinal, row_ordinal` into rows of a grid.
 
-    `columns` lists typed columns, or maps labels to raw-cell SQL, in column order 1..n.
+    A grid row keeps its cells together, in an array by column, so whatever concerns single rows
+    needs no shuffle. `columns` lists typed columns, or maps labels to raw-cell SQL, in column order 1..n.
     `leading_rows` optionally holds, on the row that comes first in a sheet, an array of
-    `leading_row`s. One generator, no shuffle, no second pass over the table.
+    `leading_row`s. Each column has an expression of its own, so the cells stay in generated code.
     """
     if not isinstance(columns, dict):
         types = {f.name: f.dataType for f in df.schema.fields}
-        columns = {c: cell_of(c, types[c]) for c in columns}
-    rows = F.expr(f"array({leading_row('row_ordinal', list(columns.values()))})")
-    if leading_rows is not None:
-        rows = F.concat(F.coalesce(leading_rows, F.array().cast(_LEADING_ROW)), rows)
-    cells = df.select("workbook_id", "sheet_ordinal", F.explode(rows).alias("r")).select(
-        "workbook_id", "sheet_ordinal", "r.row_ordinal",
-        F.posexplode("r.cells").alias("position", "cell"),
-    )
-    kind = [classify_cell("cell.", fold_inline).alias("cell_type")]
-    if not classify:
-        kind = [F.col("cell.raw_type"), F.col("cell.date_format")]
-    return cells.select(
-        "workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"), "row_ordinal",
-        F.expr("position + 1 AS column_ordinal"),
-        *kind,
-        "cell.value_string", "cell.value_number", "cell.value_boolean", "cell.value_timestamp",
+        columns = {c: raw_of(c, types[c]) for c in columns}
+    names = [f"_cell_{i}" for i in range(len(columns))]
+    raw = df.select(
+        "workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"), F.expr("CAST(row_ordinal AS BIGINT) AS row_ordinal"),
+        *[F.expr(f"{sql} AS {name}") for name, sql in zip(names, columns.values(), strict=True)],
+        *([] if leading_rows is None else [leading_rows.alias("_leading")]),
     )
+    one = [_classified(name, fold_inline) if classify else name for name in names]
+    own = f"named_struct('row_ordinal', row_ordinal, 'cells', array({', '.join(one)}))"
+    if leading_rows is None:
+        return raw.selectExpr("workbook_id", "sheet_ordinal", "row_ordinal", f"{own}.cells AS cells")
+    cell = _classified("c", fold_inline) if classify else "c"
+    before = f"transform(_leading, r -> named_struct('row_ordinal', r.row_ordinal, 'cells', transform(r.cells, c -> {cell})))"
+    rows = F.expr(f"CASE WHEN _leading IS NULL THEN array({own}) ELSE concat({before}, array({own})) END")
+    return raw.select("workbook_id", "sheet_ordinal", F.explode(rows).alias("r")).select(
+        "workbook_id", "sheet_ordinal", "r.row_ordinal", "r.cells")
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """The cells of grid rows, one row each: a view that a filter on columns or types goes through."""
+    fields = rows.schema["cells"].dataType.elementType.fieldNames()
+    exploded = rows.select(*ROW, F.posexplode("cells").alias("position", "cell"))
+    return exploded.select(*ROW, F.expr("position + 1 AS column_ordinal"), *[f"cell.{f}" for f in fields])
+
+
+def rows_of(grid: DataFrame) -> DataFrame:
+    """Grid rows, whichever shape `grid` has. Single cells are gathered by row, which a sheet's width bounds;
+    a column that a row leaves out is null, which counts as blank."""
+    if "cells" in grid.columns:
+        return grid
+    fields = ("cell_type", *VALUES)
+    gathered = grid.groupBy(*ROW).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_ordinal", F.struct(*fields)))).alias("by_column"), F.max("column_ordinal").alias("width"))
+    return gathered.select(*ROW, F.transform(F.sequence(F.lit(1), "width"), lambda i: F.try_element_at("by_column", i)).alias("cells"))
+
+
+def melt_to_cells(
+    df: DataFrame,
+    columns: dict[str, str] | list[str],
+    *,
+    leading_rows: Column | None = None,
+    fold_inline: bool = False,
+    classify: bool = True,
+) -> DataFrame:
+    """`melt_to_rows` seen cell by cell."""
+    return cells_of(melt_to_rows(df, columns, leading_rows=leading_rows, fold_inline=fold_inline, classify=classify))

@@ -47,3 +47,45 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanged(df):
+    """Names of the columns that each hash exchange of a plan moves."""
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Exchange" and "hashpartitioning" in node.outputPartitioning().toString():
+            output = node.output()
+            found.append([output.apply(i).name() for i in range(output.size())])
+    return found
+
+
+@pytest.mark.parametrize("name, most", [
+    ("drop_blank_rows", 0), ("map_columns", 0), ("reject_rows", 0), ("mapping_evidence", 1), ("normalization_summary", 1),
+    ("blank_row_count", 1),
+])
+def test_grid_rows_are_not_shuffled(spark, name, most):
+    df = QUERIES[name](spark, SF)
+    assert len(exchanged(df)) <= most
+    assert "SortAggregate" not in physical(df) and "ObjectHashAggregate" not in physical(df)
+
+
+@pytest.mark.parametrize("name", ["normalized_records", "record_ordinal"])
+def test_only_typed_records_are_shuffled_for_numbering(spark, name):
+    moved = exchanged(QUERIES[name](spark, SF))
+    assert moved and not any(c in ("cells", "cell", "cell_type", "value_string") or c.startswith("_cell_") for names in moved for c in names)
+
+
+@pytest.mark.parametrize("name, scans", [("sheet_profile", 5), ("inspection_gate", 6), ("workbook_rollup", 6), ("finding_counts", 6), ("inspection_summary", 6)])
+def test_profiles_read_the_grid_once(spark, name, scans):
+    plan = physical(QUERIES[name](spark, SF))
+    assert plan.count("FileScan parquet") <= scans and "SortAggregate" not in plan
