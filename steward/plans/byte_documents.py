@@ -44,18 +44,39 @@ def yaml_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.selectExpr("'Y-' || g AS manifest_id", f"{content} AS content")
 
 
+def _packed(sheet: str, extra: tuple[str, ...] = ()) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("[Content_Types].xml", "<Types/>")
+        archive.writestr("xl/workbook.xml", _WORKBOOK_XML)
+        archive.writestr("xl/_rels/workbook.xml.rels", _RELS_XML)
+        archive.writestr("xl/styles.xml", _STYLES_XML)
+        archive.writestr("xl/worksheets/sheet1.xml", sheet)
+        for name in extra:
+            archive.writestr(name, "<x/>")
+    return buffer.getvalue()
+
+
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"workbook_id": batch["workbook_id"], "content": [_packed(sheet) for sheet in batch["sheet"]]})
+
+
+#: Faults of a workbook by its number modulo 11: entries beside the usual ones.
+EXTRA_ENTRIES = {2: ("xl/vbaProject.bin",), 4: ("customXml/item1.xml",), 5: ("xl/embeddings/a.bin", "xl/activeX/a.xml"), 6: ("../evil.xml",)}
+
+
+def _pack_faulty(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         contents = []
-        for sheet in batch["sheet"]:
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("[Content_Types].xml", "<Types/>")
-                archive.writestr("xl/workbook.xml", _WORKBOOK_XML)
-                archive.writestr("xl/_rels/workbook.xml.rels", _RELS_XML)
-                archive.writestr("xl/styles.xml", _STYLES_XML)
-                archive.writestr("xl/worksheets/sheet1.xml", sheet)
-            contents.append(buffer.getvalue())
+        for workbook_id, sheet in zip(batch["workbook_id"], batch["sheet"], strict=True):
+            fault = int(workbook_id.removeprefix("XW-")) % 11
+            if fault == 1:
+                contents.append(sheet.encode()[:200])
+            elif fault == 3:
+                contents.append(_packed(sheet[: len(sheet) // 2]))
+            else:
+                contents.append(_packed(sheet, EXTRA_ENTRIES.get(fault, ())))
         yield pd.DataFrame({"workbook_id": batch["workbook_id"], "content": contents})
 
 
@@ -64,6 +85,17 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Row k % 59 = 0 is left out of the file, row k % 53 = 0 is there without cells.
     """
+    ship_package(spark)
+    return _order_sheets(spark, sf_dir).mapInPandas(_pack, "workbook_id string, content binary")
+
+
+def faulty_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same workbooks, some damaged or with entries that must not be there."""
+    ship_package(spark)
+    return _order_sheets(spark, sf_dir).mapInPandas(_pack_faulty, "workbook_id string, content binary")
+
+
+def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = """
         CASE kind WHEN 'f' THEN '<c r="C' || r || '"><f>SUM(1,2)</f><v>3</v></c>'
                   WHEN 'e' THEN '<c r="C' || r || '" t="e"><v>#DIV/0!</v></c>'
@@ -82,15 +114,13 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bind(spark, sf_dir, "order_cells").filter("k % 59 <> 0").selectExpr(
         "workbook_id", "r", f"{row} AS xml"
     )
-    sheets = rows.groupBy("workbook_id").agg(
+    return rows.groupBy("workbook_id").agg(
         F.expr(
             f"""'<worksheet><dimension ref="A1:E101"/><sheetData>{header}'
             || array_join(transform(array_sort(collect_list(struct(r, xml))), x -> x.xml), '')
             || '</sheetData></worksheet>'"""
         ).alias("sheet")
     )
-    ship_package(spark)
-    return sheets.mapInPandas(_pack, "workbook_id string, content binary")
 
 
 def page_workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

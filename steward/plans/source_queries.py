@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.operators import authorize as az, normalize as nz, profile as pf, structure as st
+from steward.operators.inspection import inspect_workbooks
 from steward.plans import byte_documents as bd
 from steward.plans.authorization_queries import _STEPS as _AUTH_STEPS
 from steward.plans.bindings import SHEET_SPEC, bind, grid
@@ -141,6 +142,60 @@ def q_workbook_structure(spark, sf):
     return st.workbook_structure(bd.page_workbook_parts(spark, sf))
 
 
+# --- inspection from bytes --------------------------------------------------------------------------
+
+_BYTES_STEPS = {
+    "books": """
+select workbook_id, n, n % 11 as fault, case n % 7 when 3 then 'invalid' when 5 then 'pending' else 'verified' end as state,
+       max(case when present and kind = 'f' then 1 else 0 end) = 1 as formulas,
+       max(case when present and kind = 'e' then 1 else 0 end) = 1 as errors
+from (select *, cast(replace(workbook_id, 'XW-', '') as bigint) as n, k % 53 <> 0 as present
+      from order_cells where k % 59 <> 0) c
+group by workbook_id, n""",
+    "opened": "select * from books where state <> 'invalid'",
+    "inspected": "select * from opened where fault not in (1, 2, 3, 5, 6)",
+    "found": """
+select workbook_id as subject_id, 'ERROR' as severity, 'WORKBOOK_NOT_IN_MANIFEST' as code, '$.manifest' as path
+from books where state = 'invalid'
+union all
+select workbook_id, severity, code, path from opened join (values
+  (1, 'ERROR', 'INVALID_XLSX_CONTAINER', '$.zipContainer'), (2, 'ERROR', 'WORKBOOK_MACRO_DETECTED', '$.zipContainer'),
+  (3, 'WARNING', 'WORKBOOK_XML_PART_SCAN_SKIPPED', '$.workbook'), (3, 'ERROR', 'WORKBOOK_LOAD_FAILED', '$'),
+  (4, 'WARNING', 'WORKBOOK_CUSTOM_XML_PRESENT', '$.zipContainer'), (5, 'ERROR', 'WORKBOOK_EMBEDDED_OBJECT_DETECTED', '$.zipContainer'),
+  (5, 'ERROR', 'WORKBOOK_ACTIVEX_DETECTED', '$.zipContainer'), (6, 'ERROR', 'XLSX_PATH_TRAVERSAL_ENTRY', '$.zipContainer')
+) f(of_fault, severity, code, path) on fault = of_fault
+union all select workbook_id, 'WARNING', 'WORKBOOK_HEADER_NOT_DETECTED', '$.sheets.0' from inspected
+union all select workbook_id, 'WARNING', 'WORKBOOK_FORMULA_PRESENT', '$.workbook' from inspected where formulas
+union all select workbook_id, 'WARNING', 'WORKBOOK_CELL_ERROR_PRESENT', '$.sheets.0' from inspected where errors""",
+}
+
+
+def _inspected_bytes(spark: SparkSession, sf: str) -> pf.Inspection:
+    files = staged(bd.faulty_workbooks(spark, sf), "files")
+    n = "CAST(replace(workbook_id, 'XW-', '') AS BIGINT) % 7"
+    states = files.selectExpr(
+        "workbook_id", f"CASE {n} WHEN 3 THEN 'invalid' WHEN 5 THEN 'pending' ELSE 'verified' END AS manifest_state",
+        f"IF({n} = 3, 'WORKBOOK_NOT_IN_MANIFEST', NULL) AS code")
+    return inspect_workbooks(files, states, pf.InspectionOptions(allow_pending_manifest=True, fail_on_formulas=True))
+
+
+@query(oracle="select * from found", **_BYTES_STEPS)
+def q_inspect_workbooks(spark, sf):
+    return _inspected_bytes(spark, sf).findings
+
+
+@query(
+    oracle="""
+select b.workbook_id, i.workbook_id is not null as inspection_completed,
+       i.workbook_id is not null and not i.formulas as accepted
+from books b left join inspected i on b.workbook_id = i.workbook_id
+""",
+    **_BYTES_STEPS,
+)
+def q_inspect_workbooks_gate(spark, sf):
+    return _inspected_bytes(spark, sf).gate
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 PIPELINE_OPTIONS = pf.InspectionOptions()

@@ -1,8 +1,9 @@
 """XLSX containers: entries, part texts and the cell grid.
 
-Both scanners are `mapInPandas` over `(workbook_id, content)`: a workbook is the unit of work, its
-zip is opened where its bytes are, and cells leave in bounded batches. Formulas are never
-evaluated and nothing is followed or executed.
+A workbook is the unit of work: its zip is opened where its bytes are, and every sheet is parsed once, as a stream that
+gives grid rows and structural counts. Rows wait on the task's own disk until the workbook has been read to its end, so a
+damaged one leaves a finding and no rows. Shared strings beyond STRING_BYTES stay on that disk as well. Formulas are
+never evaluated and nothing is followed or executed.
 """
 
 from __future__ import annotations
@@ -13,17 +14,23 @@ import io
 import lzma
 import re
 import struct
+import tempfile
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from steward.functions.cells import classify_cell
+from steward.functions.cells import category, classify_cell
 from steward.schemas import ERROR, HEADER_SCAN_DEPTH
 from steward.session import ship_package
+from steward.sources.grid import ROW, VALUES, cells_of
+from steward.staging import staged
 
 _PARTS = (
     "workbook_id string, entry_ordinal bigint, entry_name string, compress_size bigint, "
@@ -32,13 +39,22 @@ _PARTS = (
 )
 _PARTS_COLUMNS = ("workbook_id", "entry_ordinal", "entry_name", "compress_size", "file_size", "flag_bits", "text",
                   "counts", "skipped", "readable")
-_CELLS = (
-    "workbook_id string, sheet_ordinal int, row_ordinal bigint, column_ordinal int, "
-    "raw_type string, date_format boolean, value_string string, value_number double, "
-    "value_boolean boolean, value_timestamp timestamp, loaded boolean"
-)
-_COLUMNS = [c.split()[0] for c in _CELLS.split(", ")]
-BATCH_ROWS = 50_000
+_CELL = pa.struct([
+    ("raw_type", pa.string()), ("date_format", pa.bool_()), ("value_string", pa.string()), ("value_number", pa.float64()),
+    ("value_boolean", pa.bool_()), ("value_timestamp", pa.timestamp("us", tz="UTC")),
+])
+_ENTRY = pa.schema([
+    ("entry_ordinal", pa.int64()), ("entry_name", pa.string()), ("compress_size", pa.int64()), ("file_size", pa.int64()),
+    ("flag_bits", pa.int32()), ("text", pa.string()), ("counts", pa.list_(pa.struct([("name", pa.string()), ("n", pa.int64())]))),
+    ("skipped", pa.bool_()),
+])
+_TAGGED = pa.schema([
+    ("kind", pa.string()), ("workbook_id", pa.string()), *_ENTRY, ("sheet_ordinal", pa.int32()), ("row_ordinal", pa.int64()),
+    ("cells", pa.list_(_CELL)),
+])
+PART, ROWS, UNREADABLE, FAILED = "part", "row", "unreadable", "failed"
+#: Cells of a batch, and bytes of rows or shared strings kept in memory before they go to the task's disk.
+BATCH_CELLS, SPOOL_BYTES, STRING_BYTES = 50_000, 32 << 20, 16 << 20
 #: What a damaged, encrypted or oddly compressed workbook raises.
 DAMAGE = (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError,
           NotImplementedError, KeyError, ValueError, IndexError, TypeError, StopIteration, struct.error)
@@ -61,32 +77,48 @@ EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
 # --- parts ----------------------------------------------------------------------------------------
 
 
-def count_elements(stream) -> dict[str, int]:
-    """Structural counts of a sheet's XML, read as a stream; nothing of it is kept."""
-    counts: dict[str, int] = {}
+def events_of(stream) -> Iterator[tuple[str, str, ElementTree.Element]]:
+    """Start and end events of a sheet's XML with local names; what has ended is forgotten, rows included."""
     data = None
+    inside = 0
     for event, element in ElementTree.iterparse(stream, events=("start", "end")):
         tag = _local(element.tag)
+        if event == "start" and tag == "sheetData":
+            data = element
+        if tag == "row":
+            inside += 1 if event == "start" else -1
+        yield event, tag, element
         if event == "end":
             if tag == "row" and data is not None:
                 data.clear()
-            elif tag not in ("sheetData", "worksheet"):
+            elif not inside and tag not in ("sheetData", "worksheet"):
                 element.clear()
-            continue
-        if tag == "sheetData":
-            data = element
+
+
+class StructureCounts(dict):
+    """Structural counts of a sheet, from the starts of its elements."""
+
+    def add(self, tag: str, element: ElementTree.Element) -> None:
         name = COUNTED.get(tag)
         if tag in HIDDEN and element.get("hidden") in ("1", "true"):
             name = HIDDEN[tag]
         if name:
-            counts[name] = counts.get(name, 0) + 1
+            self[name] = self.get(name, 0) + 1
         if tag == "mergeCell":
             first = re.sub(r"\D", "", element.get("ref", "").split(":")[0])
             if first and int(first) <= HEADER_SCAN_DEPTH:
-                counts["merged_top_rows"] = counts.get("merged_top_rows", 0) + 1
+                self["merged_top_rows"] = self.get("merged_top_rows", 0) + 1
         elif tag == "dimension":
             columns, rows = _extent(element.get("ref", ""))
-            counts["declared_columns"], counts["declared_rows"] = columns or 0, rows or 0
+            self["declared_columns"], self["declared_rows"] = columns or 0, rows or 0
+
+
+def count_elements(stream) -> dict[str, int]:
+    """Structural counts of a sheet's XML, read as a stream; nothing of it is kept."""
+    counts = StructureCounts()
+    for event, tag, element in events_of(stream):
+        if event == "start":
+            counts.add(tag, element)
     return counts
 
 
@@ -106,41 +138,49 @@ def _rels_of(part: str) -> str:
     return f"{folder}/_rels/{name}.rels"
 
 
-def _parts_of(workbook_id: str, content: bytes, read_limit: int | None) -> list[tuple]:
-    broken = [(workbook_id, 0, None, 0, 0, 0, None, None, False, False)]
+def _entries(archive: zipfile.ZipFile, read_limit: int | None, counted: dict[str, dict], bad: set[str]) -> list[tuple] | None:
+    """Entries of a container, None if it cannot be read. Sheets in `counted` or `bad` were parsed before."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
+        sheets = _sheet_parts(archive)
+    except ElementTree.ParseError:
+        sheets = set()
     except DAMAGE:
-        return broken
+        return None
+    texts = {_rels_of(s) for s in sheets}
     rows = []
-    with archive:
-        try:
-            sheets = _sheet_parts(archive)
-        except ElementTree.ParseError:
-            sheets = set()
-        except DAMAGE:
-            return broken
-        texts = {_rels_of(s) for s in sheets}
-        for ordinal, info in enumerate(archive.infolist()):
-            text = counts = None
-            name, skipped = info.filename, False
-            if (name in sheets or name in texts or WANTED_TEXT.fullmatch(name)) and not info.flag_bits & 1:
-                skipped = read_limit is not None and info.file_size > read_limit
-                try:
-                    if name in sheets and not skipped:
+    for ordinal, info in enumerate(archive.infolist()):
+        text = counts = None
+        name, skipped = info.filename, False
+        if (name in sheets or name in texts or WANTED_TEXT.fullmatch(name)) and not info.flag_bits & 1:
+            skipped = name in bad or (read_limit is not None and info.file_size > read_limit)
+            try:
+                if name in sheets and not skipped:
+                    counts = counted.get(name)
+                    if counts is None:
                         with archive.open(info) as stream:
                             counts = count_elements(stream)
-                    elif not skipped:
-                        text = archive.read(info).decode("utf-8", "ignore")
-                except ElementTree.ParseError:
-                    skipped = True
-                except DAMAGE:
-                    return broken
-            rows.append((workbook_id, ordinal, name, info.compress_size, info.file_size, info.flag_bits, text,
-                         None if counts is None else list(counts.items()), skipped, True))
+                elif not skipped:
+                    text = archive.read(info).decode("utf-8", "ignore")
+            except ElementTree.ParseError:
+                skipped = True
+            except DAMAGE:
+                return None
+        rows.append((ordinal, name, info.compress_size, info.file_size, info.flag_bits, text,
+                     None if counts is None else [{"name": k, "n": v} for k, v in counts.items()], skipped))
     return rows
 
 
+def _parts_of(workbook_id: str, content: bytes, read_limit: int | None) -> list[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            entries = _entries(archive, read_limit, {}, set())
+    except DAMAGE:
+        entries = None
+    if entries is None:
+        return [(workbook_id, 0, None, 0, 0, 0, None, None, False, False)]
+    return [(workbook_id, *entry, True) for entry in entries]
+
+
 def with_counts(parts: DataFrame) -> DataFrame:
     """Parts given as texts, with `counts` of those that are sheets."""
     columns = [c for c in parts.columns if c != "counts"]
@@ -215,6 +255,28 @@ def shows_date(number_format: str) -> bool:
     return re.search(r"[dmhys]", bare, re.I) is not None
 
 
+class SharedStrings:
+    """Strings of a workbook by number: their bytes in a file that leaves memory when it grows, and where each begins."""
+
+    def __init__(self, stream=None):
+        self.file = tempfile.SpooledTemporaryFile(max_size=STRING_BYTES)
+        self.starts = array("q", [0])
+        root = None
+        for event, element in ElementTree.iterparse(stream, events=("start", "end")) if stream is not None else ():
+            if root is None:
+                root = element
+            elif event == "end" and _local(element.tag) == "si":
+                self.file.write(_text_of(element).encode("utf-8", "surrogatepass"))
+                self.starts.append(self.file.tell())
+                root.clear()
+
+    def __getitem__(self, number: int) -> str:
+        if not 0 <= number < len(self.starts) - 1:
+            raise IndexError(number)
+        self.file.seek(self.starts[number])
+        return self.file.read(self.starts[number + 1] - self.starts[number]).decode("utf-8", "surrogatepass")
+
+
 class _Workbook:
     """Shared strings, date styles and worksheet parts of one opened container."""
 
@@ -237,10 +299,10 @@ class _Workbook:
                 if kind.endswith("/worksheet"):
                     part = target.lstrip("/")
                     self.sheets.append(part if part.startswith("xl/") else f"xl/{part}")
-        self.strings = (
-            [_text_of(e) for e in self._tree("xl/sharedStrings.xml")]
-            if "xl/sharedStrings.xml" in self.names else []
-        )
+        self.strings = SharedStrings()
+        if "xl/sharedStrings.xml" in self.names:
+            with archive.open("xl/sharedStrings.xml") as stream:
+                self.strings = SharedStrings(stream)
         self.date_styles = self._date_styles()
 
     def _tree(self, name: str):
@@ -300,39 +362,34 @@ class _Workbook:
             return "n", False, None, number, None, None
         return kind, False, value, None, None, None
 
-    def grid(self, part: str, max_rows: int | None, max_columns: int | None):
-        """`(row, column, cell)` of the dense grid within the declared size and the budget.
+    def rows(self, stream, max_rows: int | None, max_columns: int | None, counts: StructureCounts) -> Iterator[tuple[int, list[tuple]]]:
+        """`(row, cells)` of the dense grid within the declared size and the budget; `counts` fills up on the way.
 
         Rows and cells the file leaves out are blank; rows after its last one do not exist.
         """
         width, height, current = None, None, 0
         row_at, cells = 0, {}
-        with self.archive.open(part) as stream:
-            for event, element in ElementTree.iterparse(stream, events=("start", "end")):
-                tag = _local(element.tag)
-                if event == "start":
-                    if tag == "row":
-                        row_at, cells = int(element.get("r") or row_at + 1), {}
-                    continue
-                if tag == "dimension":
+        for event, tag, element in events_of(stream):
+            if event == "start":
+                counts.add(tag, element)
+                if tag == "row":
+                    row_at, cells = int(element.get("r") or row_at + 1), {}
+                elif tag == "dimension":
                     width, height = _extent(element.get("ref", ""))
-                elif tag == "c":
-                    column = _column(element.get("r")) if element.get("r") else max(cells, default=0) + 1
+            elif tag == "c":
+                column = _column(element.get("r")) if element.get("r") else max(cells, default=0) + 1
+                if max_columns is None or column <= max_columns:
                     cells[column] = self.cell(element)
-                elif tag == "row":
-                    limit = min(x for x in (height, max_rows, row_at) if x is not None)
-                    columns = min(x for x in (width, max_columns) if x is not None) if width else (
-                        max_columns or max(cells, default=0))
-                    for missing in range(current + 1, min(row_at, limit + 1)):
-                        for column in range(1, columns + 1):
-                            yield missing, column, _BLANK
-                    if row_at <= limit:
-                        for column in range(1, columns + 1):
-                            yield row_at, column, cells.get(column, _BLANK)
-                    current = row_at
-                    element.clear()
-                    if limit < row_at:
-                        return
+                element.clear()
+            elif tag == "row":
+                limit = min(x for x in (height, max_rows, row_at) if x is not None)
+                columns = min(x for x in (width, max_columns) if x is not None) if width else (
+                    max_columns or max(cells, default=0))
+                for missing in range(current + 1, min(row_at, limit + 1)):
+                    yield missing, [_BLANK] * columns
+                if current < row_at <= limit:
+                    yield row_at, [cells.get(column, _BLANK) for column in range(1, columns + 1)]
+                current = max(current, row_at)
 
 
 _BLANK = ("n", False, None, None, None, None)
@@ -353,59 +410,149 @@ def _extent(reference: str) -> tuple[int | None, int | None]:
     return (_column(last), int(digits)) if digits else (None, None)
 
 
-def _cells_of(
-    workbook_id: str, content: bytes, max_rows: int | None, max_columns: int | None
-) -> Iterator[tuple]:
+class _Spool:
+    """Grid rows of a workbook as record batches, in a file that leaves memory when it grows."""
+
+    def __init__(self, workbook_id: str):
+        self.workbook_id = workbook_id
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
+        self.writer = pa.ipc.new_stream(pa.PythonFile(self.file, "w"), _TAGGED)
+        self.keys: list[tuple[int, int, int]] = []
+        self.cells: list[tuple] = []
+
+    def add(self, sheet: int, row: int, cells: list[tuple]) -> None:
+        self.keys.append((sheet, row, len(cells)))
+        self.cells += cells
+        if len(self.cells) >= BATCH_CELLS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.keys:
+            return
+        sheet, row, size = zip(*self.keys, strict=True)
+        fields = list(zip(*self.cells, strict=True)) or [()] * len(_CELL)
+        flat = pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(fields, _CELL, strict=True)], fields=list(_CELL))
+        ends = [0]
+        for n in size:
+            ends.append(ends[-1] + n)
+        cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        self.writer.write_batch(_tagged(ROWS, self.workbook_id, len(sheet), sheet_ordinal=list(sheet), row_ordinal=list(row), cells=cells))
+        self.keys, self.cells = [], []
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.flush()
+        self.writer.close()
+        self.file.seek(0)
+        yield from pa.ipc.open_stream(pa.PythonFile(self.file, "r"))
+
+
+def _tagged(kind: str, workbook_id: str, n: int, **columns) -> pa.RecordBatch:
+    """Rows of the tagged table; columns that the kind doesn't have are null."""
+    filled = {"kind": [kind] * n, "workbook_id": [workbook_id] * n, **columns}
+    arrays = []
+    for field in _TAGGED:
+        values = filled.get(field.name)
+        arrays.append(pa.nulls(n, field.type) if values is None else values if isinstance(values, pa.Array) else pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_TAGGED)
+
+
+def _scanned(workbook_id: str, content: bytes, max_rows: int | None, max_columns: int | None, read_limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Entries, grid rows and failures of a workbook, each part read once."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            workbook = _Workbook(archive)
-            for ordinal, part in enumerate(workbook.sheets):
-                for row, column, cell in workbook.grid(part, max_rows, max_columns):
-                    yield (workbook_id, ordinal, row, column, *cell, True)
+        archive = zipfile.ZipFile(io.BytesIO(content))
     except DAMAGE:
-        yield (workbook_id, 0, 0, 0, *_BLANK, False)
+        yield _tagged(UNREADABLE, workbook_id, 1)
+        yield _tagged(FAILED, workbook_id, 1)
+        return
+    with archive:
+        spool, counted, bad = _Spool(workbook_id), {}, set()
+        try:
+            workbook = _Workbook(archive)
+        except DAMAGE:
+            workbook = None
+        loaded = workbook is not None
+        for ordinal, part in enumerate(workbook.sheets if loaded else ()):
+            counts = StructureCounts()
+            try:
+                with archive.open(part) as stream:
+                    for row, cells in workbook.rows(stream, max_rows, max_columns, counts):
+                        if loaded:
+                            spool.add(ordinal, row, cells)
+                counted[part] = counts
+            except ElementTree.ParseError:
+                loaded = False
+                bad.add(part)
+            except DAMAGE:
+                loaded = False
+        entries = _entries(archive, read_limit, counted, bad)
+        if entries is None:
+            yield _tagged(UNREADABLE, workbook_id, 1)
+        elif entries:
+            yield _tagged(PART, workbook_id, len(entries), **dict(zip(_ENTRY.names, map(list, zip(*entries, strict=True)), strict=True)))
+        if loaded:
+            yield from spool.batches()
+        else:
+            yield _tagged(FAILED, workbook_id, 1)
+
+
+@dataclass(frozen=True)
+class Workbooks:
+    """What one reading of the files gave: entries, grid rows with raw cells, and two kinds of findings."""
+
+    parts: DataFrame
+    raw_rows: DataFrame
+    container_findings: DataFrame
+    load_findings: DataFrame
+
+    def rows(self, fold_inline: bool = False) -> DataFrame:
+        """The grid by rows, cells classified."""
+        values = ", ".join(f"'{v}', c.{v}" for v in VALUES)
+        cell = f"named_struct('cell_type', {category('c.', fold_inline)}, {values})"
+        return self.raw_rows.selectExpr(*ROW, f"transform(cells, c -> {cell}) AS cells")
+
+    def cells(self, fold_inline: bool = False) -> DataFrame:
+        """The grid cell by cell."""
+        raw = cells_of(self.raw_rows)
+        return raw.select(*ROW, "column_ordinal", classify_cell(fold_inline=fold_inline).alias("cell_type"), *VALUES)
+
+
+def scan_workbooks(
+    files: DataFrame, max_rows: int | None = None, max_columns: int | None = None, read_limit: int | None = None
+) -> Workbooks:
+    """Entries, structural counts and grid rows of every workbook in `files` (workbook_id, content).
+
+    The scan is written once, tagged by kind, and every output reads that table. A workbook that
+    cannot be loaded has a finding and no rows; one whose container cannot be read has no parts either.
+    """
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for workbook_id, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _scanned(workbook_id.as_py(), content.as_py() or b"", max_rows, max_columns, read_limit)
 
-def _loadable(content: bytes, max_rows: int | None, max_columns: int | None) -> bool:
-    """Whether every sheet can be read to its end; nothing is kept on the way."""
-    return all(row[-1] for row in _cells_of("", content, max_rows, max_columns))
+    ship_package(files.sparkSession)
+    entry = ("entry_ordinal bigint, entry_name string, compress_size bigint, file_size bigint, flag_bits int, text string, "
+             "counts array<struct<name:string,n:bigint>>, skipped boolean")
+    cell = "raw_type:string,date_format:boolean,value_string:string,value_number:double,value_boolean:boolean,value_timestamp:timestamp"
+    schema = f"kind string, workbook_id string, {entry}, sheet_ordinal int, row_ordinal bigint, cells array<struct<{cell}>>"
+    tagged = staged(files.select("workbook_id", "content").mapInArrow(scan, schema), "workbooks")
+
+    def finding(kind: str, code: str, *path) -> DataFrame:
+        return tagged.filter(F.col("kind") == kind).select(
+            F.col("workbook_id").alias("subject_id"), F.lit(ERROR).alias("severity"), F.lit(code).alias("code"), *path)
+
+    return Workbooks(
+        tagged.filter(F.col("kind") == PART).select("workbook_id", *_ENTRY.names),
+        tagged.filter(F.col("kind") == ROWS).select(*ROW, "cells"),
+        finding(UNREADABLE, "INVALID_XLSX_CONTAINER", F.lit("$.zipContainer").alias("path")),
+        finding(FAILED, "WORKBOOK_LOAD_FAILED"),
+    )
 
 
 def scan_workbook_cells(
     files: DataFrame, max_rows: int | None = None, max_columns: int | None = None,
     fold_inline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """`(cells, findings)`: the dense grid of every worksheet of every workbook.
-
-    A workbook that cannot be loaded yields a finding and no cells: it is read to its end before
-    its first cell is handed on, a second reading in place of holding all of it.
-    """
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for workbook_id, content in zip(batch["workbook_id"], batch["content"], strict=True):
-                rows: list[tuple] = []
-                if not _loadable(content, max_rows, max_columns):
-                    yield pd.DataFrame([(workbook_id, 0, 0, 0, *_BLANK, False)], columns=_COLUMNS)
-                    continue
-                for row in _cells_of(workbook_id, content, max_rows, max_columns):
-                    rows.append(row)
-                    if len(rows) >= BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=_COLUMNS)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    ship_package(files.sparkSession)
-    scanned = files.select("workbook_id", "content").mapInPandas(scan, _CELLS)
-    failed = scanned.filter("NOT loaded").select("workbook_id")
-    cells = scanned.filter("loaded").select(
-        "workbook_id", "sheet_ordinal", "row_ordinal", "column_ordinal",
-        classify_cell(fold_inline=fold_inline).alias("cell_type"),
-        "value_string", "value_number", "value_boolean", "value_timestamp",
-    )
-    findings = failed.select(
-        F.col("workbook_id").alias("subject_id"), F.lit(ERROR).alias("severity"),
-        F.lit("WORKBOOK_LOAD_FAILED").alias("code"),
-    )
-    return cells, findings
+    """`(cells, findings)`: the dense grid of every worksheet of every workbook, cell by cell."""
+    scanned = scan_workbooks(files, max_rows, max_columns)
+    return scanned.cells(fold_inline), scanned.load_findings

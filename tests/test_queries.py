@@ -15,7 +15,7 @@ SF = os.environ.get("STEWARD_TEST_SF", "/root/testdata/sf0.001")
 QUERIES, ORACLE = ({k: v for k, v in part.items() if k not in entry.LLM_QUERIES}
                    for part in (entry.queries(), entry.oracle_sql()))
 #: Queries whose inputs are byte documents parsed or built in Python.
-PYTHON = {"scan_manifests", "scan_manifest_findings", "scan_workbook_parts", "scan_workbook_cells", "sheet_structure"}
+PYTHON = {"scan_manifests", "scan_manifest_findings", "scan_workbook_parts", "sheet_structure"}
 
 
 @pytest.fixture(scope="module")

@@ -1,15 +1,20 @@
 import hashlib
 import io
 import os
+import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from steward.operators import structure as st
+from steward.operators.inspection import inspect_workbooks
+from steward.operators.profile import InspectionOptions
 from steward.sinks.artifacts import OutputError, read_artifact, write_artifact_set
 from steward.sources.documents import scan_json_objects, scan_manifests
+from steward.sources import workbooks as wb
 from steward.sources.files import scan_file_digests
+from steward.sources.grid import cells_of
 from steward.sources.workbooks import scan_workbook_cells, scan_workbook_parts, shows_date
 from steward.staging import drop_stages, staged
 from tests.support import rows, xlsx
@@ -234,3 +239,63 @@ def test_cluster_sessions_need_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: "yarn" if key == "spark.master" else default)
     with pytest.raises(RuntimeError):
         staged(spark.range(1), "trial")
+
+
+def test_one_reading_gives_parts_rows_and_findings(spark, monkeypatch):
+    good = xlsx(SHEET, SHARED, styles=STYLES)
+    torn = xlsx(SHEET[:300], SHARED, styles=STYLES)
+    files = books(spark, good, b"junk", torn, None)
+    scanned = wb.scan_workbooks(files)
+    columns = ("workbook_id", "entry_ordinal", "entry_name", "file_size", "text", "skipped")
+    parts, unreadable = scan_workbook_parts(files)
+    assert rows(scanned.parts, *columns) == rows(parts, *columns)
+    assert rows(scanned.parts, "workbook_id", "entry_name", "counts")[-3:] == rows(parts, "workbook_id", "entry_name", "counts")[-3:]
+    assert rows(scanned.container_findings, "subject_id", "code") == rows(unreadable, "subject_id", "code")
+    assert {r.subject_id for r in scanned.load_findings.collect()} == {"W1", "W2", "W3"}
+    assert rows(cells_of(scanned.rows()), "row_ordinal", "column_ordinal", "cell_type") == rows(scanned.cells(), "row_ordinal", "column_ordinal", "cell_type")
+    opened = []
+    plain = zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(getattr(name, "filename", name)) or plain(self, name, *a, **k))
+    list(wb._scanned("W", good, None, None, None))
+    assert opened.count("xl/worksheets/sheet1.xml") == 1 and opened.count("xl/sharedStrings.xml") == 1
+
+
+def test_long_sheets_and_many_strings_stay_out_of_memory(monkeypatch):
+    monkeypatch.setattr(wb, "STRING_BYTES", 1000)
+    monkeypatch.setattr(wb, "SPOOL_BYTES", 1000)
+    monkeypatch.setattr(wb, "BATCH_CELLS", 500)
+    n = 30_000
+    body = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i - 1}</v></c><c r="B{i}"><v>{i}</v></c></row>' for i in range(1, n + 1))
+    shared = "<sst>" + "".join(f"<si><t>text é {i}</t></si>" for i in range(n)) + "</sst>"
+    book = xlsx(f"<worksheet><sheetData>{body}</sheetData></worksheet>", shared)
+    tracemalloc.start()
+    seen, last = 0, None
+    for batch in wb._scanned("W", book, None, None, None):
+        if batch.column(0)[0].as_py() == wb.ROWS:
+            seen += batch.num_rows
+            last = batch.column(batch.schema.get_field_index("cells"))[-1].as_py()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert seen == n and last[0]["value_string"] == f"text é {n - 1}" and last[1]["value_number"] == n
+    assert peak < 12 << 20  # the sheet alone is 2 MB of XML, as a tree more than 30 MB
+
+
+def test_inspection_stops_where_a_gate_closes(spark):
+    macro, torn = io.BytesIO(xlsx(SHEET, SHARED, styles=STYLES)), xlsx(SHEET[:300], SHARED, styles=STYLES)
+    with zipfile.ZipFile(macro, "a") as archive:
+        archive.writestr("xl/vbaProject.bin", "x")
+    good = xlsx(SHEET, SHARED, styles=STYLES)
+    files = books(spark, good, b"junk", macro.getvalue(), torn, good, good, good)
+    states = spark.createDataFrame(
+        [("W0", "verified", None), ("W1", "verified", None), ("W2", "verified", None), ("W3", "verified", None), ("W4", "pending", None),
+         ("W5", "invalid", "WORKBOOK_NOT_IN_MANIFEST")], "workbook_id string, manifest_state string, code string")
+    got = inspect_workbooks(files, states, InspectionOptions(100, 50))
+    codes = {}
+    for r in got.findings.collect():
+        codes.setdefault(r.subject_id, set()).add(r.code)
+    assert codes["W1"] == {"INVALID_XLSX_CONTAINER"} and codes["W2"] == {"WORKBOOK_MACRO_DETECTED"}
+    assert codes["W3"] == {"WORKBOOK_LOAD_FAILED", "WORKBOOK_XML_PART_SCAN_SKIPPED"}
+    assert codes["W4"] == {"MANIFEST_NOT_VERIFIED"} and codes["W5"] == {"WORKBOOK_NOT_IN_MANIFEST"} and codes["W6"] == {"MANIFEST_INVALID"}
+    assert {"WORKBOOK_FORMULA_PRESENT", "WORKBOOK_CELL_ERROR_PRESENT"} <= codes["W0"]
+    assert rows(got.gate, "workbook_id", "inspection_completed", "accepted") == [("W0", True, True)] + [(f"W{i}", False, False) for i in range(1, 7)]
+    assert not any(r.normalization_ready for r in got.summary.collect()) and got.profile.count() == 1
