@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steward.functions.jsontext import is_json_object
+from steward.functions.variants import last_key_counts, member, members, parsed
 from steward.functions.naming import alias_columns, to_camel
 from steward.functions.paths import absolute_sql, parent_segment_sql
 from steward.functions.text import matches, matches_sql
@@ -362,40 +363,42 @@ def forbid_extra_keys(docs: DataFrame, allowed: list[str]) -> DataFrame:
     )
 
 
-def _object_keys(document: Column) -> Column:
-    return F.json_object_keys(document)
+def json_contract_check(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Schema documents (`doc_id, schema_name, doc`) against the fixed structure contracts.
 
-
-def json_contract_check(docs: DataFrame) -> DataFrame:
-    """Schema documents (`doc_id, schema_name, doc`) against the fixed structure contracts."""
-    root = F.col("doc")
-    defs = F.get_json_object(root, "$['$defs']")
+    A document is parsed once; what is no object counts as absent, and of repeated keys the last counts.
+    `wanted` (`doc_id, schema_name`) lists documents that must be there; without text they are not.
+    """
+    last_key_counts(docs.sparkSession)
+    if wanted is not None:
+        docs = wanted.select("doc_id", "schema_name").join(docs, ["doc_id", "schema_name"], "left")
+    trees = docs.select("doc_id", "schema_name", F.col("doc").isNotNull().alias("given"), members(parsed(F.col("doc"))).alias("root"))
+    parts = trees.withColumn("defs", members(member(F.col("root"), "$defs")))
+    definitions = {d for contract in S.SCHEMA_CONTRACTS.values() for d, _, _ in contract}
+    for name in sorted(definitions):
+        body = members(member(F.col("defs"), name))
+        parts = parts.withColumn(name, F.when(body.isNotNull(), F.struct(F.map_keys(members(member(body, "properties"))).alias("names"))))
     per_schema = None
     for schema, contract in S.SCHEMA_CONTRACTS.items():
         found = []
-        for definition, required, forbidden in contract:
-            body = F.get_json_object(root, f"$['$defs']['{definition}']")
-            is_object = _object_keys(body).isNotNull()
-            at = f"$.$defs.{definition}"
-            properties = F.get_json_object(body, "$['properties']")
-            names = F.coalesce(_object_keys(properties), F.array().cast("array<string>"))
-            found.append(F.when(~is_object, _code("SCH_006", at)))
-            for prop in required:
-                lacking = is_object & ~F.array_contains(names, prop)
-                found.append(F.when(lacking, _code("SCH_007", f"{at}.properties.{prop}")))
-            for prop in forbidden:
-                present = is_object & F.array_contains(names, prop)
-                found.append(F.when(present, _code("SCH_008", f"{at}.properties.{prop}")))
+        for name, required, forbidden in contract:
+            at, there = f"$.$defs.{name}", F.col(name).isNotNull()
+            names = F.coalesce(F.col(f"{name}.names"), F.array().cast("array<string>"))
+            found.append(F.when(~there, _code("SCH_006", at)))
+            for code, wrong, properties in (("SCH_007", False, required), ("SCH_008", True, forbidden)):
+                for prop in properties:
+                    found.append(F.when(there & (F.array_contains(names, prop) == wrong), _code(code, f"{at}.properties.{prop}")))
         case = F.array_compact(F.array(*found))
         matched = F.col("schema_name") == schema
         per_schema = F.when(matched, case) if per_schema is None else per_schema.when(matched, case)
     findings = (
-        F.when(~F.col("schema_name").isin(*S.SCHEMA_CONTRACTS), F.array(_code("SCH_002", None)))
-        .when(~is_json_object(root), F.array(_code("SCH_004", None)))
-        .when(_object_keys(defs).isNull(), F.array(_code("SCH_005", "$.$defs")))
+        F.when(~F.coalesce(F.col("schema_name").isin(*S.SCHEMA_CONTRACTS), F.lit(False)), F.array(_code("SCH_002", None)))
+        .when(~F.col("given"), F.array(_code("SCH_003", None)))
+        .when(F.col("root").isNull(), F.array(_code("SCH_004", None)))
+        .when(F.col("defs").isNull(), F.array(_code("SCH_005", "$.$defs")))
         .otherwise(per_schema)
     )
-    return docs.select("doc_id", F.explode(findings).alias("f")).select(
+    return parts.select("doc_id", F.explode(findings).alias("f")).select(
         "doc_id", F.lit(S.ERROR).alias("severity"), "f.code", "f.path"
     )
 

@@ -576,6 +576,8 @@ select event_id as doc_id,
               || (case when event_id % 37 = 0 then '"text"'
                        when event_id % 41 = 0 then '{}'
                        when event_id % 43 = 0 then '{"properties": {"humanReviewRequired": {}, "human_review_required": {}}}'
+                       when event_id % 47 = 0 then replace('"{#"properties#": {#"humanReviewRequired#": {}}}"', '#', chr(92))
+                       when event_id % 53 = 0 then '{"properties": {"humanReviewRequired": {}}, "properties": {}}'
                        else '{"properties": {"humanReviewRequired": ' || props || '}}' end)
               || '}}' end as doc
 from {events}

@@ -291,15 +291,19 @@ def q_forbid_extra_keys(spark, sf):
 select doc_id, 'ERROR' as severity, split_part(p, '|', 1) as code,
        nullif(split_part(p, '|', 2), '') as path
 from (select doc_id, unnest(problems) as p from contract_docs) x
+union all
+select -1 - doc_id, 'ERROR', case when doc_id % 2 = 0 then 'SCH_003' else 'SCH_002' end, null from schema_docs where doc_id % 97 = 0
 """,
     parsed_docs="""
-select doc_id, schema_name, case when json_valid(doc) and json_type(doc) = 'OBJECT'
+select doc_id, schema_name, doc, case when json_valid(doc) and json_type(doc) = 'OBJECT'
                                  then cast(doc as json) end as j
 from schema_docs""",
     contract_docs="""
 select doc_id, case
   when j is null then ['SCH_004|']
   when coalesce(json_type(j, '$."$defs"'), '') <> 'OBJECT' then ['SCH_005|$.$defs']
+  when schema_name = 'validation' and contains(doc, '}, "properties": {}}') -- of repeated keys the last counts
+    then ['SCH_007|$.$defs.SkillResult.properties.humanReviewRequired']
   when schema_name = 'validation' then
     case when coalesce(json_type(j, '$."$defs".SkillResult'), '') <> 'OBJECT'
          then ['SCH_006|$.$defs.SkillResult']
@@ -321,7 +325,10 @@ select doc_id, case
 from parsed_docs""",
 )
 def q_json_contract_check(spark, sf):
-    return ct.json_contract_check(bind(spark, sf, "schema_docs"))
+    docs = bind(spark, sf, "schema_docs")
+    absent = docs.filter("doc_id % 97 = 0").selectExpr(
+        "-1 - doc_id AS doc_id", "IF(doc_id % 2 = 0, 'ontology', 'unknown') AS schema_name")
+    return ct.json_contract_check(docs, docs.select("doc_id", "schema_name").unionByName(absent))
 
 
 @query(

@@ -1,9 +1,13 @@
 import hashlib
+import json
 from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
+from steward.functions import variants as vr
 from steward.operators import authorize as az, contracts as ct, decisions as dc, provenance as pv
+from steward.sources.authorization_documents import read_authorization_documents
 from tests.support import rows
 
 # --- manifests ------------------------------------------------------------------------------------
@@ -200,6 +204,55 @@ def test_schema_documents(spark):
     )
     assert rows(ct.json_contract_check(docs), "doc_id", "code") == [
         (2, "SCH_006"), (2, "SCH_007"), (2, "SCH_008"), (3, "SCH_005"), (4, "SCH_004"), (5, "SCH_002")]
+    wanted = spark.createDataFrame([(1, "ontology"), (7, "validation"), (8, "other"), (9, None)], "doc_id int, schema_name string")
+    assert rows(ct.json_contract_check(docs, wanted), "doc_id", "code") == [(7, "SCH_003"), (8, "SCH_002"), (9, "SCH_002")]
+    last = spark.createDataFrame(
+        [(1, "validation", '{"$defs":{"SkillResult":{"properties":{"humanReviewRequired":1}}},"$defs":{"SkillResult":"{}"}}'),
+         (2, "validation", '{"$defs":{"SkillResult":{"properties":[]},"SkillResult":{"properties":{"humanReviewRequired":null}}}}'),
+         (3, "validation", '{"$defs":{"SkillResult":{"properties":["humanReviewRequired"]}}} x')],
+        "doc_id int, schema_name string, doc string")
+    assert rows(ct.json_contract_check(last), "doc_id", "code") == [(1, "SCH_006"), (3, "SCH_004")]
+
+
+def test_documents_are_single_strict_values(spark):
+    vr.last_key_counts(spark)
+    texts = ['{"a":1}', '{"a":1} ', '{"a":1}x', '{"a":1}{}', '{"a":1},{}', '{}] junk', '{},"x"]', "[]", "", " ", None, '{"a":1,"a":"z"}', "{'a':1}", '"s"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    tree = vr.parsed(F.col("t"))
+    got = {r.i: r.a for r in df.select("i", tree.isNotNull().alias("a")).collect()}
+    assert [i for i in got if got[i]] == [0, 1, 7, 11, 13]
+    objects = df.select("i", vr.members(tree).isNotNull().alias("o")).filter("o").collect()
+    assert {r.i for r in objects} == {0, 1, 11}
+    values = '{"n":1,"f":1.5,"w":2.0,"e":1e3,"b":true,"s":"1","z":null,"big":9999999999,"o":{},"l":[]}'
+    one = spark.createDataFrame([(values,)], "t string").select(vr.members(vr.parsed(F.col("t"))).alias("m"))
+    read = lambda as_type: {k: v for k, v in one.select(*[vr.scalar(vr.member(F.col("m"), k), as_type).alias(k) for k in "n f w e b s z big o l absent".split()])
+                            .head().asDict().items() if v is not None}
+    assert read("int") == {"n": 1, "w": 2, "e": 1000} and read("json int") == {"n": 1}
+    assert read("boolean") == {"b": True} and read("string") == {"s": "1"}
+
+
+def test_authorization_documents(spark):
+    auth = {"version": 1, "source_id": "S", "inspectionReportId": "x", "outputStorageClass": "internal-restricted", "approvedOutputRootId": "R",
+            "sheets": [{"sheetOrdinal": 0, "classification": "code_list", "normalize": False, "headerConfidence": "none"}, 5, {"sheet_ordinal": 1}],
+            "humanReviewCompleted": True, "sourceId": "T"}
+    report = {"reportVersion": True, "sheets": [{"sheetOrdinal": 1.0}, 3, {"sheetOrdinal": 2}], "findings": "none", "summary": []}
+    docs = spark.createDataFrame([("A", json.dumps(auth), json.dumps(report), '{"version":1}', "/out"), ("B", None, "[]", "{", None)],
+                                 "authorization_id string, authorization string, report string, binding string, output_dir string")
+    read = read_authorization_documents(docs)
+    found = rows(read.findings, "authorization_id", "code", "path", "field")
+    assert [f for f in found if f[0] == "B"] == [("B", c, "$", None) for c in (
+        "AUTHORIZATION_JSON_INVALID", "INSPECTION_REPORT_INVALID", "OUTPUT_ROOT_BINDING_JSON_INVALID")]
+    of_a = {(p, f) for a, _, p, f in found if a == "A"}
+    assert ("$.authorization", "source_id") in of_a  # both spellings
+    assert ("$.authorization.sheets.1", None) in of_a and ("$.authorization.sheets.2", "classification") in of_a
+    assert ("$.binding", "rootId") in of_a and ("$.authorization.sheets.0", "classification") not in of_a
+    assert read.authorizations.head().source_id == "T" and read.acks.count() == 0
+    sheet = read.auth_sheets.filter("sheet_index = 0").head()
+    assert (sheet.medium_confidence_approved, sheet.header_row, sheet.exclusion_reason_code) == (False, None, None)
+    head = read.reports.head()
+    assert (head.report_version, head.provenance_verified, head.inspection_completed, head.source_id) == (None, False, False, None)
+    assert [r.sheet_ordinal for r in read.report_sheets.orderBy("sheet_index").collect()] == [None, None, 2]
+    assert read.report_findings.count() == 0 and read.output_bindings.count() == 1
 
 
 # --- authorizations ---------------------------------------------------------------------------------
