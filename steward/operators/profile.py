@@ -84,11 +84,14 @@ def cell_type_counts(grid: DataFrame) -> DataFrame:
     )
 
 
+def _row_filled() -> Column:
+    return F.expr("size(array_remove(cells.cell_type, 'blank')) > 0")
+
+
 def blank_row_count(grid: DataFrame) -> DataFrame:
     """Rows of the scan without any non-blank cell, per sheet."""
-    filled = F.exists("cells", lambda c: F.coalesce(c["cell_type"], F.lit("blank")) != "blank")
     rows = rows_of(grid).filter(F.size("cells") > 0)
-    return rows.select(*SHEET, filled.alias("filled")).groupBy(*SHEET).agg(
+    return rows.select(*SHEET, _row_filled().alias("filled")).groupBy(*SHEET).agg(
         F.count(F.lit(1)).alias("scanned_row_count"),
         F.count_if(~F.col("filled")).alias("blank_row_count"),
     )
@@ -266,12 +269,11 @@ def sheet_profile(
     What concerns a row as a whole (that it exists, that it is filled, its facts as a header) rides on its
     first cell, so that one aggregation by (sheet, column) counts cells, columns and rows together.
     """
-    filled = F.exists("cells", lambda c: F.coalesce(c["cell_type"], F.lit("blank")) != "blank")
     budget = rows_of(scanned(grid, options)).select(
-        *SHEET, "row_ordinal", "cells", filled.alias("filled"), _header_code().alias("code"))
+        *SHEET, "row_ordinal", "cells", _row_filled().alias("filled"), _header_code().alias("code"))
     cells = budget.select(
         *SHEET, "row_ordinal", "filled", "code", F.posexplode("cells").alias("position", "cell"))
-    kind = F.coalesce(F.col("cell.cell_type"), F.lit("blank"))
+    kind = F.col("cell.cell_type")
     first = F.col("position") == 0
     columns = cells.groupBy(*SHEET, "position").agg(
         *[F.count_if(kind == c).alias(f"{c}_count") for c in CELL_CATEGORIES],

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from steward.functions.cells import category
+from steward.schemas import CELL_VALUE
 
 _RAW_CELL = (
     "named_struct('raw_type', {kind}, 'date_format', {date_format}, "
     "'value_string', CAST({text} AS STRING), 'value_number', CAST({number} AS DOUBLE), "
     "'value_boolean', CAST({boolean} AS BOOLEAN), 'value_timestamp', CAST({time} AS TIMESTAMP))"
 )
+_LEADING_ROW = "array<struct<row_ordinal:bigint,cells:array<" + CELL_VALUE.simpleString() + ">>>"
 ROW = ["workbook_id", "sheet_ordinal", "row_ordinal"]
 VALUES = ("value_string", "value_number", "value_boolean", "value_timestamp")
+_TYPES = ("STRING", "DOUBLE", "BOOLEAN", "TIMESTAMP")
 
 
 def raw_cell(
@@ -30,7 +33,7 @@ def raw_cell(
 
 
 def leading_row(row_ordinal: str, cells: list[str]) -> str:
-    """SQL of a title or header row for `melt_to_cells`."""
+    """SQL of a title or header row for `melt_to_rows`."""
     return (
         f"named_struct('row_ordinal', CAST({row_ordinal} AS BIGINT), "
         f"'cells', array({', '.join(cells)}))"
@@ -56,10 +59,14 @@ def raw_of(name: str, dtype: T.DataType) -> str:
     return raw_cell("'s'", text=name)
 
 
-def _classified(cell: str, fold_inline: bool) -> str:
-    """SQL of the classified cell of the raw cell in column `cell`."""
-    kind = category(f"{cell}.", fold_inline)
-    return f"named_struct('cell_type', {kind}, " + ", ".join(f"'{v}', {cell}.{v}" for v in VALUES) + ")"
+def classified(raw_rows: DataFrame, fold_inline: bool = False) -> DataFrame:
+    """Grid rows of raw cells with every cell classified, by one expression whatever the number of columns.
+
+    An expression per column would make a method too long for the JVM to compile.
+    """
+    values = ", ".join(f"'{v}', c.{v}" for v in VALUES)
+    cell = f"named_struct('cell_type', {category('c.', fold_inline)}, {values})"
+    return raw_rows.selectExpr(*ROW, f"transform(cells, c -> {cell}) AS cells")
 
 
 def melt_to_rows(
@@ -75,26 +82,20 @@ def melt_to_rows(
     A grid row keeps its cells together, in an array by column, so whatever concerns single rows
     needs no shuffle. `columns` lists typed columns, or maps labels to raw-cell SQL, in column order 1..n.
     `leading_rows` optionally holds, on the row that comes first in a sheet, an array of
-    `leading_row`s. Each column has an expression of its own, so the cells stay in generated code.
+    `leading_row`s.
     """
     if not isinstance(columns, dict):
         types = {f.name: f.dataType for f in df.schema.fields}
         columns = {c: raw_of(c, types[c]) for c in columns}
-    names = [f"_cell_{i}" for i in range(len(columns))]
-    raw = df.select(
-        "workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"), F.expr("CAST(row_ordinal AS BIGINT) AS row_ordinal"),
-        *[F.expr(f"{sql} AS {name}") for name, sql in zip(names, columns.values(), strict=True)],
-        *([] if leading_rows is None else [leading_rows.alias("_leading")]),
-    )
-    one = [_classified(name, fold_inline) if classify else name for name in names]
-    own = f"named_struct('row_ordinal', row_ordinal, 'cells', array({', '.join(one)}))"
+    own = leading_row("row_ordinal", list(columns.values()))
+    keys = ("workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"))
     if leading_rows is None:
-        return raw.selectExpr("workbook_id", "sheet_ordinal", "row_ordinal", f"{own}.cells AS cells")
-    cell = _classified("c", fold_inline) if classify else "c"
-    before = f"transform(_leading, r -> named_struct('row_ordinal', r.row_ordinal, 'cells', transform(r.cells, c -> {cell})))"
-    rows = F.expr(f"CASE WHEN _leading IS NULL THEN array({own}) ELSE concat({before}, array({own})) END")
-    return raw.select("workbook_id", "sheet_ordinal", F.explode(rows).alias("r")).select(
-        "workbook_id", "sheet_ordinal", "r.row_ordinal", "r.cells")
+        raw = df.select(*keys, F.expr(own).alias("r")).select(*ROW[:2], "r.row_ordinal", "r.cells")
+    else:
+        before = F.coalesce(leading_rows, F.array().cast(_LEADING_ROW))
+        raw = df.select(*keys, F.explode(F.concat(before, F.expr(f"array({own})"))).alias("r")).select(
+            *ROW[:2], "r.row_ordinal", "r.cells")
+    return classified(raw, fold_inline) if classify else raw
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -106,13 +107,14 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 def rows_of(grid: DataFrame) -> DataFrame:
     """Grid rows, whichever shape `grid` has. Single cells are gathered by row, which a sheet's width bounds;
-    a column that a row leaves out is null, which counts as blank."""
+    a column that a row leaves out is blank."""
     if "cells" in grid.columns:
         return grid
     fields = ("cell_type", *VALUES)
+    blank = F.expr("named_struct('cell_type', 'blank', " + ", ".join(f"'{v}', CAST(NULL AS {t})" for v, t in zip(VALUES, _TYPES, strict=True)) + ")")
     gathered = grid.groupBy(*ROW).agg(
         F.map_from_entries(F.collect_list(F.struct("column_ordinal", F.struct(*fields)))).alias("by_column"), F.max("column_ordinal").alias("width"))
-    return gathered.select(*ROW, F.transform(F.sequence(F.lit(1), "width"), lambda i: F.try_element_at("by_column", i)).alias("cells"))
+    return gathered.select(*ROW, F.transform(F.sequence(F.lit(1), "width"), lambda i: F.coalesce(F.try_element_at("by_column", i), blank)).alias("cells"))
 
 
 def melt_to_cells(

@@ -26,10 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from steward.functions.cells import category, classify_cell
+from steward.functions.cells import classify_cell
 from steward.schemas import ERROR, HEADER_SCAN_DEPTH
 from steward.session import ship_package
-from steward.sources.grid import ROW, VALUES, cells_of
+from steward.sources.grid import ROW, VALUES, cells_of, classified
 from steward.staging import staged
 
 _PARTS = (
@@ -506,9 +506,7 @@ class Workbooks:
 
     def rows(self, fold_inline: bool = False) -> DataFrame:
         """The grid by rows, cells classified."""
-        values = ", ".join(f"'{v}', c.{v}" for v in VALUES)
-        cell = f"named_struct('cell_type', {category('c.', fold_inline)}, {values})"
-        return self.raw_rows.selectExpr(*ROW, f"transform(cells, c -> {cell}) AS cells")
+        return classified(self.raw_rows, fold_inline)
 
     def cells(self, fold_inline: bool = False) -> DataFrame:
         """The grid cell by cell."""
