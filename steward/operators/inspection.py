@@ -50,7 +50,7 @@ def inspect_workbooks(
 
     facts = books.join(loaded, "workbook_id", "left_semi")
     sheets = st.sheet_structure(parts).join(loaded, "workbook_id", "left_semi")
-    grid = scanned.rows().join(loaded, "workbook_id", "left_semi")
+    grid = scanned.rows.join(loaded, "workbook_id", "left_semi")
     inspected = pf.inspect(grid, sheets, facts.withColumn("provenance_verified", F.lit(True)), options)
     skipped = books.filter("skipped_part_count > 0").join(failed, "workbook_id", "left_semi").select(
         F.col("workbook_id").alias("subject_id"), F.lit(WARNING).alias("severity"), F.lit("WORKBOOK_XML_PART_SCAN_SKIPPED").alias("code"),

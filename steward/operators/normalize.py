@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steward.functions.cells import reject_code, typed_value
 from steward.functions.paths import cell_path
 from steward.schemas import VALUE_TYPES, WARNING
-from steward.sources.grid import rows_of
+from steward.sources.grid import VALUES, kind_of, rows_of
 from steward.staging import staged
 
 SHEET = ["workbook_id", "sheet_ordinal"]
@@ -73,18 +73,21 @@ def mapped_cells(cells: DataFrame, spec: MappingSpec) -> DataFrame:
 
 
 def _mapped_rows(grid: DataFrame, spec: MappingSpec) -> tuple[DataFrame, list[str]]:
-    """Data rows of the sheet with the mapped cells as struct columns, and those columns' names."""
-    rows = rows_of(grid).filter(
-        (F.col("sheet_ordinal") == spec.sheet_ordinal) & (F.col("row_ordinal") >= spec.first_data_row)
-    )
+    """Data rows of the sheet with the mapped cells, classified, as struct columns, and the prefixes of their fields."""
+    rows = rows_of(grid)
+    kept = rows.filter((F.col("sheet_ordinal") == spec.sheet_ordinal) & (F.col("row_ordinal") >= spec.first_data_row))
+    # One expression classifies all mapped cells; one per column would make methods too long to compile.
+    cells = ", ".join(f"get(cells, {c.ordinal - 1})" for c in spec.columns)
+    values = ", ".join(f"'{v}', c.{v}" for v in VALUES)
+    shown = f"transform(array({cells}), c -> named_struct('cell_type', coalesce({kind_of(rows, 'c.')}, 'blank'), {values}))"
     names = [f"_cell_{i}" for i in range(len(spec.columns))]
-    cells = [F.expr(f"get(cells, {c.ordinal - 1})").alias(name) for c, name in zip(spec.columns, names, strict=True)]
-    return rows.select(*ROW, *cells), names
+    taken = kept.select(*ROW, F.expr(shown).alias("_cells"))
+    return taken.select(*ROW, *[F.expr(f"get(_cells, {i})").alias(name) for i, name in enumerate(names)]), [f"{n}." for n in names]
 
 
-def _filled(names: list[str]) -> Column:
+def _filled(prefixes: list[str]) -> Column:
     """How many of the cells are not blank; a cell beyond the end of its row is."""
-    return sum((F.when(F.col(f"{n}.cell_type") != "blank", 1).otherwise(0) for n in names), start=F.lit(0))
+    return sum((F.when(F.col(f"{at}cell_type") != "blank", 1).otherwise(0) for at in prefixes), start=F.lit(0))
 
 
 def drop_blank_rows(grid: DataFrame, spec: MappingSpec) -> DataFrame:
@@ -102,15 +105,15 @@ def map_columns(grid: DataFrame, spec: MappingSpec) -> DataFrame:
     rows, names = _mapped_rows(grid, spec)
     rejects = []
     for c, name in zip(spec.columns, names, strict=True):
-        code = F.when(F.col(f"{name}.cell_type").isNotNull(), reject_code(c.value_type, f"{name}."))
+        code = reject_code(c.value_type, name)
         if c.required:
-            missing = typed_value(c.value_type, f"{name}.").isNull()
+            missing = typed_value(c.value_type, name).isNull()
             code = F.coalesce(code, F.when(missing, "REQUIRED_VALUE_MISSING"))
         rejects.append(code.alias(f"_reject_{c.field}"))
     judged = rows.filter(_filled(names) > 0).select("*", *rejects)
     return judged.select(
         *ROW,
-        *[F.when(F.col(f"_reject_{c.field}").isNull(), typed_value(c.value_type, f"{name}.")).alias(c.field)
+        *[F.when(F.col(f"_reject_{c.field}").isNull(), typed_value(c.value_type, name)).alias(c.field)
           for c, name in zip(spec.columns, names, strict=True)],
         *_rejects(spec),
     )

@@ -7,13 +7,15 @@ shuffle. What leaves the first aggregation is one row per (sheet, column) or per
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steward.functions.paths import is_traversal_entry, row_path, sheet_path
 from steward.functions.text import digest_text, name_digest, normalized_length
 from steward.schemas import CELL_CATEGORIES, ERROR, HEADER_SCAN_DEPTH, WARNING
-from steward.sources.grid import cells_of, rows_of
+from steward.sources.grid import VALUES, cells_of, kind_of, raw_cells, rows_of
 from steward.staging import staged
 
 SHEET = ["workbook_id", "sheet_ordinal"]
@@ -84,14 +86,17 @@ def cell_type_counts(grid: DataFrame) -> DataFrame:
     )
 
 
-def _row_filled() -> Column:
-    return F.expr("size(array_remove(cells.cell_type, 'blank')) > 0")
+def _row_filled(rows: DataFrame) -> Column:
+    """Whether a grid row has a cell with a value; it mostly shows at the first."""
+    if raw_cells(rows):
+        return F.exists("cells", lambda c: reduce(or_, (c[v].isNotNull() for v in VALUES)))
+    return F.exists("cells", lambda c: c["cell_type"] != "blank")
 
 
 def blank_row_count(grid: DataFrame) -> DataFrame:
     """Rows of the scan without any non-blank cell, per sheet."""
     rows = rows_of(grid).filter(F.size("cells") > 0)
-    return rows.select(*SHEET, _row_filled().alias("filled")).groupBy(*SHEET).agg(
+    return rows.select(*SHEET, _row_filled(rows).alias("filled")).groupBy(*SHEET).agg(
         F.count(F.lit(1)).alias("scanned_row_count"),
         F.count_if(~F.col("filled")).alias("blank_row_count"),
     )
@@ -179,9 +184,9 @@ def empty_sheet_verdict(
 _COUNT_BITS = 19
 
 
-def _header_code() -> Column:
+def _header_code(rows: DataFrame) -> Column:
     """Of a grid row that may be a header, its facts as one number; the smallest is the uppermost row's."""
-    kind = "coalesce(c.cell_type, 'blank')"
+    kind = f"({kind_of(rows, 'c.')})"
     texts = f"filter(cells, c -> {kind} IN ('string', 'inline_string'))"
     filled = f"size(filter(cells, c -> {kind} <> 'blank'))"
     distinct = F.size(F.array_distinct(F.transform(F.expr(texts), lambda c: digest_text(c["value_string"]))))
@@ -212,7 +217,7 @@ def infer_header(grid: DataFrame, structure: DataFrame) -> DataFrame:
     One row past the search depth is read too, only to see whether the scan goes on below it.
     """
     top = rows_of(grid.filter(F.col("row_ordinal") <= HEADER_SCAN_DEPTH + 1))
-    per_sheet = top.select(*SHEET, "row_ordinal", _header_code().alias("code")).groupBy(*SHEET).agg(
+    per_sheet = top.select(*SHEET, "row_ordinal", _header_code(top).alias("code")).groupBy(*SHEET).agg(
         F.min("code").alias("_code"), F.max("row_ordinal").alias("_last"))
     joined = structure.select(*SHEET, "merged_top_rows").join(per_sheet, SHEET, "left")
     return joined.select(*SHEET, *_header_fields("_code", "_last"), "merged_top_rows")
@@ -269,11 +274,13 @@ def sheet_profile(
     What concerns a row as a whole (that it exists, that it is filled, its facts as a header) rides on its
     first cell, so that one aggregation by (sheet, column) counts cells, columns and rows together.
     """
-    budget = rows_of(scanned(grid, options)).select(
-        *SHEET, "row_ordinal", "cells", _row_filled().alias("filled"), _header_code().alias("code"))
+    rows = rows_of(scanned(grid, options))
+    budget = rows.select(
+        *SHEET, "row_ordinal", "cells", _row_filled(rows).alias("filled"), _header_code(rows).alias("code"))
     cells = budget.select(
         *SHEET, "row_ordinal", "filled", "code", F.posexplode("cells").alias("position", "cell"))
-    kind = F.col("cell.cell_type")
+    cells = cells.withColumn("kind", F.expr(kind_of(rows, "cell.")))
+    kind = F.col("kind")
     first = F.col("position") == 0
     columns = cells.groupBy(*SHEET, "position").agg(
         *[F.count_if(kind == c).alias(f"{c}_count") for c in CELL_CATEGORIES],

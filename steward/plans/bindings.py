@@ -186,7 +186,7 @@ GRID_COLUMNS = {
 }
 
 
-def grid(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid of both sheets by rows, title and header rows included."""
     title = leading_row("1", [raw_cell("'s'", text="'TEST TITLE'"), *[raw_cell("'n'")] * 4])
     header = leading_row("1 + t", _header_cells())
@@ -194,14 +194,12 @@ def grid(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
         f"CASE WHEN n = 0 AND t = 1 THEN array({title}, {header}) "
         f"WHEN n = 0 THEN array({header}) END"
     )
-    return melt_to_rows(
-        bind(spark, sf_dir, "grid"), GRID_COLUMNS, leading_rows=leading, classify=classify
-    )
+    return melt_to_rows(bind(spark, sf_dir, "grid"), GRID_COLUMNS, leading_rows=leading)
 
 
 def cells(spark: SparkSession, sf_dir: str, classify: bool = True) -> DataFrame:
     """The same grid cell by cell."""
-    return cells_of(grid(spark, sf_dir, classify))
+    return cells_of(grid(spark, sf_dir), classify=classify)
 
 
 _CELL_TYPE = """

@@ -1,7 +1,7 @@
 """Grids from typed tables: the scale path into every grid operator.
 
-A grid has two shapes: rows (`workbook_id, sheet_ordinal, row_ordinal`, `cells`: an array of cells by column) and
-single cells (with `column_ordinal`). Rows are what moves; cells are a view of them.
+A grid has two shapes: rows (`workbook_id, sheet_ordinal, row_ordinal`, `cells`: an array of cells by column, raw or
+classified) and single classified cells (with `column_ordinal`). Rows are what moves; cells are a view of them.
 """
 
 from __future__ import annotations
@@ -59,23 +59,11 @@ def raw_of(name: str, dtype: T.DataType) -> str:
     return raw_cell("'s'", text=name)
 
 
-def classified(raw_rows: DataFrame, fold_inline: bool = False) -> DataFrame:
-    """Grid rows of raw cells with every cell classified, by one expression whatever the number of columns.
-
-    An expression per column would make a method too long for the JVM to compile.
-    """
-    values = ", ".join(f"'{v}', c.{v}" for v in VALUES)
-    cell = f"named_struct('cell_type', {category('c.', fold_inline)}, {values})"
-    return raw_rows.selectExpr(*ROW, f"transform(cells, c -> {cell}) AS cells")
-
-
 def melt_to_rows(
     df: DataFrame,
     columns: dict[str, str] | list[str],
     *,
     leading_rows: Column | None = None,
-    fold_inline: bool = False,
-    classify: bool = True,
 ) -> DataFrame:
     """Turn rows keyed by `workbook_id, sheet_ordinal, row_ordinal` into rows of a grid.
 
@@ -90,19 +78,32 @@ def melt_to_rows(
     own = leading_row("row_ordinal", list(columns.values()))
     keys = ("workbook_id", F.expr("CAST(sheet_ordinal AS INT) AS sheet_ordinal"))
     if leading_rows is None:
-        raw = df.select(*keys, F.expr(own).alias("r")).select(*ROW[:2], "r.row_ordinal", "r.cells")
-    else:
-        before = F.coalesce(leading_rows, F.array().cast(_LEADING_ROW))
-        raw = df.select(*keys, F.explode(F.concat(before, F.expr(f"array({own})"))).alias("r")).select(
-            *ROW[:2], "r.row_ordinal", "r.cells")
-    return classified(raw, fold_inline) if classify else raw
+        return df.select(*keys, F.expr(own).alias("r")).select(*ROW[:2], "r.row_ordinal", "r.cells")
+    before = F.coalesce(leading_rows, F.array().cast(_LEADING_ROW))
+    return df.select(*keys, F.explode(F.concat(before, F.expr(f"array({own})"))).alias("r")).select(
+        *ROW[:2], "r.row_ordinal", "r.cells")
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    """The cells of grid rows, one row each: a view that a filter on columns or types goes through."""
-    fields = rows.schema["cells"].dataType.elementType.fieldNames()
+def raw_cells(rows: DataFrame) -> bool:
+    """Whether the cells of grid rows are raw, not classified."""
+    return "raw_type" in rows.schema["cells"].dataType.elementType.fieldNames()
+
+
+def kind_of(rows: DataFrame, at: str) -> str:
+    """SQL of the category of a cell of `rows`, whose fields have the prefix `at`."""
+    return category(at) if raw_cells(rows) else f"{at}cell_type"
+
+
+def cells_of(rows: DataFrame, fold_inline: bool = False, classify: bool = True) -> DataFrame:
+    """The cells of grid rows, one row each: a view that a filter on columns or types goes through.
+
+    Raw cells are classified one by one: an expression per column would make methods too long to compile.
+    """
+    raw = raw_cells(rows)
+    kind = [F.col("cell.raw_type"), F.col("cell.date_format")] if raw and not classify else [
+        F.expr(category("cell.", fold_inline) if raw else "cell.cell_type").alias("cell_type")]
     exploded = rows.select(*ROW, F.posexplode("cells").alias("position", "cell"))
-    return exploded.select(*ROW, F.expr("position + 1 AS column_ordinal"), *[f"cell.{f}" for f in fields])
+    return exploded.select(*ROW, F.expr("position + 1 AS column_ordinal"), *kind, *[f"cell.{v}" for v in VALUES])
 
 
 def rows_of(grid: DataFrame) -> DataFrame:
@@ -126,4 +127,4 @@ def melt_to_cells(
     classify: bool = True,
 ) -> DataFrame:
     """`melt_to_rows` seen cell by cell."""
-    return cells_of(melt_to_rows(df, columns, leading_rows=leading_rows, fold_inline=fold_inline, classify=classify))
+    return cells_of(melt_to_rows(df, columns, leading_rows=leading_rows), fold_inline, classify)

@@ -26,10 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from steward.functions.cells import classify_cell
 from steward.schemas import ERROR, HEADER_SCAN_DEPTH
 from steward.session import ship_package
-from steward.sources.grid import ROW, VALUES, cells_of, classified
+from steward.sources.grid import ROW, cells_of
 from steward.staging import staged
 
 _PARTS = (
@@ -500,18 +499,13 @@ class Workbooks:
     """What one reading of the files gave: entries, grid rows with raw cells, and two kinds of findings."""
 
     parts: DataFrame
-    raw_rows: DataFrame
+    rows: DataFrame
     container_findings: DataFrame
     load_findings: DataFrame
 
-    def rows(self, fold_inline: bool = False) -> DataFrame:
-        """The grid by rows, cells classified."""
-        return classified(self.raw_rows, fold_inline)
-
     def cells(self, fold_inline: bool = False) -> DataFrame:
-        """The grid cell by cell."""
-        raw = cells_of(self.raw_rows)
-        return raw.select(*ROW, "column_ordinal", classify_cell(fold_inline=fold_inline).alias("cell_type"), *VALUES)
+        """The grid cell by cell, classified."""
+        return cells_of(self.rows, fold_inline)
 
 
 def scan_workbooks(

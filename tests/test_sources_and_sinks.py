@@ -252,7 +252,7 @@ def test_one_reading_gives_parts_rows_and_findings(spark, monkeypatch):
     assert rows(scanned.parts, "workbook_id", "entry_name", "counts")[-3:] == rows(parts, "workbook_id", "entry_name", "counts")[-3:]
     assert rows(scanned.container_findings, "subject_id", "code") == rows(unreadable, "subject_id", "code")
     assert {r.subject_id for r in scanned.load_findings.collect()} == {"W1", "W2", "W3"}
-    assert rows(cells_of(scanned.rows()), "row_ordinal", "column_ordinal", "cell_type") == rows(scanned.cells(), "row_ordinal", "column_ordinal", "cell_type")
+    assert rows(cells_of(scanned.rows), "row_ordinal", "column_ordinal", "cell_type") == rows(scanned.cells(), "row_ordinal", "column_ordinal", "cell_type")
     opened = []
     plain = zipfile.ZipFile.open
     monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(getattr(name, "filename", name)) or plain(self, name, *a, **k))
