@@ -14,18 +14,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steward.functions.paths import sheet_ordinal_from_path
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys; Spark plans it as a hash join."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def mark_first(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
+    """`df` with a flag on the first occurrence per key, from one join; `position` is unique within a key."""
+    firsts = df.groupBy(*[F.col(k).alias(f"_its_{k}") for k in keys]).agg(F.min(position).alias("_first"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_its_{k}")) for k in keys]) & (F.col(position) == F.col("_first"))
+    return df.join(firsts, on, "left").select(*df.columns, F.col("_first").isNotNull().alias(name))
 
 
 def split_first(
     df: DataFrame, keys: list[str], position: str
 ) -> tuple[DataFrame, DataFrame]:
     """`(first occurrence per key, later occurrences)`; `position` is unique within a key."""
-    firsts = df.groupBy(*keys).agg(F.min(position).alias("_first"))
-    on = null_safe(df, firsts, keys) & (df[position] == firsts["_first"])
-    return df.join(firsts, on, "left_semi"), df.join(firsts, on, "left_anti")
+    marked = mark_first(df, keys, position, "_is_first")
+    return marked.filter("_is_first").drop("_is_first"), marked.filter("NOT _is_first").drop("_is_first")
 
 
 def first_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -10,6 +10,7 @@ from steward.functions.paths import absolute_sql, normalize_segments, parent_seg
 from steward.functions.text import matches_sql
 from steward.operators.contracts import provenance_invariant, row_errors
 from steward.schemas import ERROR, SHA256_PATTERN
+from steward.staging import staged
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,10 @@ def check_entries(entries: DataFrame, digests: DataFrame) -> DataFrame:
             _problems([_problem("true", "MANIFEST_FORBIDDEN_FIELD")]),
         ).otherwise(contract),
     )
-    # Only entries that are otherwise fine are looked up.
-    lookup = F.when(F.size("problems") == 0, normalize_segments("source_file"))
+    # Only entries that are otherwise fine are looked up; the others get keys no path has, which spread them over
+    # all tasks of the join (null keys would meet in one).
+    nowhere = F.concat_ws(":", F.lit("\0"), "manifest_id", F.col("entry_index").cast("string"))
+    lookup = F.when(F.size("problems") == 0, normalize_segments("source_file")).otherwise(nowhere)
     files = digests.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha256"))
     joined = judged.withColumn("_lookup", lookup).join(files, F.col("_lookup") == F.col("_path"), "left")
     file_problems = _problems(
@@ -79,7 +82,7 @@ def verify_manifest(
     and repeats no source id or file. Per-manifest facts are combined sums and distinct counts;
     entries meet them again in a join AQE splits when one manifest is hot.
     """
-    checked = check_entries(entries, digests)
+    checked = staged(check_entries(entries, digests), "checked")  # read three times below
     facts = checked.groupBy("manifest_id").agg(
         F.count(F.lit(1)).alias("entry_count"),
         F.count_if(F.size("problems") > 0).alias("bad_entries"),
@@ -96,12 +99,12 @@ def verify_manifest(
             ),
         ).when((F.col("ids") < n) | (F.col("files") < n), F.array(F.lit("$"))),
     )
-    state = manifests.join(facts, "manifest_id", "left").select(
+    state = staged(manifests.join(facts, "manifest_id", "left").select(
         *manifests.columns,
         n.alias("entry_count"),
         contract.alias("_contract"),
         ((F.coalesce(F.col("bad_entries"), F.lit(0)) == 0) & contract.isNull()).alias("passed"),
-    )
+    ), "manifests")
     entry_findings = checked.select(
         F.col("manifest_id").alias("subject_id"), F.explode("problems").alias("p")
     ).select("subject_id", F.lit(ERROR).alias("severity"), "p.code", "p.path")

@@ -89,3 +89,8 @@ def test_only_typed_records_are_shuffled_for_numbering(spark, name):
 def test_profiles_read_the_grid_once(spark, name, scans):
     plan = physical(QUERIES[name](spark, SF))
     assert plan.count("FileScan parquet") <= scans and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name, scans", [("verify_manifest", 4), ("manifest_state", 5), ("report_finding_keys", 4)])
+def test_entries_and_findings_are_read_few_times(spark, name, scans):
+    assert physical(QUERIES[name](spark, SF)).count("FileScan parquet") <= scans
