@@ -10,6 +10,7 @@ multiply rows however often a key repeats.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steward.functions.paths import lies_under_sql, sheet_ordinal_from_path
 from steward.operators import contracts
 from steward import schemas as S
+from steward.staging import staged
 
 KEY = ["authorization_id"]
 SHEET_KEY = ["authorization_id", "sheet_ordinal"]
@@ -521,14 +523,17 @@ def authorization_findings(
     Contract errors end an authorization, report preconditions end its later checks.
     """
     contract = authorization_contract(authorizations, auth_sheets, acks, reviews)
-    own = _header_facts(authorizations, reports, bindings, contract).select(
-        *KEY, F.explode("own_findings").alias("f")
-    )
+    header = _header_facts(authorizations, reports, bindings, contract)
     ledger = sheet_ledger(report_sheets, auth_sheets, report_findings, reviews)
+    return _findings_of(header, ledger, finding_ledger(report_findings, acks))
+
+
+def _findings_of(header: DataFrame, ledger: DataFrame, finding_rows: DataFrame) -> DataFrame:
+    own = header.select(*KEY, F.explode("own_findings").alias("f"))
     sheets = ledger.select(*KEY, F.explode(_found(_sheet_rules())).alias("f"))
-    judged = finding_ledger(report_findings, acks).withColumn("verdict", _verdict())
+    judged = finding_rows.withColumn("verdict", _verdict())
     findings = judged.select(*KEY, F.explode(_found(_finding_rules())).alias("f"))
-    usable = _header_facts(authorizations, reports, None, contract).filter("stage = 'open'")
+    usable = header.filter("stage = 'open'")
     later = _counted(sheets.unionByName(findings)).join(usable.select(*KEY), KEY, "left_semi")
     return later.unionByName(_counted(own)).select(
         *KEY, F.lit(S.ERROR).alias("severity"), "code", "path", "occurrences"
@@ -547,10 +552,36 @@ def authorization_verdict(
     """
     contract = authorization_contract(authorizations, auth_sheets, acks, reviews)
     header = _header_facts(authorizations, reports, bindings, contract)
-    by_sheet = sheet_ledger(report_sheets, auth_sheets, report_findings, reviews).groupBy(*KEY).agg(
+    ledger = sheet_ledger(report_sheets, auth_sheets, report_findings, reviews)
+    return _verdicts_of(header, ledger, finding_ledger(report_findings, acks))
+
+
+@dataclass(frozen=True)
+class Judgement:
+    verdicts: DataFrame
+    findings: DataFrame
+
+
+def authorization_judgement(
+    authorizations: DataFrame, auth_sheets: DataFrame, acks: DataFrame, reviews: DataFrame,
+    reports: DataFrame, report_sheets: DataFrame, report_findings: DataFrame,
+    bindings: DataFrame | None = None,
+) -> Judgement:
+    """Verdicts and findings together: the contract, the header and both ledgers are built once, as tables."""
+    contract = authorization_contract(authorizations, auth_sheets, acks, reviews)
+    shared = (
+        staged(_header_facts(authorizations, reports, bindings, contract), "header"),
+        staged(sheet_ledger(report_sheets, auth_sheets, report_findings, reviews), "sheet-ledger"),
+        staged(finding_ledger(report_findings, acks), "finding-ledger"),
+    )
+    return Judgement(_verdicts_of(*shared), _findings_of(*shared))
+
+
+def _verdicts_of(header: DataFrame, ledger: DataFrame, finding_rows: DataFrame) -> DataFrame:
+    by_sheet = ledger.groupBy(*KEY).agg(
         F.sum(_occurrences(_sheet_rules())).alias("s_found"), _coverage_flag().alias("s_covered")
     )
-    judged = finding_ledger(report_findings, acks).withColumn("verdict", _verdict())
+    judged = finding_rows.withColumn("verdict", _verdict())
     by_finding = judged.groupBy(*KEY).agg(
         F.expr("count_if(verdict <> 'REVIEWED') AS f_blocking"),
         F.expr("count_if(verdict = 'REVIEWED') AS f_reviewed"),

@@ -467,10 +467,8 @@ group by authorization_id, detail
     **_STEPS,
 )
 def q_authorization_gate(spark, sf):
-    tables = _tables(spark, sf)
-    return az.authorization_gate(
-        az.authorization_verdict(*tables), az.authorization_findings(*tables)
-    )
+    judged = az.authorization_judgement(*_tables(spark, sf))
+    return az.authorization_gate(judged.verdicts, judged.findings)
 
 
 @query(

@@ -91,6 +91,6 @@ def test_profiles_read_the_grid_once(spark, name, scans):
     assert plan.count("FileScan parquet") <= scans and "SortAggregate" not in plan
 
 
-@pytest.mark.parametrize("name, scans", [("verify_manifest", 4), ("manifest_state", 5), ("report_finding_keys", 4)])
+@pytest.mark.parametrize("name, scans", [("verify_manifest", 4), ("manifest_state", 5), ("report_finding_keys", 4), ("authorization_gate", 8)])
 def test_entries_and_findings_are_read_few_times(spark, name, scans):
     assert physical(QUERIES[name](spark, SF)).count("FileScan parquet") <= scans
