@@ -22,6 +22,8 @@ _UNSAFE = f"^$|^[{SPACE}]|[{SPACE}]$"
 _SAFE_BLANK = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 #: Chunks kept between batches, and the longest one kept.
 KEPT_CHUNKS, KEPT_LENGTH = 250_000, 64
+#: Words kept by a `ChunkTable`.
+KEPT_WORDS = 500_000
 
 
 class ChunkEncoder:
@@ -106,3 +108,115 @@ def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.
     where = np.repeat((begins - (ends - lengths)).astype(kind), lengths)
     where += np.arange(total, dtype=kind)
     return values[where]
+
+
+class ChunkTable:
+    """The same encoding with the dictionary in arrays: a column's words are looked up in one vectorised
+    pass, and only chunks never seen, or not for a while, become text for the library.
+
+    `encode(list of texts)` gives the ids of each text; `opens[id]` says whether the id's bytes begin with a blank. Words go to the library `RUN` at a time,
+    as running text, and are told apart by the ids that open with a blank; where the two numbers differ,
+    one by one. The dictionary keeps the half of `limit` words used last whenever it outgrows `limit`.
+    """
+
+    RUN = 200
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], opens: np.ndarray, dtype: str, limit: int = KEPT_WORDS):
+        self.encode, self.opens, self.dtype, self.limit = encode, opens, np.dtype(dtype), limit
+        self.words = pa.array([], pa.string())
+        self.values, self.sizes, self.used = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.now = 0
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of ids of each."""
+        n = len(column)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        lists = pc.split_pattern(column, " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        starts = starts[:-1] - starts[0]
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        # A chunk begins with a text and at every blank between two characters that aren't white space.
+        begins_bare = ~pc.match_substring_regex(words, f"^$|^[{SPACE}]").to_numpy(zero_copy_only=False)[index]
+        ends_bare = ~pc.match_substring_regex(words, f"^$|[{SPACE}]$").to_numpy(zero_copy_only=False)[index]
+        begins = np.empty(len(index), bool)
+        begins[0] = True
+        np.logical_and(begins_bare[1:], ends_bare[:-1], out=begins[1:])
+        begins[starts] = True
+        heads = np.flatnonzero(begins)
+        spans = np.diff(heads, append=len(index))
+        leads = np.zeros(len(index), bool)
+        leads[starts] = True
+        odd = (spans > 1) | leads[heads]
+
+        used, at = np.unique(index[heads[~odd]], return_inverse=True)
+        places = self._places(words.take(pa.array(used)))
+        chunks = self._joined(flat, heads[odd], spans[odd], leads)
+        coded = chunks.dictionary_encode()
+        blobs = self.encode(coded.dictionary.to_pylist())
+        odd_sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        which = np.empty(len(heads), np.int64)
+        which[~odd] = places[at]
+        which[odd] = len(self.sizes) + coded.indices.to_numpy()
+        sizes = np.concatenate((self.sizes, odd_sizes))
+        take = sizes[which]
+        ids = gathered(np.concatenate((self.values, *blobs)), (np.cumsum(sizes) - sizes)[which], take)
+        counts = np.add.reduceat(take, np.searchsorted(heads, starts))
+        self._trim()
+        return ids, counts
+
+    @staticmethod
+    def _joined(flat: pa.Array, heads: np.ndarray, spans: np.ndarray, leads: np.ndarray) -> pa.Array:
+        """Chunks of several words, or at the head of a text; the others keep their blank in front."""
+        ends = np.cumsum(spans)
+        where = np.repeat(heads - (ends - spans), spans) + np.arange(int(ends[-1]) if len(ends) else 0)
+        kept = flat.take(pa.array(where))
+        bodies = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), kept), " ")
+        front = pa.array(np.where(leads[heads], "", " "), pa.string())
+        return pc.binary_join_element_wise(front, bodies, "")
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each word stands in the dictionary; new ones are encoded and added."""
+        self.now += 1
+        found = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(pc.is_null(found))
+        places = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self.words) + np.arange(len(new))
+        self.used[places[places < len(self.used)]] = self.now
+        if len(new):
+            values, sizes = self._encoded(fresh)
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.values, self.sizes = np.concatenate((self.values, values)), np.concatenate((self.sizes, sizes))
+            # Long words are the first to go: they seldom come again.
+            long = pc.greater(pc.utf8_length(fresh), KEPT_LENGTH).to_numpy(zero_copy_only=False)
+            self.used = np.concatenate((self.used, np.where(long, 0, self.now)))
+        return places
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each with a blank in front, end to end, and their numbers."""
+        n = len(words)
+        offsets = pa.array(np.append(np.arange(0, n, self.RUN), n), pa.int32())
+        runs = pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ").to_pylist()
+        values, sizes = [], []
+        for k, ids in enumerate(self.encode([f" {r}" for r in runs])):
+            cuts = np.flatnonzero(self.opens[ids])
+            here = words.slice(k * self.RUN, self.RUN)
+            if len(cuts) == len(here) and cuts[0] == 0:
+                values.append(ids)
+                sizes.append(np.diff(cuts, append=len(ids)))
+            else:
+                alone = self.encode([f" {w}" for w in here.to_pylist()])
+                values.extend(alone)
+                sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        return np.concatenate(values), np.concatenate(sizes)
+
+    def _trim(self) -> None:
+        if len(self.words) <= self.limit:
+            return
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        begins = np.cumsum(self.sizes) - self.sizes
+        self.values = gathered(self.values, begins[stay], self.sizes[stay])
+        self.words, self.sizes, self.used = self.words.take(pa.array(stay)), self.sizes[stay], self.used[stay]

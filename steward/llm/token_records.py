@@ -32,18 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steward.llm.chunks import ChunkEncoder
-from steward.llm.common import blocks, tasks_for, texts_of
+from steward.llm.chunks import ChunkTable
+from steward.llm.common import pieces, tasks_for, texts_of
 from steward.staging import shared_directory, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Size of a file's share of the input, and bytes of text whose new chunks are encoded together.
-FILE_BYTES, BLOCK_BYTES = 12 << 20, 16 << 20
+#: Size of a file's share of the input, and bytes of text that are encoded together.
+FILE_BYTES, PIECE_BYTES = 12 << 20, 4 << 20
 _HEAD, _CHECK, _ITEM = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB")
 NO_ID, WIDE = 1, 2
 INDEX = ("file string, offset long, length long, doc_id long, n_tokens long, first_token long, ids_crc32 long")
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkTable] = {}
 
 
 def masked_check(data: bytes) -> int:
@@ -71,7 +71,7 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at += length + 17
 
 
-def tokenizer_encoder(path: str) -> ChunkEncoder:
+def tokenizer_encoder(path: str) -> ChunkTable:
     """Chunks through the tokenizers library; one encoder per worker process and file."""
     if path in _encoders:
         return _encoders[path]
@@ -87,30 +87,11 @@ def tokenizer_encoder(path: str) -> ChunkEncoder:
     for token, i in library.get_vocab(with_added_tokens=False).items():
         opens[i] = token.startswith("Ġ")
 
-    def each(chunks: list[str]) -> list[bytes]:
+    def encode(chunks: list[str]) -> list[np.ndarray]:
         found = library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, dtype).tobytes() for x in found]
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        # Chunks with one blank, in front, are encoded as running text: each begins at an id that
-        # opens with a blank. The others go by themselves.
-        out: list[bytes | None] = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c[:1] == " " and c.count(" ") == 1 and len(c) <= 64]
-        for k in range(0, len(plain), 200):
-            run = plain[k: k + 200]
-            ids = np.array(library.encode_batch_fast(["".join(chunks[i] for i in run)], add_special_tokens=False)[0].ids, dtype)
-            cuts = np.flatnonzero(opens[ids])
-            if len(cuts) == len(run):
-                body, width = ids.tobytes(), dtype.itemsize
-                ends = [*(cuts[1:] * width).tolist(), len(body)]
-                for i, a, b in zip(run, (cuts * width).tolist(), ends, strict=True):
-                    out[i] = body[a:b]
-        left = [i for i, x in enumerate(out) if x is None]
-        for i, blob in zip(left, each([chunks[i] for i in left]), strict=True):
-            out[i] = blob
-        return out
-
-    _encoders[path] = ChunkEncoder(encode, dtype.str)
+        return [np.array(x.ids, dtype) for x in found]
+
+    _encoders[path] = ChunkTable(encode, opens, dtype.str)
     return _encoders[path]
 
 
@@ -118,8 +99,9 @@ def encoded_frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: in
     encoder = tokenizer_encoder(tokenizer)
     width = WIDE if encoder.dtype.itemsize == 4 else 0
     end = np.array([end_id], encoder.dtype).tobytes()
-    for block in blocks(batches, "text", 2 << 20, BLOCK_BYTES):
-        for piece, (ids, sizes) in zip(block, encoder.many([texts_of(p, "text") for p in block]), strict=True):
+    for batch in batches:
+        for piece in pieces(batch, "text", PIECE_BYTES):
+            ids, sizes = encoder.texts(texts_of(piece, "text"))
             body, step = ids.tobytes(), encoder.dtype.itemsize
             ends = np.cumsum(sizes) * step
             out = []

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from steward.llm import bpe_replay, token_records, warc_archive
+from steward.llm import bpe_replay, chunks, token_records, warc_archive
 from steward.staging import shared_directory
 
 PARTS = ["a", "b ", "  ", "\n", " \t", "é", "中", " ", "'s", "!!", "12", "<|endoftext|>", " ", " x", "\x1c", "​", "😀", "aaaa", "hello", "ing"]
@@ -56,6 +56,22 @@ def test_replay_order_of_merges():
     assert replay.words([w.encode() for w in words]) == replay.one_by_one([w.encode() for w in words])
 
 
+@pytest.mark.parametrize("limit", [2, 40, 10_000])
+def test_chunk_table_equals_library(limit):
+    # Words leave the dictionary and come back; runs in which an id count doesn't fit go word by word.
+    path = public_tokenizers.path(token_records.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    known = token_records.tokenizer_encoder(path)
+    table = chunks.ChunkTable(known.encode, known.opens, known.dtype.str, limit)
+    texts = [t or "" for t in odd_texts()] + [f"plain words {i % 7} and {'x' * (i % 90)} ends" for i in range(200)]
+    for k in range(0, len(texts), 23):
+        part = texts[k: k + 23]
+        ids, sizes = table.texts(pa.array(part))
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(table.words) <= limit and table.texts(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_records_round_trip(llm):
     texts = odd_texts(120)
     rows = [(i * 3, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (3, texts[1], "x")]
