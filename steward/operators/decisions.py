@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steward.operators import contracts
 from steward.operators.keys import split_first
 from steward.schemas import ERROR
+from steward.staging import staged
 
 EVIDENCE_CONTENT = (
     "fal_version", "ontology_version", "profile_version", "resource_uri", "source_file",
@@ -81,17 +82,17 @@ def check_evidence_refs(evidence: DataFrame, refs: DataFrame) -> DataFrame:
 # --- evidence of decisions ------------------------------------------------------------------------
 
 
+def _passed() -> Column:
+    return F.coalesce((F.col("status") == "PASS") & ~F.coalesce(F.col("has_errors"), F.lit(False)), F.lit(False))
+
+
 def successful_evidence_results(
     results: DataFrame, items: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """`(results that count, findings)`: PASS, no errors and at least one evidence item."""
     keys = ["decision_id", "result_index"]
-    owned = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
-    good = (
-        (F.col("status") == "PASS") & ~F.coalesce(F.col("has_errors"), F.lit(False))
-        & (F.coalesce(F.col("n_items"), F.lit(0)) > 0)
-    )
-    judged = results.join(owned, keys, "left").withColumn("_good", F.coalesce(good, F.lit(False)))
+    owned = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_items"))
+    judged = results.join(owned, keys, "left").withColumn("_good", _passed() & F.col("_n_items").isNotNull())
     findings = judged.filter(~F.col("_good")).select(
         "decision_id", F.lit(ERROR).alias("severity"),
         F.lit("EVIDENCE_RESULT_NOT_SUCCESSFUL").alias("code"),
@@ -100,6 +101,11 @@ def successful_evidence_results(
     return judged.filter("_good").select(*keys), findings
 
 
+def usable_items(results: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of results that count. A result with an item has one, so its items needn't be counted."""
+    return items.join(results.filter(_passed()), ["decision_id", "result_index"], "left_semi")
+
+
 def _ordered(items: DataFrame) -> DataFrame:
     content = [c for c in EVIDENCE_CONTENT if c in items.columns]
     return items.withColumn("_at", F.struct("result_index", "item_index")).withColumn(
@@ -114,54 +120,84 @@ def first_evidence(items: DataFrame) -> DataFrame:
     )
 
 
-def evidence_conflicts(items: DataFrame) -> DataFrame:
-    """Later items whose content differs from the first item with the same id.
+def marked_evidence(items: DataFrame) -> DataFrame:
+    """`items` with `is_first`, the first item of its evidence id, and `conflicts`, content unlike that item's.
 
-    An id whose items all agree has one distinct content, so only disagreeing ids, found by
-    combined min/max, are compared item by item.
+    One combined aggregate holds the state of an evidence id, its first position with that item's digest;
+    each item is compared with the state of its id. Items without an id, or of no decision, conflict with
+    nothing.
     """
-    ordered = _ordered(items)
     content = F.to_json("_content", {"ignoreNullFields": "false"})
-    digested = ordered.withColumn("_digest", F.sha2(content, 256))
-    keys = ["decision_id", "evidence_id"]
-    suspects = digested.groupBy(*keys).agg(
-        F.min(F.struct("_at", "_digest")).alias("_first"),
-        F.min("_digest").alias("_low"), F.max("_digest").alias("_high"),
-    ).filter("_low <> _high").select(*keys, F.col("_first._digest").alias("_expected"))
-    differing = digested.join(suspects, keys).filter("_digest <> _expected")
-    return differing.select(
+    digested = _ordered(items).withColumn("_digest", F.sha2(content, 256)).drop("_content")
+    state = digested.groupBy(
+        F.col("decision_id").alias("_decision"), F.col("evidence_id").alias("_evidence")
+    ).agg(F.min(F.struct("_at", "_digest")).alias("_first"))
+    same = F.col("decision_id").eqNullSafe(F.col("_decision")) & F.col("evidence_id").eqNullSafe(F.col("_evidence"))
+    named = F.col("decision_id").isNotNull() & F.col("evidence_id").isNotNull()
+    return digested.join(state, same).select(
+        *items.columns, (F.col("_at") == F.col("_first._at")).alias("is_first"),
+        (named & (F.col("_digest") != F.col("_first._digest"))).alias("conflicts"),
+    )
+
+
+def _conflict_findings(marked: DataFrame) -> DataFrame:
+    return marked.filter("conflicts").select(
         "decision_id", F.lit(ERROR).alias("severity"), F.lit("EVIDENCE_ID_CONFLICT").alias("code"),
         F.concat(F.lit("$.evidenceResults."), F.col("result_index").cast("string")).alias("path"),
         "evidence_id", "result_index", "item_index",
     )
 
 
+def evidence_conflicts(items: DataFrame) -> DataFrame:
+    """Later items whose content differs from the first item with the same id."""
+    return _conflict_findings(marked_evidence(items))
+
+
 def check_decision(
     decisions: DataFrame, findings: DataFrame, source_results: DataFrame
 ) -> DataFrame:
     """First contradiction between a decision's status and what supports it."""
-    return _decision_problems(decisions, findings, source_results).filter(
-        F.col("problem").isNotNull()
-    ).select("decision_id", "problem")
+    facts = _facts(_finding_facts(findings), _source_facts(source_results))
+    return _judged(decisions, facts).filter("_problem is not null").select(
+        "decision_id", F.col("_problem").alias("problem")
+    )
 
 
-def _decision_problems(
-    decisions: DataFrame, findings: DataFrame, source_results: DataFrame
-) -> DataFrame:
-    by_finding = findings.groupBy("decision_id").agg(
-        F.count(F.lit(1)).alias("n_findings"),
-        F.count_if(F.col("severity") == ERROR).alias("n_errors"),
-    )
-    by_source = source_results.groupBy("decision_id").agg(
-        F.count_if(F.col("status") == "FAIL").alias("n_failed")
+#: What is counted per decision.
+_FACTS = ("_n_findings", "_n_errors", "_n_failed", "_n_bad", "_n_evidence", "_n_dangling")
+
+
+def _counted(rows: DataFrame, **facts: Column) -> DataFrame:
+    """A row of counts for each row; `facts` are conditions."""
+    return rows.select(
+        "decision_id",
+        *[F.coalesce(facts.get(n, F.lit(False)).cast("bigint"), F.lit(0).cast("bigint")).alias(n) for n in _FACTS],
     )
-    joined = decisions.join(by_finding, "decision_id", "left").join(by_source, "decision_id", "left")
-    counts = [f"coalesce({c}, 0)" for c in ("n_findings", "n_errors", "n_failed")]
+
+
+def _finding_facts(findings: DataFrame) -> DataFrame:
+    return _counted(findings, _n_findings=F.lit(True), _n_errors=F.col("severity") == ERROR)
+
+
+def _source_facts(source_results: DataFrame) -> DataFrame:
+    return _counted(source_results, _n_failed=F.col("status") == "FAIL")
+
+
+def _facts(*parts: DataFrame) -> DataFrame:
+    """All counts of a decision in one combined aggregate over everything that concerns it."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("decision_id").agg(*[F.sum(n).alias(n) for n in _FACTS])
+
+
+def _judged(decisions: DataFrame, facts: DataFrame) -> DataFrame:
+    counts = [f"coalesce({c}, 0)" for c in ("_n_findings", "_n_errors", "_n_failed")]
     errors = contracts.row_errors(decisions, "Decision")
-    return joined.select(
-        *decisions.columns,
-        errors.alias("field_errors"),
-        F.when(F.size(errors) == 0, contracts.decision_invariant(*counts)).alias("problem"),
+    return decisions.join(facts, "decision_id", "left").select(
+        *decisions.columns, *_FACTS,
+        errors.alias("_field_errors"),
+        F.when(F.size(errors) == 0, contracts.decision_invariant(*counts)).alias("_problem"),
     )
 
 
@@ -173,47 +209,46 @@ def assemble_decisions(
 
     Evidence errors end a decision, then missing evidence, then field errors or the first broken
     invariant. A rejected decision assembles like any other: its status is given, never inferred.
+
+    The marked items, and the judged decisions, are written once and read by all three results; the counts
+    of a decision come from one aggregate over findings, results, items and dangling references.
     """
-    good, unsuccessful = successful_evidence_results(evidence_results, items)
-    usable = items.join(good, ["decision_id", "result_index"], "left_semi")
-    conflicts = evidence_conflicts(usable).select("decision_id", "severity", "code", "path")
+    marked = staged(marked_evidence(usable_items(evidence_results, items)), "evidence")
+    # Only results that count have marked items.
+    unsuccessful = successful_evidence_results(evidence_results, marked)[1]
+    conflicts = _conflict_findings(marked).select("decision_id", "severity", "code", "path")
     evidence_findings = unsuccessful.unionByName(conflicts)
-    merged = first_evidence(usable)
-
-    failed = evidence_findings.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_bad"))
-    owned = merged.groupBy("decision_id").agg(F.count(F.lit(1)).alias("evidence_count"))
-    dangling = (
-        refs.join(
-            merged.select("decision_id", F.col("evidence_id").alias("ref")),
-            ["decision_id", "ref"], "left_anti",
-        )
-        .groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_dangling"))
+    firsts = marked.filter("is_first")
+    dangling = refs.select("decision_id", "ref").join(
+        firsts.select("decision_id", F.col("evidence_id").alias("ref")), ["decision_id", "ref"], "left_anti"
     )
-    judged = (
-        _decision_problems(decisions, findings, source_results)
-        .join(failed, "decision_id", "left").join(owned, "decision_id", "left")
-        .join(dangling, "decision_id", "left")
+    facts = _facts(
+        _finding_facts(findings), _source_facts(source_results), _counted(unsuccessful, _n_bad=F.lit(True)),
+        _counted(marked, _n_bad=F.col("conflicts"), _n_evidence=F.col("is_first")),
+        _counted(dangling, _n_dangling=F.lit(True)),
     )
-    count = F.coalesce(F.col("evidence_count"), F.lit(0)).cast("bigint")
-    invalid = F.col("problem").isNotNull() | (F.coalesce(F.col("n_dangling"), F.lit(0)) > 0)
+    count = F.coalesce(F.col("_n_evidence"), F.lit(0)).cast("bigint")
+    invalid = F.col("_problem").isNotNull() | (F.coalesce(F.col("_n_dangling"), F.lit(0)) > 0)
 
     def found(code: str, paths: Column) -> Column:
         return F.transform(paths, lambda p: F.struct(F.lit(code).alias("code"), p.alias("path")))
 
     own = (
-        F.when(F.col("n_bad") > 0, F.array().cast("array<struct<code:string,path:string>>"))
+        F.when(F.col("_n_bad") > 0, F.array().cast("array<struct<code:string,path:string>>"))
         .when(count == 0, found("GOVERNANCE_EVIDENCE_REQUIRED", F.array(F.lit("$.evidenceResults"))))
-        .when(F.size("field_errors") > 0, found("GOVERNANCE_RESULT_INVALID", F.col("field_errors")))
+        .when(F.size("_field_errors") > 0, found("GOVERNANCE_RESULT_INVALID", F.col("_field_errors")))
         .when(invalid, found("GOVERNANCE_RESULT_INVALID", F.array(F.lit("$"))))
     )
-    staged = judged.withColumn("_own", own).withColumn("_count", count)
-    assembled = staged.filter("_own is null").select(
+    judged = staged(
+        _judged(decisions, facts).select(*decisions.columns, own.alias("_own"), count.alias("_count")), "decisions"
+    )
+    assembled = judged.filter("_own is null").select(
         *decisions.columns, F.col("_count").alias("evidence_count")
     )
-    own_findings = staged.select("decision_id", F.explode("_own").alias("f")).select(
+    own_findings = judged.select("decision_id", F.explode("_own").alias("f")).select(
         "decision_id", F.lit(ERROR).alias("severity"), "f.code", "f.path"
     )
-    evidence = merged.join(assembled.select("decision_id"), "decision_id", "left_semi")
+    evidence = firsts.select(*items.columns).join(assembled.select("decision_id"), "decision_id", "left_semi")
     return assembled, evidence, evidence_findings.unionByName(own_findings)
 
 

@@ -486,9 +486,7 @@ def q_first_evidence(spark, sf):
 @query(oracle="select * from conflicts", **_DECISION_STEPS)
 def q_evidence_conflicts(spark, sf):
     items, results = bind(spark, sf, "evidence_items"), bind(spark, sf, "evidence_results")
-    good = dc.successful_evidence_results(results, items)[0]
-    usable = items.join(good, ["decision_id", "result_index"], "left_semi")
-    return dc.evidence_conflicts(usable)
+    return dc.evidence_conflicts(dc.usable_items(results, items))
 
 
 @query(

@@ -452,6 +452,29 @@ def test_assembly(spark):
         assert merged.count(f"D{i}") == (0 if expected else 1), changes
 
 
+def test_evidence_without_id_conflicts_with_nothing(spark):
+    schema = "decision_id string, result_index bigint, item_index bigint, evidence_id string, source_hash string, is_good boolean"
+    items = spark.createDataFrame(
+        [("D", 0, 0, None, "h1", True), ("D", 0, 1, None, "h2", True), ("D", 1, 0, "A", None, True), ("D", 1, 1, "A", "h", True)], schema)
+    marked = rows(dc.marked_evidence(items), "item_index", "result_index", "is_first", "conflicts")
+    assert sorted(marked) == [(0, 0, True, False), (0, 1, True, False), (1, 0, False, False), (1, 1, False, True)]
+    assert rows(dc.first_evidence(items), "result_index", "item_index") == [(0, 0), (1, 0)]
+
+
+def test_assembly_of_empty_tables(spark):
+    tables = [spark.createDataFrame([], "decision_id string, " + ddl) for ddl in DECISION_TABLES]
+    assert [df.count() for df in dc.assemble_decisions(*tables)] == [0, 0, 0]
+
+
+def test_assembly_reads_its_inputs_once(spark):
+    """Results come from the two written tables; of the inputs only the evidence results are read again."""
+    made = decision("D")
+    tables = [spark.createDataFrame(part, "decision_id string, " + ddl) for part, ddl in zip(made, DECISION_TABLES, strict=True)]
+    for df, most in zip(dc.assemble_decisions(*tables), (1, 2, 4), strict=True):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") + plan.count("LogicalRDD") <= most, plan
+
+
 def test_snapshot_drift(spark):
     made = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "name string, content string")
     kept = spark.createDataFrame([("a", "1"), ("b", "2 "), ("x", "9")], "name string, content string")
