@@ -357,6 +357,12 @@ from records
     **_NORMAL_STEPS,
 )
 def q_write_artifact_set(spark, sf):
+    records = _written(spark, sf, "records")
+    return records.select(*[c for c in records.columns if c != "values"], *[f"values.{name}" for name in _FIELDS])
+
+
+def _written(spark, sf, name):
+    """Write the four artifacts as one set, and read one of them back."""
     every = bind(spark, sf, "workbooks").selectExpr(
         "workbook_id", f"{SHEET_SPEC.sheet_ordinal} AS sheet_ordinal", "workbook_id AS source_id"
     )
@@ -367,7 +373,57 @@ def q_write_artifact_set(spark, sf):
     }
     target = shared_directory(spark, "artifacts")
     write_artifact_set(artifacts, target, nz.ARTIFACT_ORDER)
-    schema = artifacts["records"].schema
-    parsed = read_artifact(spark, target, "records").select(F.from_json("line", schema).alias("r"))
-    values = [f"r.values.{name}" for name in _FIELDS]
-    return parsed.select(*[f"r.{c}" for c in schema.names if c != "values"], *values)
+    parsed = read_artifact(spark, target, name).select(F.from_json("line", artifacts[name].schema).alias("r"))
+    return parsed.select("r.*")
+
+
+@query(
+    oracle="""
+select m.workbook_id as subject_id, 'WARNING' as severity, reject as code,
+       '$.sheets.1.rows.' || m.row_ordinal || '.columns.' || column_ordinal as path
+from mapped_judged m join data_rows d
+  on m.workbook_id = d.workbook_id and m.row_ordinal = d.row_ordinal
+where reject is not null
+""",
+    **_NORMAL_STEPS,
+)
+def q_artifact_findings(spark, sf):
+    return _written(spark, sf, "findings")
+
+
+@query(
+    oracle="""
+select w.workbook_id, 'TEST-DATASET-001' as dataset_id, 1 as source_sheet_ordinal, f.source_column_ordinal,
+       f.target_field, f.value_type, f.required,
+       cast(count(*) filter (where d.reject_count = 0 and cell_type <> 'blank'
+            and (m.value_type <> 'string' or trim(value_string) <> '')) as bigint) as mapped_record_count,
+       cast(count(*) filter (where d.workbook_id is not null and reject is not null) as bigint) as rejected_record_count
+from workbooks w
+cross join (values (1, 'record_key', 'integer', true), (2, 'record_name', 'string', true), (3, 'amount', 'number', false),
+                   (4, 'order_date', 'date', true), (5, 'category', 'string', false))
+           f(source_column_ordinal, target_field, value_type, required)
+left join mapped_judged m on m.workbook_id = w.workbook_id and m.column_ordinal = f.source_column_ordinal
+left join data_rows d on m.workbook_id = d.workbook_id and m.row_ordinal = d.row_ordinal
+group by all
+""",
+    **_NORMAL_STEPS,
+)
+def q_artifact_evidence(spark, sf):
+    return _written(spark, sf, "evidence")
+
+
+@query(
+    oracle="""
+select w.workbook_id, 1 as sheet_ordinal, w.workbook_id as source_id,
+       cast(count(d.workbook_id) as bigint) as source_record_count,
+       cast(count(*) filter (where reject_count = 0) as bigint) as normalized_record_count,
+       cast(count(*) filter (where reject_count > 0) as bigint) as rejected_record_count,
+       cast(coalesce(sum(reject_count), 0) as bigint) as finding_count,
+       coalesce(sum(reject_count), 0) > 0 as human_review_required, 'TEST-DATASET-001' as dataset_id
+from workbooks w left join data_rows d on w.workbook_id = d.workbook_id
+group by w.workbook_id
+""",
+    **_NORMAL_STEPS,
+)
+def q_artifact_summary(spark, sf):
+    return _written(spark, sf, "summary")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from steward.operators import structure as st
 from steward.operators.inspection import inspect_workbooks
 from steward.operators.profile import InspectionOptions
+from steward.sinks import artifacts
 from steward.sinks.artifacts import OutputError, read_artifact, write_artifact_set
 from steward.sources.documents import scan_json_objects, scan_manifests
 from steward.sources import workbooks as wb
@@ -228,6 +229,40 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == []
 
 
+class Killed(BaseException):
+    """Stands for a driver that is gone: nothing of it cleans up."""
+
+
+@pytest.mark.parametrize("step", ["_write_version", "_write_pointer", "_publish", "between artifacts", "inside the pointer", "after"])
+def test_a_lost_driver_leaves_no_set_or_a_whole_one(spark, tmp_path, monkeypatch, step):
+    outputs, target = _outputs(spark), str(tmp_path)
+
+    def die(*args):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        if step == "between artifacts":
+            plain = artifacts._write_version
+            patch.setattr(artifacts, "_write_version", lambda a, *rest: (plain({"records": a["records"]}, *rest), die()))
+        elif step == "inside the pointer":
+            patch.setattr(artifacts, "_write_pointer", lambda fs, path, version: (fs.create(path, False).close(), die()))
+        elif step == "after":
+            plain = artifacts._publish
+            patch.setattr(artifacts, "_publish", lambda *args: (plain(*args), die()))
+        else:
+            patch.setattr(artifacts, step, die)
+        with pytest.raises(Killed):
+            write_artifact_set(outputs, target, ORDER)
+    in_force = (tmp_path / artifacts.POINTER).exists()
+    assert in_force is (step == "after")
+    if in_force:
+        with pytest.raises(OutputError):
+            write_artifact_set(outputs, target, ORDER)
+    else:
+        write_artifact_set(outputs, target, ORDER)  # what was left behind does not hinder the next run
+    assert [read_artifact(spark, target, n).count() for n in ("records", "summary")] == [100, 1]
+
+
 def test_stages_are_removed_on_request(spark):
     stage = staged(spark.range(3), "trial")
     path = stage.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
