@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -302,3 +303,28 @@ def test_windows_are_counted_across_batches(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(r, schema, strict=True)], schema=schema) for r in rows]
     found = sorted((r["row"], r["place"] >> 18, r["place"] >> 12 & 63) for out in super_kmers.counted(iter(batches)) for r in out.to_pylist())
     assert found == [(10, 3, 3), (11, 100, 3), (20, 0, 1), (21, 5, 1), (23, 7, 1), (30, 9, 1)]
+
+
+def test_visible_text_equals_one_pattern():
+    pattern = re.compile(r"<(script|style|noscript|nav|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+    parts = ["<script>", "<SCRIPT a='>'", "</script >", "</Script", "<nav", "</nav>", "<navy>", "<!--", "-->", "<", ">", "</", "text ", "é", "<p>", "<style>", "</style>", "-", "\n"]
+    rnd = random.Random(5)
+    for _ in range(20_000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        assert language_fusion.visible(html) == pattern.sub(" ", html), html
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<", "<html ", "</script ", "<html lang=", "<nav></na>", "<html lang=  ", "lang" + " " * 50, "<html>"])
+def test_long_pages_take_time_in_proportion(part):
+    page = part * (1_000_000 // len(part))
+    begun = time.process_time()
+    language_fusion.visible(page)
+    language_fusion.declared_language(page)
+    language_fusion.declared_language("<html lang=" + " " * 500_000)
+    assert time.process_time() - begun < 5
+
+
+def test_declared_language():
+    cases = {"<html lang=en>": "en", "<html data-lang=fr>": None, "<html data-lang=fr lang='DE'>": "de", "<html><HTML class=x lang = \" pt-BR\">": "pt",
+             "<htmllang=en>": None, "<html lang=english>": None, "": None, "<html lang=es": "es", "<html x>lang=en": None, "<html xml:lang=it>": "it"}
+    assert {html: language_fusion.declared_language(html) for html in cases} == cases
