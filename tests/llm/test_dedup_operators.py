@@ -328,3 +328,50 @@ def test_declared_language():
     cases = {"<html lang=en>": "en", "<html data-lang=fr>": None, "<html data-lang=fr lang='DE'>": "de", "<html><HTML class=x lang = \" pt-BR\">": "pt",
              "<htmllang=en>": None, "<html lang=english>": None, "": None, "<html lang=es": "es", "<html x>lang=en": None, "<html xml:lang=it>": "it"}
     assert {html: language_fusion.declared_language(html) for html in cases} == cases
+
+
+def test_fused_posterior_equals_brute_force(llm):
+    words = {"de": "der hund und die katze ", "en": "the dog and the cat ", "fr": "le chien et la chatte "}
+    docs = llm.createDataFrame([(i, w * 5, lang) for i, (lang, w) in enumerate(list(words.items()) * 4)], "doc_id long, text string, lang string")
+    rnd = random.Random(9)
+    hosts = ["a.site.de", "b.site.de", "news.org.fr", "x.com", "y.com"]
+    rows = []
+    for i in range(80):
+        lang = rnd.choice(list(words))
+        head = rnd.choice(["<html>", f"<html lang={lang}>", "<html lang='en'>", "<p data-lang=fr>"])
+        rows.append((i, f"https://{rnd.choice(hosts)}/{i}", head + words[lang][: rnd.randrange(24)] + "</html>"))
+    rows += [(80, None, None), (81, "https://x.com/", ""), (82, "no host", "<!-- the dog"), (83, rows[0][1], rows[0][2])]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+    languages, model = language_fusion.trigram_model(docs)
+    n = len(languages)
+    facts = {}
+    for page, url, html in rows:
+        html = html or ""
+        slots = language_fusion.trigram_slots(np.frombuffer(language_fusion.visible(html).encode(), np.uint8))
+        scores = sum((model[:, s] for s in slots), np.zeros(n)) * min(1, 60 / max(1, len(slots)))
+        host = url.split("/")[2] if url and "//" in url else ""
+        labels = host.split(".")
+        found = np.exp(scores - scores.max())
+        facts[page] = (found / found.sum(), language_fusion.declared_language(html), host, ".".join(labels[-2:]), labels[-1])
+
+    def total(place=None, key=None):
+        return sum((f[0] for f in facts.values() if place is None or f[place] == key), np.zeros(n))
+
+    def smooth(counts, wider, weight=4.0):
+        return (counts + weight * wider) / (counts.sum() + weight)
+
+    said = {d: total(1, d) for d in {f[1] for f in facts.values()} - {None}}
+    by_language = sum(said.values(), np.zeros(n))
+    got = {r.page_id: r for r in language_fusion.languages_of(pages, docs).collect()}
+    assert set(got) == set(facts)
+    for page, (found, declared, host, domain, suffix) in facts.items():
+        wider = smooth(total(3, domain), smooth(total(4, suffix), smooth(total(), np.full(n, 1 / n))))
+        logs = np.log(smooth(np.maximum(total(2, host) - found, 0), wider) + 1e-12) + np.log(found + 1e-12)
+        if declared is not None:
+            guess = np.array([0.5 if x == declared else 0.5 / len(said) for x in languages])
+            logs += np.log((said[declared] + 2 * guess) / (by_language + 2) + 1e-12)
+        r = got[page]
+        assert r.host == host and r.declared == declared
+        assert r.posterior == pytest.approx(1 / np.exp(logs - logs.max()).sum(), rel=1e-9)
+        assert logs[languages.index(r.language)] == pytest.approx(logs.max(), rel=1e-12)
