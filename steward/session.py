@@ -7,8 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = "8m"
 #: Runtime settings. AQE coalesces small shuffles, splits hot join partitions and replans small
 #: sides to broadcast from their *measured* size, so no operator hard-codes a partition count or
 #: a broadcast hint for data that grows.
@@ -18,7 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     # File scanners receive whole files as binary columns: bound a batch by bytes, not by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
 }
 
 
@@ -39,6 +41,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at a time by its bytes, also in a session that a cluster brought:
+    whole files come as values, and ten thousand of them are too much for one worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` hashed by its keys over as many partitions as the session shuffles into. Adaptive execution leaves them
+    apart, and whatever is joined on the keys follows: for rows that take far more memory than shuffled bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the settings above on a session that a cluster brought; the operators' claims rest on them."""
     for key, value in SETTINGS.items():
