@@ -9,6 +9,7 @@ from steward.operators import authorize as az
 from steward.plans.authorization_queries import _STEPS as _AUTH_STEPS
 from steward.plans.bindings import bind
 from steward.plans.registry import query
+from steward.session import spread
 from steward.sources.authorization_documents import ID, read_authorization_documents
 from steward.staging import staged
 
@@ -25,7 +26,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
     Odd authorizations are spelled in snake case. The identity of a report follows its new text.
     """
-    reports = bind(spark, sf, "reports")
+    reports = spread(bind(spark, sf, "reports"), ID)
     sheets = _gathered(bind(spark, sf, "report_sheets"), "sheets", "sheet_index", "sheet_ordinal", "inferred_header_row", "header_confidence")
     found = _gathered(bind(spark, sf, "report_findings"), "findings", "finding_index", "severity", "code", "path")
     whole = alias_columns(
@@ -66,7 +67,7 @@ def q_document_verdict(spark, sf):
     tables = dict(zip(("authorizations", "auth_sheets", "acks", "reviews", "reports", "report_sheets", "report_findings", "output_bindings"),
                       read.tables(), strict=True))
     return az.authorization_verdict(*[
-        staged(t, name) if name in ("acks", "reviews", "report_findings") else t for name, t in tables.items()])
+        staged(t, name) if name in ("auth_sheets", "acks", "reviews", "report_findings") else t for name, t in tables.items()])
 
 
 _ODD_SHEET = ',"sheets":[{"sheetOrdinal":true,"classification":"data_table","normalize":1,"headerConfidence":"high","headerRow":1.5}]'
