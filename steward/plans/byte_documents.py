@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steward.plans.bindings import bind
-from steward.session import ship_package
+from steward.session import bound_batches, ship_package
 
 _WORKBOOK_XML = (
     '<workbook xmlns:r="r"><sheets><sheet name="Orders" sheetId="1" r:id="rId1"/></sheets></workbook>'
@@ -86,12 +86,14 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     Row k % 59 = 0 is left out of the file, row k % 53 = 0 is there without cells.
     """
     ship_package(spark)
+    bound_batches(spark)
     return _order_sheets(spark, sf_dir).mapInPandas(_pack, "workbook_id string, content binary")
 
 
 def faulty_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same workbooks, some damaged or with entries that must not be there."""
     ship_package(spark)
+    bound_batches(spark)
     return _order_sheets(spark, sf_dir).mapInPandas(_pack_faulty, "workbook_id string, content binary")
 
 
