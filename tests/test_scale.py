@@ -35,7 +35,7 @@ def test_finding_ledger_shuffles_before_it_groups(spark):
     plan = physical(ledger)
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     assert "HashAggregate" not in plan.split("Exchange")[1]
-    assert {tuple(r) for r in ledger.collect()} == {("A", "X", 0, 2, 1, 2), ("A", "Y", None, None, 1, 0)}
+    assert {tuple(r) for r in ledger.collect()} == {("A", "X", 0, 3, 1, 2), ("A", "Y", None, None, 1, 0)}
 
 
 def test_occurrences_are_counted_without_building_findings(spark):
