@@ -32,8 +32,11 @@ from steward.llm.chunks import ChunkEncoder, gathered
 from steward.llm.common import blocks, byte_view, pieces, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pair ranks kept for words encoded by themselves, and bytes of text whose new pieces are one replay.
-KEPT_PAIRS, BLOCK_BYTES = 200_000, 16 << 20
+#: Pair ranks kept for words encoded by themselves.
+KEPT_PAIRS = 200_000
+#: Bytes of text whose new pieces are one replay, and of those whose words are looked up at once. A worker's memory grows
+#: with the first by some twenty times, and it shares an executor with other workers and the heap.
+BLOCK_BYTES, PIECE_BYTES = 2 << 20, 1 << 20
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 _tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -50,16 +53,16 @@ class Replay:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.byte_ids = np.array(self.byte, np.int64)
+        self.byte_ids = np.array(self.byte, np.int32)
         self.pairs: dict[int, int] = {}  # by left << 32 | right
         pairs = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], np.int32)
         self.start = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int32)
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the merges of token pairs, or -1; a token of -1 merges with nothing."""
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.pair_ranks[at], -1)
 
@@ -74,21 +77,26 @@ class Replay:
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word; words aren't empty."""
+        return [np.frombuffer(w, "<u4").tolist() for w in self.packed(words)]
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of each word as little-endian unsigned 32-bit integers; words aren't empty."""
         if not words:
             return []
         size = sum(map(len, words))
+        kind = np.int32 if size < (1 << 31) - 2 else np.int64  # of places
         raw = np.frombuffer(b"".join(words), np.uint8)
         stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        owner = np.repeat(np.arange(len(words)), np.diff(stops, prepend=0))
+        owner = np.repeat(np.arange(len(words), dtype=kind), np.diff(stops, prepend=0))
         # A last place beyond all words: nothing merges with it.
-        tokens = np.append(self.byte_ids[raw], -1)
-        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        tokens = np.append(self.byte_ids[raw], np.int32(-1))
+        after, before = np.arange(1, size + 2, dtype=kind), np.arange(-1, size, dtype=kind)
         after[stops - 1] = size
         before[np.append(0, stops[:-1])] = size
-        merge = np.full(size + 1, -1, np.int64)
+        merge = np.full(size + 1, -1, np.int32)
         merge[: size - 1] = self.start[raw[:-1], raw[1:]]
         merge[stops - 1] = -1
-        places = np.flatnonzero(merge >= 0)
+        places = np.flatnonzero(merge >= 0).astype(kind)
         places = places[np.argsort(merge[places], kind="stable")]
         cuts = np.flatnonzero(np.diff(merge[places], prepend=-1))
         index: dict[int, list[np.ndarray]] = {
@@ -145,12 +153,12 @@ class Replay:
                     index[rank].append(run)
         live = tokens[:size] >= 0
         counts = np.add.reduceat(live, np.append(0, stops[:-1]))
-        flat = tokens[:size][live].tolist()
-        ends = np.cumsum(counts).tolist()
-        out = [flat[e - c: e] for e, c in zip(ends, counts.tolist(), strict=True)]
+        flat = tokens[:size][live].astype("<u4").tobytes()
+        ends = (np.cumsum(counts) * 4).tolist()
+        out = [flat[e - 4 * c: e] for e, c in zip(ends, counts.tolist(), strict=True)]
         again = np.flatnonzero(odd).tolist()
         for i, ids in zip(again, self.one_by_one([words[i] for i in again]), strict=True):
-            out[i] = ids
+            out[i] = np.array(ids, "<u4").tobytes()
         return out
 
     def one_by_one(self, words: list[bytes]) -> list[list[int]]:
@@ -241,22 +249,19 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
     replay, split = Replay(read_ranks(path)), regex.compile(pattern)
 
     def encode(chunks: list[str]) -> list[bytes]:
-        known: dict[str, list[int]] = {}
         parts = [split.findall(c) for c in chunks]
-        new = dict.fromkeys(p for ps in parts for p in ps)
-        raw = [p.encode() for p in new]
-        merged = []
-        for p, b in zip(new, raw, strict=True):
+        known = dict.fromkeys((p for ps in parts for p in ps), b"")
+        merged, raw = [], []
+        for p in known:
+            b = p.encode()
             whole = replay.ranks.get(b)
             if whole is not None:
-                known[p] = [whole]
+                known[p] = whole.to_bytes(4, "little")
             else:
-                merged.append((p, b))
-        known.update(zip((p for p, _ in merged), replay.words([b for _, b in merged]), strict=True))
-        sizes = [sum(len(known[p]) for p in ps) for ps in parts]
-        body = np.fromiter((t for ps in parts for p in ps for t in known[p]), np.dtype("<u4"), sum(sizes)).tobytes()
-        ends = np.cumsum(np.array(sizes, np.int64) * 4).tolist()
-        return [body[e - 4 * n: e] for e, n in zip(ends, sizes, strict=True)]
+                merged.append(p)
+                raw.append(b)
+        known.update(zip(merged, replay.packed(raw), strict=True))
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
 
     _encoders[path, pattern] = ChunkEncoder(encode, "<u4")
     return _encoders[path, pattern]
@@ -264,7 +269,7 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = replay_encoder(path, pattern)
-    for block in blocks(batches, "text", 2 << 20, BLOCK_BYTES):
+    for block in blocks(batches, "text", PIECE_BYTES, BLOCK_BYTES):
         for piece, (ids, sizes) in zip(block, encoder.many([texts_of(p, "text") for p in block]), strict=True):
             offsets = np.append(0, np.cumsum(sizes * 4))
             column = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,7 @@ from tokenizers import Tokenizer
 from steward.llm import bpe_replay, chunks, token_records, warc_archive
 from steward.staging import shared_directory
 
+REPO = Path(__file__).resolve().parents[2]
 PARTS = ["a", "b ", "  ", "\n", " \t", "é", "中", " ", "'s", "!!", "12", "<|endoftext|>", " ", " x", "\x1c", "​", "😀", "aaaa", "hello", "ing"]
 
 
@@ -144,3 +148,31 @@ def test_texts_by_chunks_of_slices():
     whole, sizes = encoder.texts(pa.array(texts))
     part, _ = encoder.texts(pa.array(texts).slice(10, 20))
     assert part.tolist() == whole[sizes[:10].sum(): sizes[:30].sum()].tolist()
+
+
+REPLAYED = """
+import random, re, sys
+import pyarrow as pa, public_tokenizers
+from steward.llm import bpe_replay
+
+rnd = random.Random(9)
+def batches(n):
+    for _ in range(n):
+        texts = [" ".join("".join(rnd.choices("etaoinshrdlu", k=8)) for _ in range(100)) for _ in range(500)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["carried", "text"])
+
+path = public_tokenizers.path(bpe_replay.RANKS)
+rows = sum(len(b) for b in bpe_replay.encoded_batches(batches(int(sys.argv[1])), path, public_tokenizers.PATTERN))
+print(rows, int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10)
+"""
+
+
+def test_memory_of_a_replay():
+    # All words are new. A worker holds a bounded part of the texts at a time: several of them share an executor with its heap.
+    peaks = []
+    for n in (8, 20):
+        out = subprocess.run([sys.executable, "-c", REPLAYED, str(n)], capture_output=True, text=True, check=True, cwd=REPO).stdout
+        rows, peak = map(int, out.split())
+        assert rows == 500 * n
+        peaks.append(peak)
+    assert peaks[1] < 1.25 * peaks[0] and peaks[1] < 400, peaks
